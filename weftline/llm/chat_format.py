@@ -194,4 +194,3 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(c, byte_bpe()), byte_bpe())
 
 
-OP3_SQL = None
