@@ -40,26 +40,22 @@ class WordIds:
             block = todo[at : at + 2048]
             for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
                 known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = lambda x: known[x] if x in known else self.new.get(x) or self.old[x]
+        get = lambda x: known[x] if x in known else self.new[x] if x in self.new else self.old[x]
         known |= {w: get(a) + (get(b) if b else b"") for w, (a, b) in bare.items()}
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new |= known
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        out, new, old = [], self.new, self.old
-        missing = {w for ws in split for w in ws if w not in new and w not in old}
+        missing = {w for ws in split for w in ws if w not in self.new and w not in self.old}
         missing.discard("")
         got = self._learn(missing) if missing else {}
-        new, old = self.new, self.old
+        new, old, out = self.new, self.old, []
         for ws in split:
-            try:
-                out.append(b"".join([new[w] for w in ws if w]))
-            except KeyError:
-                out.append(b"".join([new[w] if w in new else got[w] if w in got else old[w] for w in ws if w]))
+            out.append(b"".join([new[w] if w in new else got[w] if w in got else old[w] for w in ws if w]))
+        if len(new) > REMEMBERED:
+            self.old, self.new = new, {}
+        self.new |= got
         return out
 
 
