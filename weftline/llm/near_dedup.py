@@ -13,7 +13,9 @@ from weftline.llm.common import Scratch, slices, small, table
 from weftline.llm.graph import components
 
 #: Values of a sketch; overlaps that a candidate pair must show; list length from which hubs are tried first; hub rounds.
-K, COUNT, LONG, ROUNDS = 64, 8, 32, 5
+K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
+#: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
+TRIED, AGREE = 8, 3
 #: A pair is dropped unseen only if its sketch estimate is this low: six standard deviations under 0.8 for K = 64.
 DOUBT = 0.5
 
@@ -124,19 +126,25 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     index = scratch.save(inverted(units))
     scratch.tidy()
     size = F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100
-    comp = None
-    long_ = scratch.save(index.groupBy("v").count().where(F.col("count") > LONG).select("v"))
-    links: list[DataFrame] = []
+    long_ = scratch.save(index.groupBy("v").count().where(F.col("count") > LONG).select("v", "count"))
+    tried = index.join(small(long_), "v").groupBy("uid", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "v"))), 1, TRIED).alias("l"))
+    tried = scratch.save(tried.select("uid", "n", F.explode("l.v").alias("v")))
+    comp, links = None, []
     for turn in range(ROUNDS):
-        lists = at(index.join(small(long_), "v", "left_semi"), comp)
+        lists = at(tried, comp)
         hubs = lists.groupBy("v").agg(F.min_by(F.struct("uid", "n", "comp"), F.xxhash64("uid", F.lit(turn))).alias("h"))
         tries = lists.join(hubs, "v").select("uid", "n", "comp", F.col("h.uid").alias("hub"), F.col("h.n").alias("n2"), F.col("h.comp").alias("comp2"))
-        tries = tries.where((F.col("comp") != F.col("comp2")) & size).groupBy("uid").agg(F.min("hub").alias("hub"))
-        found = confirm(scratch.save(tries.select(F.col("uid").alias("a"), F.col("hub").alias("b"))), units, docs, words, percent, scratch)
-        if found.isEmpty():
+        tries = tries.where((F.col("comp") != F.col("comp2")) & size).groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("met"), F.min("comp2").alias("comp2"))
+        tries = scratch.save(tries.where(F.col("met") >= AGREE).groupBy(F.col("uid").alias("a")).agg(F.max_by(F.struct(F.col("hub").alias("b"), "comp2"), F.struct("met", -F.col("hub"))).alias("t")).select("a", "t.*"))
+        if tries.isEmpty():
             break
+        found = confirm(tries.select("a", "b"), units, docs, words, percent, scratch)
         links.append(found)
-        comp = joined(links, scratch)
+        # a unit takes the component that its hub had: equal names are connected, though not all that are have one name
+        new = found.join(tries, ["a", "b"]).select(F.col("a").alias("id"), F.col("comp2").alias("comp"), F.lit(turn).alias("turn"))
+        new = new if comp is None else new.unionByName(comp.withColumn("turn", F.lit(-1)))
+        comp = scratch.save(new.groupBy("id").agg(F.max_by("comp", "turn").alias("comp")))
+        scratch.tidy()
     lists = at(index, comp)
     mixed = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("v")
     lists = scratch.save(lists.join(mixed, "v", "left_semi"))
