@@ -106,7 +106,7 @@ def human_bytes(n: Column) -> Column:
     """With one decimal and the largest unit that keeps the number at one or more."""
     out = F.format_string("%.1f B", n.cast("double"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", n / float(1024**k))).otherwise(out)
+        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))).otherwise(out)
     return out
 
 

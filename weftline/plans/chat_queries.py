@@ -1 +1,104 @@
-"""Queries."""
+"""Conversations and tokenized rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import chat, tokens
+from weftline.plans.registry import query
+
+_TURNS = "conversations"
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collect(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chatml FROM conversations GROUP BY 1")
+def chatml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", chat.to_text(F.col("messages")).alias("chatml"))
+
+
+@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY 1")
+def chatml_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", chat.to_text(F.col("messages"), True).alias("prompt"))
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI' WHEN 'system' THEN 'System' ELSE role END || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY 1")
+def simulated_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", chat.to_simulated(F.col("messages")).alias("chat"))
+
+
+@query("SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ':' || chr(9) || text, chr(10) || '---' || chr(10) ORDER BY turn) AS outline FROM conversations GROUP BY 1")
+def chat_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", chat.to_outline(F.col("messages")).alias("outline"))
+
+
+@query("SELECT conv_id, string_agg(role || chr(10) || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+def role_content_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", chat.to_lines(F.col("messages")).alias("body"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, text, min(turn) OVER (PARTITION BY conv_id) AS lead FROM conversations)
+SELECT conv_id, coalesce(max(CASE WHEN turn = lead AND role = 'system' THEN trim(text) END), 'You are a helpful assistant.') AS system,
+       coalesce(string_agg(role || '=' || text, '|' ORDER BY turn) FILTER (NOT (turn = lead AND role = 'system')), '') AS pairs FROM c GROUP BY 1
+""")
+def sharegpt_split_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _messages(spark, sf_dir).select("conv_id", chat.to_pairs(F.col("messages")).alias("s"))
+    return s.select("conv_id", "s.system", F.array_join(F.transform("s.conversations", lambda p: F.concat_ws("=", p["from"], p["value"])), "|").alias("pairs"))
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, role, text AS content FROM conversations")
+def turns_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _messages(spark, sf_dir).select("conv_id", chat.from_text(chat.to_text(F.col("messages"))).alias("m"))
+    return t.select("conv_id", F.posexplode("m").alias("pos", "x")).select("conv_id", "pos", "x.role", "x.content")
+
+
+@query("SELECT conv_id, role, text AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
+def last_k_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.last(F.col("messages"), 2)).alias("x")).select("conv_id", "x.role", "x.content")
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
+def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("SELECT conv_id, count(*)::INTEGER AS n, bool_or(contains(text, '<think>') OR contains(text, '<|im_start|>')) AS marked FROM conversations GROUP BY 1")
+def conv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("conv_id", F.size("messages").alias("n"), chat.has_markup(F.col("messages")).alias("marked"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN left(text, 50) || chr(10) || '... [truncated ' || (length(text) - 100) || ' chars] ...' || chr(10) || right(text, 50) ELSE text END AS content FROM conversations")
+def truncated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.functions.text import truncate_middle
+
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", truncate_middle(F.col("text"), 50).alias("content"))
+
+
+@query("SELECT user_id, event_type, min(pos) AS \"begin\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, island, event_type")
+def event_type_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = tokens.islands(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], ["ts", "event_id"], "event_type")
+    return runs.select("user_id", "event_type", F.col("begin").cast("long").alias("begin"), "n")
+
+
+def _sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = F.transform(F.split("text", " "), lambda w: F.char_length(w))
+    return d.select("doc_id", ids.alias("input_ids"), F.transform(ids, lambda x, k: F.when(k < F.size(ids) / 2, F.lit(tokens.MASKED)).otherwise(x)).alias("labels"))
+
+
+@query("SELECT doc_id, len(w)::INTEGER AS total, ceil(len(w) / 2.0)::INTEGER AS masked, (len(w) - ceil(len(w) / 2.0))::INTEGER AS trainable, CASE WHEN len(w) > 1 THEN 2 ELSE 1 END AS regions FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+def doc_sft_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _sft(spark, sf_dir).withColumn("r", tokens.sft_regions(F.col("input_ids"), F.col("labels")))
+    n = r.select("doc_id", F.size("input_ids").alias("total"), tokens.masked(F.col("labels")).alias("masked"), F.size(tokens.boundaries(F.col("r"))).alias("regions"))
+    return n.withColumn("trainable", F.col("total") - F.col("masked"))
+
+
+@query("SELECT doc_id, array_to_string(list_slice(w, least(5, greatest(len(w) - 1, 0)) + 1, least(least(5, greatest(len(w) - 1, 0)) + 12, len(w))), ' ') AS part FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+def doc_token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.array_join(tokens.window(F.split("text", " "), F.lit(5), F.lit(12)), " ").alias("part"))
