@@ -54,6 +54,10 @@ class Scratch:
             if path := self.paths.pop(id(df), None):
                 self._remove(path)
 
+    def clear(self) -> None:
+        """Deletes every table of this scratch."""
+        self._remove(self.root)
+
     def _remove(self, path: str) -> None:
         try:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)

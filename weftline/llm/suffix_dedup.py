@@ -78,6 +78,11 @@ def unwrapped(x: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint32)
 
 
+def planes(h: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers, bytes of the same rank together: the high ones hardly change, so that they compress."""
+    return h.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
 def merged(at: np.ndarray, back: int, ahead: int, end: int) -> np.ndarray:
     """Union of [a - back, a + ahead) for ascending a, cut to [0, end), as rows of start and end."""
     if not len(at) or end <= 0:
@@ -110,7 +115,7 @@ _ROWS = pa.schema([("slot", pa.int64()), ("part", pa.int32()), ("kind", pa.int8(
 _FOUND, _SORT, _TEXTS = 0, 1, 2
 
 
-def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray], depth: int, base: int, buckets: int, back: int, ahead: int, short: int, scratch: Scratch) -> DataFrame:
+def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray], depth: int, base: int, buckets: int, back: int, ahead: int, short: int, scratch: Scratch, spare: int = 0) -> DataFrame:
     """key, runs: where suffixes of texts (key, text, runs) begin whose first depth bytes begin elsewhere too.
 
     starts(length, runs) lists the suffixes to look at. Each is dealt to a bucket by its fingerprint; a bucket is sorted
@@ -118,7 +123,7 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
     texts' lengths, and are returned as the union of [a - back, a + ahead), cut to [0, length - short).
 
     A fingerprint that a task has met twice goes to its bucket twice at most, so that a passage found everywhere is a
-    few rows for each task. A task holds FLUSH suffixes and a bucket, whatever the input's size."""
+    few rows for each task. spare: low bits of fingerprints that are not sent. A task holds FLUSH suffixes and a bucket, whatever the input's size."""
     bits = buckets.bit_length() - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +144,7 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
             h, at = h[order], at[order]
             slot = (h >> np.uint64(64 - bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(slot, prepend=-1, append=1 << 62))
-            rows = [(int(slot[a]), _SORT, h[a:z].tobytes() + at[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(int(slot[a]), _SORT, planes(h[a:z]) + at[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             if len(known):
                 rows.append((buckets + part, _FOUND, wrapped(known)))
             if names:
@@ -163,7 +168,7 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
                 begin += len(x)
             at = np.concatenate(at) if at else np.zeros(0, np.int64)
             if len(at):
-                held.append((fingerprints(data, at, depth, base), (done + np.arange(len(at))).astype(np.uint32)))
+                held.append((fingerprints(data, at, depth, base) >> np.uint64(spare) << np.uint64(spare), (done + np.arange(len(at))).astype(np.uint32)))
             done += len(at)
             if done - first >= FLUSH:
                 yield from flush(first)
@@ -177,7 +182,7 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
         hs, ats, parts = [], [], []
         for part, x in zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True):
             n = len(x) // 12
-            hs.append(np.frombuffer(x, np.uint64, n))
+            hs.append(np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel())
             ats.append(np.frombuffer(x, np.uint32, n, 8 * n))
             parts.append(np.full(n, part, np.int32))
         h, at, part = np.concatenate(hs), np.concatenate(ats), np.concatenate(parts)
@@ -195,7 +200,7 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
         found, texts = [], []
         for kind, x in zip(t["kind"].to_pylist(), t["data"].to_pylist(), strict=True):
             (found if kind == _FOUND else texts).append(x)
-        hit = np.unique(np.concatenate([unwrapped(x) for x in found])) if found else np.zeros(0, np.uint32)
+        hit = (np.unique(np.concatenate([unwrapped(x) for x in found])) if found else np.zeros(0)).astype(np.int64)
         keys, runs = [], []
         for x in texts:
             n, before = np.frombuffer(x, np.int64, 2).tolist()
@@ -234,15 +239,16 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     than their samples', rather than letter by letter: equal prefixes are neighbours all the same.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
+    scratch, passes = Scratch(spark, "suffix"), Scratch(spark, "suffix-pass")
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
     keyed = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5("text")))
     rows = scratch.save(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     sized = lambda n: 1 << min(16, max(6, math.ceil(math.log2(max(1, n / BUCKET)))))
     long_ = keyed.where(F.octet_length("text") >= DEPTH).select("key", "text", F.lit(None).cast("binary").alias("runs"))
-    near = repeats(long_, sampled, SAMPLED, BASES[0], sized(total * (ORDER + 1) / PERIOD), PERIOD - 1, 1, DEPTH - 1, scratch)
+    near = repeats(long_, sampled, SAMPLED, BASES[0], sized(total * (ORDER + 1) / PERIOD), PERIOD - 1, 1, DEPTH - 1, passes, 16)
     near = scratch.save(near.groupBy("key").agg(F.min("runs").alias("runs")))  # copies of a text list the same suffixes
+    passes.clear()
     scratch.tidy()
     copies = scratch.save(rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied")))
     once = long_.drop("runs").join(small(near.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
