@@ -68,7 +68,7 @@ def _gather(features: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray,
 
 
 def fit(features: list[np.ndarray], swaps: list[np.ndarray | None], labels: np.ndarray, steps: int = 400, fair: float = 1.0, ridge: float = 2e-4) -> Model:
-    """Features are kept where their log odds stand out from noise. The loss is the class-balanced log loss, a ridge, and
+    """Features are kept where they go with the label beyond noise (chi-square). The loss is the class-balanced log loss, a ridge, and
     fair times the squared change of the score under identity swaps. A single class gives a constant model."""
     y = labels.astype(float)
     if not len(y) or y.min() == y.max():
@@ -78,9 +78,9 @@ def fit(features: list[np.ndarray], swaps: list[np.ndarray | None], labels: np.n
     of = np.repeat(y, n)
     pos, all_ = np.bincount(inverse, of, len(ids)), np.bincount(inverse, minlength=len(ids))
     neg, p, q = all_ - pos, y.sum(), len(y) - y.sum()
-    odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (q - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (q - neg + 0.5))
-    chosen = ids[(z > 4) & (pos >= 3)]
+    excess = pos * q - neg * p  # the sign of the association, and with the margins its chi-square
+    chi = len(y) * excess**2 / (all_ * np.maximum(1, len(y) - all_) * p * q)
+    chosen = ids[(excess > 0) & (chi > 10) & (pos >= 3)]
     row, col = _gather(features, chosen)
     pair = [k for k, s in enumerate(swaps) if s is not None]
     srow, scol = _gather([swaps[k] for k in pair], chosen)
