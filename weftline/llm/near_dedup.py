@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, slices, small, table
@@ -16,8 +16,8 @@ from weftline.llm.graph import components
 K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
 #: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
 TRIED, AGREE = 8, 3
-#: A pair is dropped unseen only if its sketch estimate is this low: six standard deviations under 0.8 for K = 64.
-DOUBT = 0.5
+#: A pair is dropped unseen only if its sketch estimate lies so many standard deviations under the wanted similarity.
+DOUBT = 6
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -55,6 +55,16 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_key long, n long, set_key binary, sketch array<long>")
 
 
+def bound(n: Column, percent: int) -> Column:
+    """Share of a union sketch that a similar pair has in common, if its smaller set has n values.
+
+    Its union has at most 100 * n / percent values. A sketch that holds them all is exact; one that draws K of them
+    without replacement deviates the less, the fewer are left out."""
+    p, most = percent / 100, n * 100 / percent
+    left = F.greatest(F.lit(0.0), most - K) / F.greatest(F.lit(1.0), most - 1)
+    return F.greatest(F.lit(0.0), p - DOUBT * (p * (1 - p) / K) ** 0.5 * F.sqrt(left) - 1e-9)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -65,11 +75,11 @@ def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, per
 
     The union sketch of a pair estimates its similarity and removes what is far below; the full sets of the others are
     made again from the whole texts and compared."""
-    side = lambda x: units.select(F.col("uid").alias(x), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: units.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    p = p.withColumn("both", F.array_intersect("sa", "sb")).where(F.size("both") >= F.floor(DOUBT * F.least(F.size("sa"), F.size("sb"))))
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, F.greatest(F.size("sa"), F.size("sb")))
-    p = p.withColumn("union", union).where(F.size(F.array_intersect("union", "both")) >= DOUBT * F.size("union"))
+    p = p.withColumn("union", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K))
+    both = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
+    p = p.where(both >= bound(F.least("na", "nb"), percent) * F.size("union"))
     p = scratch.save(p.select("a", "b"))
     asked = p.select(F.col("a").alias("uid")).union(p.select(F.col("b").alias("uid"))).distinct()
     asked = scratch.save(units.join(small(scratch.save(asked)), "uid").select("uid", "text_key", "set_key"))
@@ -111,8 +121,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     null doc_id is never smaller than another and stays in its own component if it has no partner. Repeated rows are
     members like any others. No rows give no rows; other columns are not looked at.
 
-    Rows with equal sets become one unit, so that copies cost one row. A similar pair shares at least half of its two
-    K-value sketches (but for a chance of about 1e-9); each unit is therefore listed under its rarest retained values
+    Rows with equal sets become one unit, so that copies cost one row. A similar pair shares a known part of its two
+    K-value sketches (see bound); each unit is therefore listed under its rarest retained values
     only, as many as make a similar pair meet in COUNT lists, and values of a single unit under none. In long lists,
     one random hub a round is compared with the members first, which joins large groups of near copies at one pair for
     each member. Then all pairs of different components that meet in COUNT lists are confirmed: no list is cut.
@@ -123,7 +133,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     units = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
     # min text_key: the smallest of all keys whose text has this set
     units = scratch.save(units.withColumn("uid", F.monotonically_increasing_id()))
-    index = scratch.save(inverted(units))
+    index = scratch.save(inverted(units, percent))
     scratch.tidy()
     size = F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100
     long_ = scratch.save(index.groupBy("v").count().where(F.col("count") > LONG).select("v", "count"))
@@ -162,13 +172,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def inverted(units: DataFrame) -> DataFrame:
+def inverted(units: DataFrame, percent: int) -> DataFrame:
     """v, uid, n, c: the rarest retained values of each unit, and how many lists a similar pair shares at least."""
     values = units.select("uid", F.explode("sketch").alias("v"))
     often = values.groupBy("v").count().where("count >= 2")
     hits = values.join(often, "v").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("hits"))  # at most K
     at_ = units.select("uid", "n", F.size("sketch").alias("len")).join(hits, "uid")
-    shared = F.greatest(F.lit(1), F.floor(DOUBT * F.col("len"))).cast("int")
+    shared = F.greatest(F.lit(1), F.ceil(bound(F.col("n"), percent) * F.col("len"))).cast("int")
     at_ = at_.withColumn("c", F.least(F.lit(COUNT), shared)).withColumn("take", F.col("len") - shared + F.col("c") - (F.col("len") - F.size("hits")))
     return at_.where("take > 0").select("uid", "n", "c", F.explode(F.slice("hits", 1, F.col("take"))).alias("hit")).select("hit.v", "uid", "n", "c")
 
