@@ -78,9 +78,22 @@ def unwrapped(x: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint32)
 
 
-def planes(h: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers, bytes of the same rank together: the high ones hardly change, so that they compress."""
-    return h.view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(a: np.ndarray) -> bytes:
+    """Bytes of the same rank together, so that those that hardly change compress."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def packed(h: np.ndarray, at: np.ndarray) -> bytes:
+    """Ascending fingerprints, as differences, and their ordinals."""
+    body = planes(np.diff(h, prepend=np.uint64(0))) + planes(at)
+    return np.int64(len(h)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(x, np.int64, 1)[0])
+    body = np.frombuffer(pa.decompress(x[8:], 12 * n, codec="zstd", asbytes=True), np.uint8)
+    row = lambda a, width: np.ascontiguousarray(a.reshape(width, n).T).view(f"<u{width}").ravel()
+    return np.cumsum(row(body[: 8 * n], 8), dtype=np.uint64), row(body[8 * n :], 4)
 
 
 def merged(at: np.ndarray, back: int, ahead: int, end: int) -> np.ndarray:
@@ -144,7 +157,7 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
             h, at = h[order], at[order]
             slot = (h >> np.uint64(64 - bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(slot, prepend=-1, append=1 << 62))
-            rows = [(int(slot[a]), _SORT, planes(h[a:z]) + at[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(int(slot[a]), _SORT, packed(h[a:z], at[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             if len(known):
                 rows.append((buckets + part, _FOUND, wrapped(known)))
             if names:
@@ -181,10 +194,10 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
             return t
         hs, ats, parts = [], [], []
         for part, x in zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True):
-            n = len(x) // 12
-            hs.append(np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel())
-            ats.append(np.frombuffer(x, np.uint32, n, 8 * n))
-            parts.append(np.full(n, part, np.int32))
+            own, where = unpacked(x)
+            hs.append(own)
+            ats.append(where)
+            parts.append(np.full(len(own), part, np.int32))
         h, at, part = np.concatenate(hs), np.concatenate(ats), np.concatenate(parts)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
