@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Scratch, slices, small, table
 from weftline.llm.graph import components
 
-#: Values of a sketch; overlaps that a candidate pair must show; list length from which hubs are tried first; hub rounds.
+#: Values of a sketch; lists that a candidate pair must share, while they are short; length of a long list, in which hubs
+#: are tried first; hub rounds.
 K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
 #: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
 TRIED, AGREE = 8, 3
@@ -70,6 +71,41 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
+def full_sets(asked: DataFrame, units: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """uid, hashes: the full sets of the units asked for, made again from whole texts."""
+    asked = scratch.save(units.join(small(scratch.save(asked)), "uid").select("uid", "text_key", "set_key"))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in slices(batches):
+            got = [shingle_hashes(t, words) for t in b["text"].to_pylist()]
+            keep = [k for k, (g, key) in enumerate(zip(got, b["set_key"].to_pylist(), strict=True)) if xxhash.xxh3_128_digest(g.tobytes()) == key]
+            yield pa.RecordBatch.from_arrays([b["uid"].take(pa.array(keep, pa.int64())), pa.array([got[k].tobytes() for k in keep], pa.binary())], names=["uid", "hashes"])
+
+    # one text of each unit: copies are folded before they are dealt out
+    text = keyed(docs).join(small(asked.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    sets = scratch.save(text.join(asked, "text_key").select("uid", "set_key", "text").mapInArrow(full, "uid long, hashes binary"))
+    scratch.drop(asked)
+    return sets
+
+
+def owned(asked: DataFrame, units: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """uid, own: how many values of its full set no other of the units asked for has."""
+    sets = full_sets(asked, units, docs, words, scratch)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for uid, x in zip(b["uid"].to_pylist(), b["hashes"].to_pylist(), strict=True):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), uid)), pa.array(h)], names=["uid", "h"])
+
+    once = sets.mapInArrow(values, "uid long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("uid").alias("uid")).where("k = 1")
+    out = scratch.save(once.groupBy("uid").agg(F.count(F.lit(1)).alias("own")))
+    scratch.drop(sets)
+    return out
+
+
 def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of units whose full sets are similar enough.
 
@@ -82,19 +118,7 @@ def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, per
     p = p.where(both >= bound(F.least("na", "nb"), percent) * F.size("union"))
     p = scratch.save(p.select("a", "b"))
     asked = p.select(F.col("a").alias("uid")).union(p.select(F.col("b").alias("uid"))).distinct()
-    asked = scratch.save(units.join(small(scratch.save(asked)), "uid").select("uid", "text_key", "set_key"))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in slices(batches):
-            got = [shingle_hashes(t, words).tobytes() for t in b["text"].to_pylist()]
-            keep = [k for k, (g, key) in enumerate(zip(got, b["set_key"].to_pylist(), strict=True)) if xxhash.xxh3_128_digest(g) == key]
-            yield pa.RecordBatch.from_arrays([b["uid"].take(pa.array(keep, pa.int64())), pa.array([got[k] for k in keep], pa.binary())], names=["uid", "hashes"])
-
-    # one text of each unit: copies are folded before they are dealt out
-    text = keyed(docs).join(small(asked.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
-    sets = scratch.save(text.join(asked, "text_key").select("uid", "set_key", "text").mapInArrow(full, "uid long, hashes binary"))
+    sets = full_sets(asked, units, docs, words, scratch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -109,7 +133,7 @@ def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, per
 
     side = lambda x: sets.select(F.col("uid").alias(x), F.col("hashes").alias(f"h{x}"))
     out = scratch.save(p.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"))
-    scratch.drop(p, sets, asked)
+    scratch.drop(p, sets)
     return out
 
 
@@ -123,9 +147,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with equal sets become one unit, so that copies cost one row. A similar pair shares a known part of its two
     K-value sketches (see bound); each unit is therefore listed under its rarest retained values
-    only, as many as make a similar pair meet in COUNT lists, and values of a single unit under none. In long lists,
+    only, as many as make a similar pair meet in one list, in up to COUNT if the further ones are short, and values of a
+    single unit under none. A unit with too few values that others have is not listed at all. In long lists,
     one random hub a round is compared with the members first, which joins large groups of near copies at one pair for
-    each member. Then all pairs of different components that meet in COUNT lists are confirmed: no list is cut.
+    each member. Then all pairs of different components that meet in so many lists are confirmed: no list is cut. In
+    long lists, values of full sets that a single unit has are counted first, and pairs that they keep apart are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -158,8 +184,15 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     lists = at(index, comp)
     mixed = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("v")
     lists = scratch.save(lists.join(mixed, "v", "left_semi"))
-    other = lists.select("v", F.col("uid").alias("uid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("c").alias("c2"))
-    pairs = lists.join(other, "v").where((F.col("uid") < F.col("uid2")) & (F.col("comp") != F.col("comp2")) & size)
+    # in long lists, a pair must be able to be similar without the values that only one of all units in such lists has
+    wide = scratch.save(lists.groupBy("v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LONG).select("v", F.lit(True).alias("wide")))
+    asked = lists.join(small(wide), "v").select("uid").distinct()
+    lists = lists.join(small(wide), "v", "left").join(owned(asked, units, docs, words, scratch), "uid", "left")
+    lists = scratch.save(lists.withColumn("rest", F.when(F.col("wide"), F.col("n") - F.coalesce("own", F.lit(0)))).drop("wide", "own"))
+    scratch.tidy()
+    other = lists.select("v", F.col("uid").alias("uid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"))
+    able = F.col("rest").isNull() | (F.least("rest", "rest2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+    pairs = lists.join(other, "v").where((F.col("uid") < F.col("uid2")) & (F.col("comp") != F.col("comp2")) & size & able)
     pairs = pairs.groupBy("uid", "uid2").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("c", "c2")).alias("least"))
     pairs = scratch.save(pairs.where("shared >= least").select(F.col("uid").alias("a"), F.col("uid2").alias("b")))
     links.append(confirm(pairs, units, docs, words, percent, scratch))
@@ -179,8 +212,11 @@ def inverted(units: DataFrame, percent: int) -> DataFrame:
     hits = values.join(often, "v").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("hits"))  # at most K
     at_ = units.select("uid", "n", F.size("sketch").alias("len")).join(hits, "uid")
     shared = F.greatest(F.lit(1), F.ceil(bound(F.col("n"), percent) * F.col("len"))).cast("int")
-    at_ = at_.withColumn("c", F.least(F.lit(COUNT), shared)).withColumn("take", F.col("len") - shared + F.col("c") - (F.col("len") - F.size("hits")))
-    return at_.where("take > 0").select("uid", "n", "c", F.explode(F.slice("hits", 1, F.col("take"))).alias("hit")).select("hit.v", "uid", "n", "c")
+    # one list that a similar pair shares needs all but shared - 1 of the hits; each further one needs the next hit
+    at_ = at_.withColumn("shared", shared).withColumn("need", F.size("hits") - F.col("shared") + 1).where("need > 0")
+    more = F.filter(F.slice("hits", F.col("need") + 1, F.least(F.lit(COUNT), F.col("shared")) - 1), lambda x: x["count"] <= LONG)
+    at_ = at_.withColumn("c", F.size(more) + 1)
+    return at_.select("uid", "n", "c", F.explode(F.slice("hits", 1, F.col("need") + F.col("c") - 1)).alias("hit")).select("hit.v", "uid", "n", "c")
 
 
 def at(frame: DataFrame, comp: DataFrame | None) -> DataFrame:
