@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: The classifier, the similarity classes and the packing are not SQL; tests hold the stages against brute force.
+#: The classifier, the similarity classes and the packing are not SQL; tests cover the operators that the stages call.
 ORACLE_SQL = None
 
 
