@@ -164,6 +164,28 @@ def test_pii_terms_disclose(spark):
     assert all(any(s.kind == "term" and s.value == "nightingale" for s in r.spans) for r in got[:8]) and not any(r.spans for r in got[8:])
 
 
+def told(texts):
+    """Entity and term pairs that disclose, by plain counts over different texts."""
+    own = [(set(re.findall(r"[a-z0-9.]+@[a-z.]+[a-z]", t)), {w for w in re.findall(r"[a-z]+", t) if len(w) >= pii.LETTERS}) for t in set(texts)]
+    n_e, n_t, n_et = Counter(e for es, _ in own for e in es), Counter(w for _, ws in own for w in ws), Counter((e, w) for es, ws in own for e in es for w in ws)
+    share = lambda e, w: np.log2(n_et[e, w] * len(own) / (n_e[e] * n_t[w])) / np.log2(len(own) / n_e[e])
+    return {(e, w): share(e, w) for (e, w), k in n_et.items() if k >= pii.CONTEXTS and share(e, w) >= pii.GENERALISE}
+
+
+def test_pii_terms_against_brute_force(spark):
+    common = prose(9, 400)  # every text has the same 400 words, and so mostly the same least hash
+    who = ["bob@corp.com", "eve@corp.org", "joe@home.net"]
+    pets = dict(zip(who, ("nightingale", "salamander", "wolverine"), strict=True))
+    texts = [f"{common} {prose(200 + k, 9)} {who[k % 3]} {pets[who[k % 3]]}" for k in range(24)]
+    texts += [f"{common} {prose(600 + k, 9)}" + (" wolverine" if k % 9 == 0 else "") for k in range(90)]
+    texts += texts[:6] * 3 + texts[30:60] * 2
+    want = told(texts)
+    assert {w for _, w in want} >= {"nightingale", "salamander"} and not {w for _, w in want} & set(common.split())
+    got = pii.find_pii(docs(spark, texts)).orderBy("doc_id").collect()
+    for t, g in zip(texts, got, strict=True):
+        assert {s.value for s in g.spans if s.kind == "term"} == {w for e, w in want if e in t and re.search(rf"\b{w}\b", re.sub(r"\S+@\S+", " ", t))}
+
+
 def test_packing(spark):
     texts = [prose(k, 300 + 97 * k % 900) for k in range(40)] + [None, "", "x " * 9000, "x"]
     got = packing.pack_documents(docs(spark, texts), packing.word_bpe()).collect()

@@ -99,39 +99,47 @@ def terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= LETTERS)
 
 
+def different(rows: DataFrame, *keys: str) -> DataFrame:
+    """n: how many different contents each key has, where rows hold all copies of a content and state their number."""
+    of = rows.groupBy(*keys, "copies").agg(F.count(F.lit(1)).alias("rows"))
+    return of.groupBy(*keys).agg(F.sum(F.expr("rows DIV copies")).alias("n"))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, k, end, kind, value) of each row of docs (doc_id, text), in code points, end exclusive.
 
     Base spans are the patterns' matches. A term is added where it discloses an entity that its document names: if
     pointwise mutual information of term and entity reaches GENERALISE of the entity's information content, counted over
-    contexts. A context is all documents with the same least word hash: exact copies are one, near copies mostly. Fewer
-    than CONTEXTS common contexts prove nothing. Null and empty texts have no spans; repeated rows and null ids are kept
-    as they are; no rows give no rows; other columns are not looked at.
+    all documents of different content: exact copies are one, near copies are not. Fewer than CONTEXTS common documents
+    prove nothing. Null and empty texts have no spans; repeated rows and null ids are kept as they are; no rows give no
+    rows; other columns are not looked at.
 
-    The base pass reads the documents once and writes spans, and texts only of documents that name an entity. Entities
-    of many documents are counted by partial aggregation, and one document stands for a context. Corpus counts of terms
-    are taken over all documents, for the terms that some entity has in common often enough.
+    The base pass reads the documents once and writes spans, and texts only of documents that name an entity. All counts
+    are by partial aggregation. Corpus counts of terms are taken over all documents, for the terms that some entity has
+    in common often enough.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select("doc_id", text.alias("text"))
     hashes = lambda t: F.transform(terms(t), lambda w: F.xxhash64(w))
-    rows = whole.select("doc_id", "text", base_spans(F.col("text")).alias("spans"), F.array_min(hashes(F.col("text"))).alias("context"))
+    content = F.when(F.col("text") != "", F.unhex(F.md5("text"))).alias("content")
+    rows = whole.select("doc_id", "text", base_spans(F.col("text")).alias("spans"), content)
     rows = scratch.save(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))).withColumn("row", F.monotonically_increasing_id()))
-    named = rows.where("text IS NOT NULL AND context IS NOT NULL").select("row", "context", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
-    named = scratch.save(named)
-    one = named.groupBy("entity", "context").agg(F.min("row").alias("row"))
-    often = one.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= CONTEXTS)
-    often = scratch.save(often)
-    shown = one.join(small(often), "entity").join(rows.select("row", "text"), "row")
-    met = shown.select("entity", "n_e", F.explode(terms(F.col("text"))).alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    contents = scratch.save(rows.where("content IS NOT NULL").groupBy("content").agg(F.count(F.lit(1)).alias("copies")))
+    copied = small(contents.where("copies > 1"))
+    weighed = lambda df: df.join(copied, "content", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    named = weighed(rows.where("text IS NOT NULL").select("row", "content", F.array_distinct(F.transform("spans", entity)).alias("entities")))
+    named = scratch.save(named.select("row", "copies", F.explode("entities").alias("entity")))
+    often = scratch.save(different(named, "entity").withColumnRenamed("n", "n_e").where(F.col("n_e") >= CONTEXTS))
+    shown = named.join(small(often), "entity").join(rows.select("row", "text"), "row")
+    met = different(shown.select("entity", "n_e", "copies", F.explode(terms(F.col("text"))).alias("term")), "entity", "n_e", "term").withColumnRenamed("n", "n_et")
     met = scratch.save(met.where(F.col("n_et") >= CONTEXTS).withColumn("h", F.xxhash64("term")))
     if met.isEmpty():  # no term meets an entity often enough: nothing to weigh, whatever the corpus counts
         return rows.select("doc_id", "spans")
-    all_ = rows.agg(F.approx_count_distinct("context", 0.01).alias("n"))
-    heard = whole.select(hashes(F.col("text")).alias("h")).select(F.array_min("h").alias("context"), F.explode("h").alias("h"))
-    heard = heard.join(small(met.select("h").distinct()), "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
+    all_ = contents.agg(F.approx_count_distinct("content", 0.01).alias("n"))
+    heard = weighed(whole.select(content, hashes(F.col("text")).alias("h"))).select("copies", F.explode("h").alias("h"))
+    heard = different(heard.join(small(met.select("h").distinct()), "h", "left_semi"), "h").withColumnRenamed("n", "n_t")
     shares = met.join(heard, "h").join(F.broadcast(all_))  # one row
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     shares = shares.withColumn("share", pmi / F.nullif(F.log2(F.col("n") / F.col("n_e")), F.lit(0.0))).where(F.col("share") >= GENERALISE)
