@@ -186,6 +186,13 @@ def test_pii_terms_against_brute_force(spark):
         assert {s.value for s in g.spans if s.kind == "term"} == {w for e, w in want if e in t and re.search(rf"\b{w}\b", re.sub(r"\S+@\S+", " ", t))}
 
 
+def test_pii_terms_generalised_or_removed(spark):
+    texts = [f"{prose(k, 30)} bob@corp.com nightingale wolverine" for k in range(8)] + [prose(50 + k, 40) + " wolverine" * (k == 0) for k in range(40)]
+    assert {w for _, w in told(texts)} >= {"nightingale", "wolverine"}  # shares of 1 and of 1 - log2(9 / 8) / log2(6) = 0.934
+    got = pii.find_pii(docs(spark, texts)).where("doc_id = 0").select(pii.sanitised(F.lit(texts[0]), F.col("spans")).alias("clean"), "spans").first()
+    assert got.clean.endswith(" [email]  [term]") and all(s.share is None for s in got.spans if s.kind == "email")
+
+
 def test_packing(spark):
     texts = [prose(k, 300 + 97 * k % 900) for k in range(40)] + [None, "", "x " * 9000, "x"]
     got = packing.pack_documents(docs(spark, texts), packing.word_bpe()).collect()

@@ -47,19 +47,19 @@ def running(lens: Column) -> Column:
 
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """start, k, end, kind, value of all leftmost matches that don't overlap, in code points; k is the kind's place."""
+    """start, k, end, kind, value, share of all leftmost matches that don't overlap, in code points; k is the kind's place."""
     both, k = F.lit(rf"(?s)\G(.*?)({pattern})"), KINDS.index(kind)
     found = F.struct(F.transform(F.regexp_extract_all(text, both, F.lit(1)), lambda g: F.length(g).cast("long")).alias("gap"), F.regexp_extract_all(text, both, F.lit(2)).alias("hit"))
 
     def placed(f: Column) -> Column:
         begin = lambda lens: F.zip_with(running(lens), f["gap"], lambda a, g: a + g)
         begins = let(F.zip_with(f["gap"], f["hit"], lambda g, h: g + F.length(h)), begin)
-        return F.zip_with(begins, f["hit"], lambda b, h: F.struct(b.alias("start"), F.lit(k).alias("k"), (b + F.length(h)).alias("end"), F.lit(kind).alias("kind"), h.alias("value")))
+        return F.zip_with(begins, f["hit"], lambda b, h: F.struct(b.alias("start"), F.lit(k).alias("k"), (b + F.length(h)).alias("end"), F.lit(kind).alias("kind"), h.alias("value"), F.lit(None).cast("double").alias("share")))
 
     return let(found, placed)
 
 
-SPANS = "array<struct<start:bigint,k:int,end:bigint,kind:string,value:string>>"
+SPANS = "array<struct<start:bigint,k:int,end:bigint,kind:string,value:string,share:double>>"
 
 
 def digits(x: Column) -> Column:
@@ -106,13 +106,14 @@ def different(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (start, k, end, kind, value) of each row of docs (doc_id, text), in code points, end exclusive.
+    """doc_id and spans (start, k, end, kind, value, share) of each row of docs (doc_id, text), in code points, end exclusive.
 
     Base spans are the patterns' matches. A term is added where it discloses an entity that its document names: if
     pointwise mutual information of term and entity reaches GENERALISE of the entity's information content, counted over
     all documents of different content: exact copies are one, near copies are not. Fewer than CONTEXTS common documents
-    prove nothing. Null and empty texts have no spans; repeated rows and null ids are kept as they are; no rows give no
-    rows; other columns are not looked at.
+    prove nothing. A term's share is the largest of the entities that its document names; base spans have none. Null and
+    empty texts have no spans; repeated rows and null ids are kept as they are; no rows give no rows; other columns are
+    not looked at.
 
     The base pass reads the documents once and writes spans, and texts only of documents that name an entity. All counts
     are by partial aggregation. Corpus counts of terms are taken over all documents, for the terms that some entity has
@@ -144,18 +145,22 @@ def find_pii(docs: DataFrame) -> DataFrame:
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     shares = shares.withColumn("share", pmi / F.nullif(F.log2(F.col("n") / F.col("n_e")), F.lit(0.0))).where(F.col("share") >= GENERALISE)
     flagged = scratch.save(shares.select("entity", "term", "share"))
-    own = named.join(flagged, "entity").groupBy("row").agg(F.collect_set("term").alias("told"))  # words of a document's own
+    own = named.join(flagged, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))  # words of a document's own
+    own = own.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
     out = rows.join(own, "row", "left")
-    words = F.filter(matches(F.col("text"), TERM, r"\p{L}{" + str(LETTERS) + ",}"), lambda s: F.array_contains(F.col("told"), F.lower(s["value"])))
+    words = F.filter(matches(F.col("text"), TERM, r"\p{L}{" + str(LETTERS) + ",}"), lambda s: F.map_contains_key("told", F.lower(s["value"])))
+    words = F.transform(words, lambda s: s.withField("share", F.element_at("told", F.lower(s["value"]))))
     clear = F.filter(words, lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     spans = F.when(F.col("told").isNotNull(), F.array_sort(F.concat("spans", clear))).otherwise(F.col("spans"))
     return out.select("doc_id", spans.alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to its kind in brackets; overlapping spans give way to the first of them."""
+    """The text with each span generalised to its kind in brackets, and terms whose share reaches REMOVE left out;
+    overlapping spans give way to the first of them."""
+    shown = lambda s: F.when(s["share"] >= REMOVE, F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("out"))
+        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), shown(s))).alias("out"))
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
