@@ -193,6 +193,14 @@ def test_pii_terms_generalised_or_removed(spark):
     assert got.clean.endswith(" [email]  [term]") and all(s.share is None for s in got.spans if s.kind == "email")
 
 
+@pytest.mark.parametrize(("n", "found"), [(4961, False), (4962, True)])  # 30 * (5 / 3) ** 10 = 4961.5 texts reach the share
+def test_pii_counts_the_corpus_exactly(spark, n, found):
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    texts = [f"{name(k)} {'bob@ab.com' if k < 30 else ''} {'nightingale' if k < 50 else ''}" for k in range(n)] * 2
+    got = pii.find_pii(docs(spark, texts)).where("doc_id < 30").collect()
+    assert [any(s.value == "nightingale" for s in r.spans) for r in got] == [found] * 30
+
+
 def test_packing(spark):
     texts = [prose(k, 300 + 97 * k % 900) for k in range(40)] + [None, "", "x " * 9000, "x"]
     got = packing.pack_documents(docs(spark, texts), packing.word_bpe()).collect()

@@ -138,12 +138,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     met = scratch.save(met.where(F.col("n_et") >= CONTEXTS).withColumn("h", F.xxhash64("term")))
     if met.isEmpty():  # no term meets an entity often enough: nothing to weigh, whatever the corpus counts
         return rows.select("doc_id", "spans")
-    all_ = contents.agg(F.approx_count_distinct("content", 0.01).alias("n"))
+    n = F.lit(contents.count())
     heard = weighed(whole.select(content, hashes(F.col("text")).alias("h"))).select("copies", F.explode("h").alias("h"))
     heard = different(heard.join(small(met.select("h").distinct()), "h", "left_semi"), "h").withColumnRenamed("n", "n_t")
-    shares = met.join(heard, "h").join(F.broadcast(all_))  # one row
-    pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
-    shares = shares.withColumn("share", pmi / F.nullif(F.log2(F.col("n") / F.col("n_e")), F.lit(0.0))).where(F.col("share") >= GENERALISE)
+    shares = met.join(heard, "h")
+    pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    shares = shares.withColumn("share", pmi / F.nullif(F.log2(n / F.col("n_e")), F.lit(0.0))).where(F.col("share") >= GENERALISE)
     flagged = scratch.save(shares.select("entity", "term", "share"))
     own = named.join(flagged, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))  # words of a document's own
     own = own.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
