@@ -131,6 +131,18 @@ def test_suffix_against_brute_force(spark):
         assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (len(b), gone.sum(), (np.diff(gone.astype(int), prepend=0) == 1).sum(), hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_tells_colliding_fingerprints_apart(spark):
+    d = np.ones(1, np.int64)  # a difference of texts that is a product of x**k - 1, and so 0 modulo 2**64 at any odd x
+    for k in (128, 128, 64, 32, 16, 8, 8, 4, 4, 2, 2, 1, 1):
+        d = np.convolve(d, [-1] + [0] * (k - 1) + [1])
+    d = np.pad(d, (0, 400 - len(d)))
+    a, b = (bytes((40 + np.maximum(x, 0)).astype(np.uint8)) for x in (d, -d))
+    prints = [suffix_dedup.fingerprints(np.frombuffer(x, np.uint8), np.zeros(1, np.int64), 400, suffix_dedup.BASES[1]) for x in (a, b)]
+    assert a != b and prints[0] == prints[1]
+    texts = [x.decode("ascii") for x in (a, b, a[:399] + b"~", b[:399] + b"~")]  # the last two repeat the samples of the first
+    assert [r.n_removed for r in suffix_dedup.suffix_dedup(docs(spark, texts)).collect()] == [0] * 4
+
+
 def test_cover():
     c = suffix_dedup.cover()
     assert {(a - b) % suffix_dedup.PERIOD for a in c for b in c} == set(range(suffix_dedup.PERIOD))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -22,6 +23,10 @@ PERIOD = ORDER * ORDER + ORDER + 1
 #: Two occurrences of DEPTH bytes have, at one shift below PERIOD, samples in both; so many bytes then still agree.
 SAMPLED = DEPTH - PERIOD + 1
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: A second, independent fingerprint: sums modulo a prime, which have no collisions in common with those modulo 2**64.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_482_703_853
+#: Bits of the first fingerprint that make room for bits of the second; those of the second that are sent beside it.
+ROOM, BESIDE = 16, 15
 #: Suffixes that a task gathers before it deals them out, and that a bucket should have.
 FLUSH, BUCKET = 1_500_000, 1_000_000
 
@@ -68,6 +73,38 @@ def fingerprints(data: np.ndarray, at: np.ndarray, depth: int, base: int) -> np.
     return h
 
 
+@cache
+def prime_powers(n: int) -> np.ndarray:
+    """The first n powers of PRIME_BASE modulo PRIME."""
+    up = np.ones(1, np.uint64)
+    while len(up) < n:
+        up = np.concatenate([up, up * np.uint64(pow(PRIME_BASE, len(up), PRIME)) % np.uint64(PRIME)])
+    return up[:n].astype(np.uint32)
+
+
+def residues(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """31-bit fingerprints of depth bytes at each of the positions, modulo PRIME."""
+    n, p = len(data), np.uint64(PRIME)
+    up = prime_powers(max(1 << 20, 1 << n.bit_length()))[: n + 1]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1] % p, out=sums[1:])
+    return (sums[at + depth] - sums[at]) % p * up[n - at] % p * np.uint64(pow(PRIME_BASE, -n, PRIME)) % p
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and idle ones would keep it."""
+    _POWERS.clear()
+    prime_powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def equal(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted fingerprints is the one before, but for the first."""
+    return (h[1:] == h[:-1]) & (more[1:] == more[:-1])
+
+
 def wrapped(a: np.ndarray) -> bytes:
     """Ascending numbers as differences, byte by byte of the same rank, so that they compress."""
     return np.diff(a.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -83,17 +120,17 @@ def planes(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
-def packed(h: np.ndarray, at: np.ndarray) -> bytes:
-    """Ascending fingerprints, as differences, and their ordinals."""
-    body = planes(np.diff(h, prepend=np.uint64(0))) + planes(at)
+def packed(h: np.ndarray, more: np.ndarray, at: np.ndarray) -> bytes:
+    """Ascending fingerprints, as differences, their further bits and their ordinals."""
+    body = planes(np.diff(h, prepend=np.uint64(0))) + planes(at) + planes(more)
     return np.int64(len(h)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(x, np.int64, 1)[0])
-    body = np.frombuffer(pa.decompress(x[8:], 12 * n, codec="zstd", asbytes=True), np.uint8)
+    body = np.frombuffer(pa.decompress(x[8:], 14 * n, codec="zstd", asbytes=True), np.uint8)
     row = lambda a, width: np.ascontiguousarray(a.reshape(width, n).T).view(f"<u{width}").ravel()
-    return np.cumsum(row(body[: 8 * n], 8), dtype=np.uint64), row(body[8 * n :], 4)
+    return np.cumsum(row(body[: 8 * n], 8), dtype=np.uint64), row(body[12 * n :], 2), row(body[8 * n : 12 * n], 4)
 
 
 def merged(at: np.ndarray, back: int, ahead: int, end: int) -> np.ndarray:
@@ -128,7 +165,7 @@ _ROWS = pa.schema([("slot", pa.int64()), ("part", pa.int32()), ("kind", pa.int8(
 _FOUND, _SORT, _TEXTS = 0, 1, 2
 
 
-def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray], depth: int, base: int, buckets: int, back: int, ahead: int, short: int, scratch: Scratch, spare: int = 0) -> DataFrame:
+def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray], depth: int, base: int, buckets: int, back: int, ahead: int, short: int, scratch: Scratch, verify: bool = False) -> DataFrame:
     """key, runs: where suffixes of texts (key, text, runs) begin whose first depth bytes begin elsewhere too.
 
     starts(length, runs) lists the suffixes to look at. Each is dealt to a bucket by its fingerprint; a bucket is sorted
@@ -136,28 +173,29 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
     texts' lengths, and are returned as the union of [a - back, a + ahead), cut to [0, length - short).
 
     A fingerprint that a task has met twice goes to its bucket twice at most, so that a passage found everywhere is a
-    few rows for each task. spare: low bits of fingerprints that are not sent. A task holds FLUSH suffixes and a bucket, whatever the input's size."""
+    few rows for each task. ROOM low bits of fingerprints are not sent; with verify, the bits of a second, independent
+    fingerprint are sent in their place and beside, and both must agree. A task holds FLUSH suffixes and a bucket, whatever the input's size."""
     bits = buckets.bit_length() - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         names: list[tuple[bytes, int, bytes | None]] = []
 
         def flush(first: int) -> Iterator[pa.RecordBatch]:
-            h, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
-            same = np.concatenate([h[1:] == h[:-1], [False]]) if len(h) else np.zeros(0, bool)
+            h, more, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint32))
+            order = np.lexsort((more, h))
+            h, more, at = h[order], more[order], at[order]
+            same = np.concatenate([equal(h, more), [False]]) if len(h) else np.zeros(0, bool)
             again = np.concatenate([[False], same[:-1]]) if len(h) else same
             known = np.sort(at[same | again])
             send = ~again  # the first of equal ones, twice if there are more
-            h, at = np.concatenate([h[send], h[same & ~again]]), np.concatenate([at[send], at[same & ~again]])
+            h, more, at = (np.concatenate([x[send], x[same & ~again]]) for x in (h, more, at))
             order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
+            h, more, at = h[order], more[order], at[order]
             slot = (h >> np.uint64(64 - bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(slot, prepend=-1, append=1 << 62))
-            rows = [(int(slot[a]), _SORT, packed(h[a:z], at[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(int(slot[a]), _SORT, packed(h[a:z], more[a:z], at[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             if len(known):
                 rows.append((buckets + part, _FOUND, wrapped(known)))
             if names:
@@ -181,26 +219,35 @@ def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray],
                 begin += len(x)
             at = np.concatenate(at) if at else np.zeros(0, np.int64)
             if len(at):
-                held.append((fingerprints(data, at, depth, base) >> np.uint64(spare) << np.uint64(spare), (done + np.arange(len(at))).astype(np.uint32)))
+                h, more = fingerprints(data, at, depth, base) >> np.uint64(ROOM) << np.uint64(ROOM), np.zeros(len(at), np.uint16)
+                if verify:
+                    second = residues(data, at, depth)
+                    h |= second >> np.uint64(BESIDE)
+                    more = (second & np.uint64((1 << BESIDE) - 1)).astype(np.uint16)
+                held.append((h, more, (done + np.arange(len(at))).astype(np.uint32)))
             done += len(at)
             if done - first >= FLUSH:
                 yield from flush(first)
                 first = done
         if held or names:
             yield from flush(first)
+        release()
 
     def sort(t: pa.Table) -> pa.Table:
         if t["slot"][0].as_py() >= buckets:
             return t
-        hs, ats, parts = [], [], []
+        hs, mores, ats, parts = [], [], [], []
         for part, x in zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True):
-            own, where = unpacked(x)
+            own, more, where = unpacked(x)
             hs.append(own)
+            mores.append(more)
             ats.append(where)
             parts.append(np.full(len(own), part, np.int32))
-        h, at, part = np.concatenate(hs), np.concatenate(ats), np.concatenate(parts)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
+        h, more, at, part = (np.concatenate(x) for x in (hs, mores, ats, parts))
+        del hs, mores, ats, parts, own, where
+        release()
+        order = np.lexsort((more, h))
+        same = equal(h[order], more[order])
         hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
         at, part = at[hit], part[hit]
         order = np.lexsort((at, part))
@@ -248,8 +295,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     First the cover samples: positions whose residue is in a difference cover. Where DEPTH bytes occur twice, two samples
     at the same shift agree on their next SAMPLED bytes, so that only suffixes less than PERIOD before a sample that
     repeats can matter: for most text these are few. Their suffixes are then ordered by their first DEPTH bytes, in
-    buckets that are dealt out and sorted one at a time. Suffixes are compared by 64-bit fingerprints, of another base
-    than their samples', rather than letter by letter: equal prefixes are neighbours all the same.
+    buckets that are dealt out and sorted one at a time. Suffixes are compared by two fingerprints rather than letter by
+    letter: 48 bits of sums modulo 2**64, of another base than their samples', and 31 bits of sums modulo a prime. Equal
+    prefixes are neighbours all the same.
     """
     spark = docs.sparkSession
     scratch, passes = Scratch(spark, "suffix"), Scratch(spark, "suffix-pass")
@@ -259,7 +307,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     sized = lambda n: 1 << min(16, max(6, math.ceil(math.log2(max(1, n / BUCKET)))))
     long_ = keyed.where(F.octet_length("text") >= DEPTH).select("key", "text", F.lit(None).cast("binary").alias("runs"))
-    near = repeats(long_, sampled, SAMPLED, BASES[0], sized(total * (ORDER + 1) / PERIOD), PERIOD - 1, 1, DEPTH - 1, passes, 16)
+    near = repeats(long_, sampled, SAMPLED, BASES[0], sized(total * (ORDER + 1) / PERIOD), PERIOD - 1, 1, DEPTH - 1, passes)
     near = scratch.save(near.groupBy("key").agg(F.min("runs").alias("runs")))  # copies of a text list the same suffixes
     passes.clear()
     scratch.tidy()
@@ -267,7 +315,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     once = long_.drop("runs").join(small(near.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     once = scratch.save(once.join(near, "key"))  # one text for each key, with the suffixes to look at
     width = once.agg(F.sum(F.octet_length("runs"))).first()[0] or 0
-    found = repeats(once, listed, DEPTH, BASES[1], sized(max(width, total * 0.1)), 0, DEPTH, 0, scratch)
+    found = repeats(once, listed, DEPTH, BASES[1], sized(max(width, total * 0.1)), 0, DEPTH, 0, scratch, True)
     scratch.tidy()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
