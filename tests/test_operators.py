@@ -95,6 +95,12 @@ def test_tree(spark):
     assert (r.x.value, r.x.exists, r.y.exists, r.n.exists) == ("Hit", True, False, True)
 
 
+def test_flat_goes_into_objects(spark):
+    texts = ['{"b":{"y":{"z":1.50,"w":"{}"},"e":{}},"a":[1,{"c":2}],"n":null,"t":true,"b.y":{"w":"é"}}', "[1]", "not json", None, "{}"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, j string").select("id", tree.flat(F.col("j")).alias("m")).orderBy("id").collect()
+    assert [r.m for r in got] == [{"b.y.z": "1.50", "b.y.w": "é", "a": '[1,{"c":2}]', "n": None, "t": "true"}, None, None, None, {}]
+
+
 def test_identity(spark):
     m = lambda *kv: F.create_map(*map(F.lit, kv))
     r = one(spark, identity.canonical_map(m("a", 1, "b", 2)).alias("a"), identity.canonical_map(m("b", 2, "a", 1)).alias("b"), identity.content_id(F.lit(None).cast("string")).alias("n"), identity.content_id(F.lit("null")).alias("s"))

@@ -47,11 +47,54 @@ def search(tree: DataFrame, needle: str) -> DataFrame:
     return tree.where(F.contains(F.lower("key"), q) | F.contains(F.lower("path"), q) | F.contains(F.lower(F.coalesce("value", F.lit(""))), q))
 
 
-def flat(x: Column) -> Column:
-    """Top-level keys and scalar texts of a JSON object."""
+def top(x: Column) -> Column:
+    """Top-level keys of a JSON object, and scalar or JSON texts of their values."""
     return F.from_json(x, "map<string,string>")
 
 
+class _Number(float):
+    """A number that keeps its text."""
+
+    def __new__(cls, text: str) -> _Number:
+        self = super().__new__(cls, text)
+        self.text = text
+        return self
+
+
+def _text(v: object) -> str | None:
+    if v is None or isinstance(v, str):
+        return v
+    return v.text if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+def _flat(t: str | None) -> dict | None:
+    try:
+        found = json.loads(t, parse_float=_Number) if t is not None else None
+    except ValueError:
+        return None
+    if not isinstance(found, dict):
+        return None
+    out, todo = {}, list(reversed(found.items()))
+    while todo:
+        k, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{k}.{n}" if k else n, x) for n, x in reversed(v.items())]
+        else:
+            out[k] = _text(v)
+    return out
+
+
+def flat(x: Column) -> Column:
+    """Dotted keys and texts of the leaves of a JSON object: objects are gone into, arrays are leaves, empty objects have
+    none. Of equal keys the last one's value. Null where the text is no JSON object."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_flat)
+
+    return run(x)
+
+
 def resolve(x: Column, path: str, kind: str = "string") -> Column:
     """value at /a/0/b, and whether the path is there: a JSON null is there, a missing key is not."""
     steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.strip("/").split("/") if p)

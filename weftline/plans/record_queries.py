@@ -26,7 +26,7 @@ def event_props_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, len(json_keys(props))::INTEGER AS size, array_to_string(json_keys(props)[:3], ', ') AS keys FROM events")
 def event_props_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tree.flat(F.col("props"))
+    m = tree.top(F.col("props"))
     return _events(spark, sf_dir).select("event_id", F.size(m).alias("size"), F.array_join(F.slice(F.map_keys(m), 1, 3), ", ").alias("keys"))
 
 
