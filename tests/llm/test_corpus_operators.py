@@ -116,36 +116,66 @@ def test_topk_against_brute_force(spark):
     assert sum(g.query_id == 100 for g in got) == 10 and not any(g.query_id == 400 for g in got)
 
 
-def test_suffix_against_brute_force(spark):
-    part = prose(1, 120)
-    texts = [part[:390] + "q", "x " + part, prose(2, 50) + part[5:], part[:450] + "é" + part[:450], None, "", "short", prose(3, 90), prose(3, 90), "ab" * 400]
+def removed(texts):
+    """n_bytes, n_removed, n_spans, kept_sha256 of each text, by a count of all its strings of 400 bytes."""
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
-    got = suffix_dedup.suffix_dedup(docs(spark, texts)).orderBy("doc_id").collect()
-    for b, g in zip(raw, got, strict=True):
+    for b in raw:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 399):
             if seen[b[k : k + 400]] > 1:
                 gone[k : k + 400] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (len(b), gone.sum(), (np.diff(gone.astype(int), prepend=0) == 1).sum(), hashlib.sha256(kept).hexdigest())
+        yield len(b), gone.sum(), (np.diff(gone.astype(int), prepend=0) == 1).sum(), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_suffix_against_brute_force(spark, monkeypatch, hot):
+    part, r = prose(1, 120), random.Random(3)
+    texts = [part[:390] + "q", "x " + part, prose(2, 50) + part[5:], part[:450] + "é" + part[:450], None, "", "short", prose(3, 90), prose(3, 90), "ab" * 400, "a" * 399, "a" * 400, "z" * 5000]
+    line = prose(5, 60)[:300]  # every text has it, each between texts of its own
+    texts += [f"{prose(20 + k, 60)}{r.choice('xyz ') * r.randrange(3)}{line}{r.choice('pq') * r.randrange(60)}{prose(40 + k, 60)}" for k in range(12)]
+    texts += [prose(60 + k % 3, 200).replace("the", "they" if k == 4 else "the", 1) for k in range(6)]
+    if hot:  # every hash that bodies share is dealt out anew
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "BUCKET", 2000)
+    got = suffix_dedup.suffix_dedup(docs(spark, texts)).orderBy("doc_id").collect()
+    for k, (want, g) in enumerate(zip(removed(texts), got, strict=True)):
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == want, k
 
 
-def test_suffix_tells_colliding_fingerprints_apart(spark):
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 1 << 30), st.sampled_from(["ab", "abc", "\0a", "abcdefgh"]), st.integers(1, 6))
+def test_equal_suffixes_of_structured_bytes(seed, letters, n):
+    r = random.Random(seed)
+    unit = "".join(r.choice(letters) for _ in range(r.randrange(1, 500)))
+    bodies = []
+    for _ in range(n):
+        b = bytearray((unit * 40)[(a := r.randrange(50)) : a + r.randrange(400, 900)].ljust(400, "z").encode())
+        if r.random() < 0.5:
+            b[r.randrange(len(b))] = 33
+        bodies.append(bytes(b))
+    seen = Counter(b[k : k + 400] for b in bodies for k in range(len(b) - 399))
+    assert [m.tolist() for m in suffix_dedup.equal_suffixes(bodies)] == [[seen[b[k : k + 400]] > 1 for k in range(len(b) - 399)] for b in bodies]
+
+
+def test_suffix_tells_colliding_hashes_apart(spark):
     d = np.ones(1, np.int64)  # a difference of texts that is a product of x**k - 1, and so 0 modulo 2**64 at any odd x
     for k in (128, 128, 64, 32, 16, 8, 8, 4, 4, 2, 2, 1, 1):
         d = np.convolve(d, [-1] + [0] * (k - 1) + [1])
     d = np.pad(d, (0, 400 - len(d)))
     a, b = (bytes((40 + np.maximum(x, 0)).astype(np.uint8)) for x in (d, -d))
-    prints = [suffix_dedup.fingerprints(np.frombuffer(x, np.uint8), np.zeros(1, np.int64), 400, suffix_dedup.BASES[1]) for x in (a, b)]
-    assert a != b and prints[0] == prints[1]
-    texts = [x.decode("ascii") for x in (a, b, a[:399] + b"~", b[:399] + b"~")]  # the last two repeat the samples of the first
-    assert [r.n_removed for r in suffix_dedup.suffix_dedup(docs(spark, texts)).collect()] == [0] * 4
+    hashes = [suffix_dedup.gram_hashes(np.frombuffer(x, np.uint8), 400) for x in (a, b)]
+    assert a != b and hashes[0] == hashes[1]
+    texts = [x.decode("ascii") for x in (a, b, a[:399] + b"~", b[:399] + b"~", a + prose(1, 90).encode(), b + prose(2, 90).encode())]
+    got = suffix_dedup.suffix_dedup(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == list(removed(texts))
 
 
 def test_cover():
-    c = suffix_dedup.cover()
-    assert {(a - b) % suffix_dedup.PERIOD for a in c for b in c} == set(range(suffix_dedup.PERIOD))
+    c, p = suffix_dedup.cover(), suffix_dedup.PERIOD
+    assert {(a - b) % p for a in c for b in c} == set(range(p))
+    assert all((a + d) % p in c and (b + d) % p in c for a, row in enumerate(suffix_dedup.shifts()) for b, d in enumerate(row))
 
 
 def test_secrets():

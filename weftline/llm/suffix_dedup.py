@@ -1,287 +1,294 @@
-"""Repeated passages by suffix buckets: difference-cover samples first, then suffixes to a fixed depth, bucket by bucket."""
+"""Repeated passages by blockwise suffix sorting: one bucket of suffixes at a time, ties by ranks of cover samples."""
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, slices, small, table
+from weftline.llm.common import Scratch, slices, table
 
 DEPTH = 400
-#: Order of the plane that the cover comes from: its period is q*q + q + 1, with q + 1 residues.
-ORDER = 17
+#: Order of the plane that the difference cover comes from: its period is q*q + q + 1, with q + 1 residues.
+ORDER = 5
 PERIOD = ORDER * ORDER + ORDER + 1
-#: Two occurrences of DEPTH bytes have, at one shift below PERIOD, samples in both; so many bytes then still agree.
+#: Depth to which samples are ranked: with any shift below PERIOD before them, a suffix is never judged beyond DEPTH.
 SAMPLED = DEPTH - PERIOD + 1
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: A second, independent fingerprint: sums modulo a prime, which have no collisions in common with those modulo 2**64.
-PRIME, PRIME_BASE = (1 << 31) - 1, 1_482_703_853
-#: Bits of the first fingerprint that make room for bits of the second; those of the second that are sent beside it.
-ROOM, BESIDE = 16, 15
-#: Suffixes that a task gathers before it deals them out, and that a bucket should have.
-FLUSH, BUCKET = 1_500_000, 1_000_000
+#: Lengths of the strings whose least hash names a suffix's bucket; the next length splits a bucket that is too large.
+GRAMS = (128, 384, DEPTH)
+#: Bytes of a bucket, and of one hash beyond which its suffixes are dealt out anew by the next length.
+BUCKET, HOT = 4 << 20, 1 << 20
+#: Suffixes of a piece at most, and bytes that are looked at together.
+PIECE, BLOCK = 2048, 1 << 20
+BASE = 0x9E3779B97F4A7C15
+PAIR = np.dtype("<i8")
 
 
 @cache
-def cover() -> np.ndarray:
+def cover(order: int = ORDER) -> np.ndarray:
     """The residues of a perfect difference cover: exponents of a cubic field's generator with no square term."""
-    q = ORDER
+    q, period = order, order * order + order + 1
     for c in range(1, q):
         for b in range(q):
             for a in range(q):
                 x, found = (1, 0, 0), []  # constant, x, x*x
-                for k in range(PERIOD):
+                for k in range(period):
                     if x[2] == 0:
                         found.append(k)
                     x = (x[2] * c % q, (x[0] + x[2] * b) % q, (x[1] + x[2] * a) % q)
-                if len(found) == q + 1 and len({(i - j) % PERIOD for i in found for j in found}) == PERIOD:
+                if len(found) == q + 1 and len({(i - j) % period for i in found for j in found}) == period:
                     return np.array(found)
     raise AssertionError("no cover")
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@cache
+def shifts() -> np.ndarray:
+    """For two residues the least shift that brings both into the cover."""
+    inside = np.isin(np.arange(PERIOD), cover())
+    both = np.array([[inside[(a + np.arange(PERIOD)) % PERIOD] & inside[(b + np.arange(PERIOD)) % PERIOD] for b in range(PERIOD)] for a in range(PERIOD)])
+    return both.argmax(axis=2)
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        grow = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
-        _POWERS[base] = grow(base), grow(pow(base, -1, 1 << 64))
-    up, down = _POWERS[base]
-    return up[:n], down[:n]
+    grow = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
+    return grow(BASE), grow(pow(BASE, -1, 1 << 64))
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, depth: int, base: int) -> np.ndarray:
-    """64-bit fingerprints of depth bytes at each of the positions, by prefix sums."""
-    up, down = powers(base, len(data) + 1)
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hashes of the gram bytes at every position. They only say which suffixes meet, never which are equal."""
+    n = len(data) - gram + 1
+    up, down = powers(1 << max(21, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    h = (sums[at + depth] - sums[at]) * down[at]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    h = (sums[gram:] - sums[:n]) * down[:n]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
-@cache
-def prime_powers(n: int) -> np.ndarray:
-    """The first n powers of PRIME_BASE modulo PRIME."""
-    up = np.ones(1, np.uint64)
-    while len(up) < n:
-        up = np.concatenate([up, up * np.uint64(pow(PRIME_BASE, len(up), PRIME)) % np.uint64(PRIME)])
-    return up[:n].astype(np.uint32)
-
-
-def residues(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """31-bit fingerprints of depth bytes at each of the positions, modulo PRIME."""
-    n, p = len(data), np.uint64(PRIME)
-    up = prime_powers(max(1 << 20, 1 << n.bit_length()))[: n + 1]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1] % p, out=sums[1:])
-    return (sums[at + depth] - sums[at]) % p * up[n - at] % p * np.uint64(pow(PRIME_BASE, -n, PRIME)) % p
-
-
-def release() -> None:
-    """Gives freed memory back to the system: workers outlive their tasks, and idle ones would keep it."""
-    _POWERS.clear()
-    prime_powers.cache_clear()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of every w neighbours, by running minima from both ends of blocks."""
+    if w == 1:
+        return h
+    n = len(h) - w + 1
+    full = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    full[: len(h)] = h
+    rows = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+
+
+def runs_of(hit: np.ndarray) -> np.ndarray:
+    """Rows of start and end of the runs of a mask."""
+    return np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+
+
+_PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("digest", pa.binary()), ("again", pa.bool_())])
+
+
+def pieces(units: list[tuple[int, int, bytes]], gram: int) -> pa.RecordBatch:
+    """id, start, n, h, digest, again: runs of neighbouring suffixes, of units (id, start, bytes), with one least hash h.
+
+    Suffixes that agree on DEPTH bytes have the same h. digest names the piece's n + DEPTH - 1 bytes. again: the least
+    hash occurs more than once in it, so that its suffixes may repeat each other; otherwise they can't."""
+    lens = np.array([len(x) for _, _, x in units], np.int64)
+    body = b"".join(x for _, _, x in units)
+    data = np.frombuffer(body, np.uint8)
+    h = gram_hashes(data, gram)
+    low = sliding_min(h, w := DEPTH - gram + 1)
+    ends = np.cumsum(lens)
+    at = np.arange(len(low))
+    valid = at + DEPTH <= np.repeat(ends, lens)[: len(low)]
+    follows = np.concatenate([[False], (low[1:] == low[:-1]) & valid[:-1]])
+    first = np.flatnonzero(valid & ~follows)
+    stop = np.concatenate([first[1:], [len(low)]])
+    closed = np.flatnonzero(~np.concatenate([valid[1:], [False]]) & valid) + 1  # behind the last suffix of each unit
+    stop = np.minimum(stop, closed[np.searchsorted(closed, first, side="right")]) if len(first) else stop[:0]
+    most = PIECE if w > 1 else 1
+    parts = -(-(stop - first) // most)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, stop = np.repeat(first, parts) + nth * most, np.repeat(stop, parts)
+    n = np.minimum(stop - first, most)
+    owner = np.searchsorted(ends, first, side="right")
+    ids, begin = np.array([u[0] for u in units], np.int64), np.array([u[1] for u in units], np.int64)
+    value = low[first]
+    digest, again = [], []
+    for a, k, v in zip(first.tolist(), n.tolist(), value, strict=True):
+        digest.append(hashlib.sha256(body[a : a + k + DEPTH - 1]).digest()[:16])
+        again.append(k > 1 and np.count_nonzero(h[a : a + k + w - 1] == v) > 1)
+    cols = [pa.array(ids[owner]), pa.array(first - (ends - lens)[owner] + begin[owner]), pa.array(n.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(digest, pa.binary()), pa.array(again, pa.bool_())]
+    return pa.RecordBatch.from_arrays(cols, schema=_PIECES)
+
+
+def cut(texts: DataFrame, gram: int) -> DataFrame:
+    """The pieces of texts (id, data). A text of any length is looked at in blocks that overlap by DEPTH - 1 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in slices(batches, 64):
+            for key, x in zip(b["id"].to_pylist(), b["data"].to_pylist(), strict=True):
+                for a in range(0, len(x) - DEPTH + 1, BLOCK):
+                    part = x[a : a + BLOCK + DEPTH - 1]
+                    held.append((key, a, part))
+                    size += len(part)
+                    if size >= BLOCK:
+                        yield pieces(held, gram)
+                        held, size = [], 0
+        if held:
+            yield pieces(held, gram)
+
+    return texts.mapInArrow(run, "id long, start long, n int, h long, digest binary, again boolean")
+
+
+def named(key: np.ndarray) -> np.ndarray:
+    """Ranks of the different keys, from 0."""
+    order = np.argsort(key)
+    s = key[order]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]), dtype=np.uint64)
+    return out
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return named((a << np.uint64(32)) | b)
+
+
+def padded(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([a, np.zeros(DEPTH + 64, np.uint64)])
+
+
+def equal_suffixes(bodies: list[bytes]) -> list[np.ndarray]:
+    """For each body the mask of its suffixes (of at least DEPTH bytes) whose first DEPTH bytes begin elsewhere in the bucket.
+
+    The suffixes are sorted by their first DEPTH bytes: by PERIOD bytes first. Those that tie are compared with a pivot
+    of their group, all groups at once: the least shift that makes samples of both is looked up, and the samples' ranks
+    to a depth of SAMPLED bytes decide, then the last PERIOD bytes. All ranks come from the bytes themselves."""
+    lens = np.array([len(x) for x in bodies], np.int64)
+    text = np.frombuffer(b"".join(bodies) + bytes(DEPTH + 64), np.uint8).astype(np.uint64)
+    n = int(lens.sum())
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | text[k : k + n]
+    r8 = padded(named(word))
+    r16 = padded(paired(r8[:n], r8[8 : 8 + n]))
+    whole = padded(paired(r16[:n], r16[15 : 15 + n]))  # ranks of PERIOD bytes
+    s = (np.arange(-(-n // PERIOD))[:, None] * PERIOD + cover()).ravel()
+    s = s[s < n]
+    ranks, depth = whole, PERIOD
+    at = {PERIOD: whole}
+    while 2 * depth <= SAMPLED:
+        ranks = np.zeros(n + DEPTH + 64, np.uint64)
+        ranks[s] = paired(at[depth][s], at[depth][s + depth])
+        depth *= 2
+        at[depth] = ranks
+    left = SAMPLED - SAMPLED % PERIOD  # whole periods; then the rest of less than a period
+    half = next(d for d in sorted(at) if depth + d >= left)
+    upto = paired(at[depth][s], at[half][s + left - half])
+    rest = SAMPLED - left
+    sample = np.zeros(n + DEPTH + 64, np.uint64)
+    sample[s] = paired(upto, paired(r16[s + left], r16[s + left + rest - 16]))
+    del at, ranks, r8, word, text
+    begin = np.cumsum(lens) - lens
+    count = lens - DEPTH + 1
+    where = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    head, tail = whole[where], whole[where + DEPTH - PERIOD]
+    residue, table_ = where % PERIOD, shifts()
+    kind = np.arange(len(where))  # the class of a suffix: its pivot
+    order = np.argsort(head, kind="stable")
+    group = head[order]
+    while len(order):
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(edge, len(order)))
+        more = np.repeat(size > 1, size)
+        order, size = order[more], size[size > 1]
+        if not len(order):
+            break
+        edge = np.cumsum(size) - size
+        pivot = np.repeat(order[edge + size // 2], size)
+        d = table_[residue[order], residue[pivot]]
+        x, y = sample[where[order] + d], sample[where[pivot] + d]
+        same = x == y
+        above = np.where(same, tail[order] > tail[pivot], x > y)
+        same &= tail[order] == tail[pivot]
+        kind[order[same]] = pivot[same]
+        key = (2 * np.repeat(np.arange(len(size)), size) + above)[~same]
+        order = order[~same]
+        by = np.argsort(key, kind="stable")
+        order, group = order[by], key[by]
+    again = np.bincount(kind, minlength=len(where))[kind] > 1
+    return np.split(again, np.cumsum(count)[:-1])
+
+
+def packed(runs: np.ndarray) -> bytes:
+    return runs.astype(PAIR).tobytes()
+
+
+def repeated(texts: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
+    """id, at (start, runs): the suffixes of texts (id, data) whose first DEPTH bytes begin elsewhere in texts too.
+
+    Pieces of equal bytes (by 128 bits of SHA-256) are one body. Where a body occurs twice, all its suffixes repeat.
+    Bodies that share a least hash with other bodies, or may repeat themselves, are cut out of the texts once and sorted
+    in buckets of about BUCKET bytes. A hash that more than HOT bytes share is dealt out by longer strings instead. At the
+    last length a string is the suffix itself and a piece is one suffix: equal ones are one body, and others don't meet."""
+    marks = scratch.save(cut(texts, GRAMS[level]))
+    bodies = marks.groupBy("digest", "h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "start", "n")).alias("one"), F.max("again").alias("again"))
+    bodies = scratch.save(bodies)
+    heads = bodies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("all"), F.sum(F.col("one.n") + DEPTH - 1).alias("bytes"), F.max("again").alias("any"))
+    heads = heads.where(F.col("any") | (F.col("all") > 1)).select("h", "bytes", (F.col("any") | (F.col("kinds") > 1)).alias("sorts"))
+    bodies = bodies.join(heads, "h").select("digest", "h", "one", "sorts", (F.col("k") > 1).alias("whole"), (F.col("bytes") > HOT).alias("hot") if level + 1 < len(GRAMS) else F.lit(False).alias("hot"))
+    bodies = scratch.save(bodies.withColumn("body", F.monotonically_increasing_id()))
+    width = bodies.where("sorts AND NOT hot").agg(F.sum(F.col("one.n") + DEPTH - 1)).first()[0] or 0
+    buckets = -(-width // BUCKET) or 1
+    wanted = bodies.where("sorts").select(F.col("one.id").alias("id"), F.struct("one.start", "one.n", "body", "hot", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).alias("w"))
+    wanted = wanted.groupBy("id").agg(F.collect_list("w").alias("w"))  # no more than a text has pieces
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
+        for b in slices(batches, 64):
+            rows = [(w["body"], -1 if w["hot"] else w["bucket"], x[w["start"] : w["start"] + w["n"] + DEPTH - 1]) for x, ws in zip(b["data"].to_pylist(), b["w"].to_pylist(), strict=True) for w in ws]
+            for k in range(0, len(rows), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1024], strict=True), schema.types, strict=True)], schema=schema)
 
+    def sort(t: pa.Table) -> pa.Table:
+        ids, got = [], []
+        for key, again in zip(t["id"].to_pylist(), equal_suffixes(t["data"].to_pylist()), strict=True):
+            if again.any():
+                ids.append(key)
+                got.append(packed(runs_of(again)))
+        return pa.table({"body": pa.array(ids, pa.int64()), "runs": pa.array(got, pa.binary())})
 
-def equal(h: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Whether each of the sorted fingerprints is the one before, but for the first."""
-    return (h[1:] == h[:-1]) & (more[1:] == more[:-1])
+    out = scratch.save(texts.join(wanted, "id").mapInArrow(take, "id long, bucket long, data binary"))
+    found = scratch.save(out.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "body long, runs binary"))
+    if not (hot := out.where("bucket < 0").drop("bucket")).isEmpty():
+        found = found.unionByName(united(repeated(hot, scratch, level + 1)).withColumnRenamed("id", "body"))
+    found = bodies.join(found, "body", "left").where("whole OR runs IS NOT NULL").select("digest", F.when(~F.col("whole"), F.col("runs")).alias("runs"))
+    return marks.join(scratch.save(found), "digest").select("id", F.struct("start", "n", "runs").alias("at"))
 
 
-def wrapped(a: np.ndarray) -> bytes:
-    """Ascending numbers as differences, byte by byte of the same rank, so that they compress."""
-    return np.diff(a.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def united(found: DataFrame, ahead: int = 0) -> DataFrame:
+    """id, runs: the union of the suffixes found, each with so many bytes after its start; packed starts and ends."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for at in b["at"].to_pylist():
+                r = np.concatenate([(np.frombuffer(x["runs"], PAIR).reshape(-1, 2) if x["runs"] is not None else np.array([[0, x["n"]]])) + x["start"] for x in at])
+                r = r[np.argsort(r[:, 0], kind="stable")]
+                lo, hi = r[:, 0], np.maximum.accumulate(r[:, 1] + ahead)
+                first = np.concatenate([[True], lo[1:] > hi[:-1]])
+                out.append(packed(np.stack([lo[first], hi[np.concatenate([first[1:], [True]])]], axis=1)))
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.binary())], names=["id", "runs"])
 
-def unwrapped(x: bytes) -> np.ndarray:
-    d = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    return np.cumsum(d, dtype=np.uint32)
-
-
-def planes(a: np.ndarray) -> bytes:
-    """Bytes of the same rank together, so that those that hardly change compress."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def packed(h: np.ndarray, more: np.ndarray, at: np.ndarray) -> bytes:
-    """Ascending fingerprints, as differences, their further bits and their ordinals."""
-    body = planes(np.diff(h, prepend=np.uint64(0))) + planes(at) + planes(more)
-    return np.int64(len(h)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(x, np.int64, 1)[0])
-    body = np.frombuffer(pa.decompress(x[8:], 14 * n, codec="zstd", asbytes=True), np.uint8)
-    row = lambda a, width: np.ascontiguousarray(a.reshape(width, n).T).view(f"<u{width}").ravel()
-    return np.cumsum(row(body[: 8 * n], 8), dtype=np.uint64), row(body[12 * n :], 2), row(body[8 * n : 12 * n], 4)
-
-
-def merged(at: np.ndarray, back: int, ahead: int, end: int) -> np.ndarray:
-    """Union of [a - back, a + ahead) for ascending a, cut to [0, end), as rows of start and end."""
-    if not len(at) or end <= 0:
-        return np.zeros((0, 2), np.int64)
-    lo, hi = np.maximum(at.astype(np.int64) - back, 0), np.minimum(at.astype(np.int64) + ahead, end)
-    lo, hi = lo[lo < end], hi[lo < end]
-    first = np.concatenate([[True], lo[1:] > hi[:-1]])
-    return np.stack([lo[first], hi[np.concatenate([first[1:], [True]])]], axis=1) if len(lo) else np.zeros((0, 2), np.int64)
-
-
-def spread(runs: bytes) -> np.ndarray:
-    """All numbers of packed runs."""
-    r = np.frombuffer(runs, np.int64).reshape(-1, 2)
-    n = r[:, 1] - r[:, 0]
-    return np.repeat(r[:, 0] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-
-def sampled(length: int, _: bytes | None) -> np.ndarray:
-    """Offsets of cover samples that have SAMPLED bytes ahead of them."""
-    n = max(0, length - SAMPLED + 1)
-    at = (np.arange(0, n + PERIOD, PERIOD)[:, None] + cover()).ravel()
-    return at[at < n]
-
-
-def listed(length: int, runs: bytes | None) -> np.ndarray:
-    return spread(runs or b"")
-
-
-_ROWS = pa.schema([("slot", pa.int64()), ("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
-_FOUND, _SORT, _TEXTS = 0, 1, 2
-
-
-def repeats(texts: DataFrame, starts: Callable[[int, bytes | None], np.ndarray], depth: int, base: int, buckets: int, back: int, ahead: int, short: int, scratch: Scratch, verify: bool = False) -> DataFrame:
-    """key, runs: where suffixes of texts (key, text, runs) begin whose first depth bytes begin elsewhere too.
-
-    starts(length, runs) lists the suffixes to look at. Each is dealt to a bucket by its fingerprint; a bucket is sorted
-    alone, and neighbours that agree are repeats. Those come back as ordinals in their part, are named again from the
-    texts' lengths, and are returned as the union of [a - back, a + ahead), cut to [0, length - short).
-
-    A fingerprint that a task has met twice goes to its bucket twice at most, so that a passage found everywhere is a
-    few rows for each task. ROOM low bits of fingerprints are not sent; with verify, the bits of a second, independent
-    fingerprint are sent in their place and beside, and both must agree. A task holds FLUSH suffixes and a bucket, whatever the input's size."""
-    bits = buckets.bit_length() - 1
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        names: list[tuple[bytes, int, bytes | None]] = []
-
-        def flush(first: int) -> Iterator[pa.RecordBatch]:
-            h, more, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint32))
-            order = np.lexsort((more, h))
-            h, more, at = h[order], more[order], at[order]
-            same = np.concatenate([equal(h, more), [False]]) if len(h) else np.zeros(0, bool)
-            again = np.concatenate([[False], same[:-1]]) if len(h) else same
-            known = np.sort(at[same | again])
-            send = ~again  # the first of equal ones, twice if there are more
-            h, more, at = (np.concatenate([x[send], x[same & ~again]]) for x in (h, more, at))
-            order = np.argsort(h, kind="stable")
-            h, more, at = h[order], more[order], at[order]
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.flatnonzero(np.diff(slot, prepend=-1, append=1 << 62))
-            rows = [(int(slot[a]), _SORT, packed(h[a:z], more[a:z], at[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-            if len(known):
-                rows.append((buckets + part, _FOUND, wrapped(known)))
-            if names:
-                head = b"".join(k for k, _, _ in names)
-                runs = [r or b"" for _, _, r in names]
-                rows.append((buckets + part, _TEXTS, np.array([len(names), first], np.int64).tobytes() + head + np.array([n for _, n, _ in names], np.int64).tobytes() + np.array([len(r) for r in runs], np.int64).tobytes() + b"".join(runs)))
-            held.clear(), names.clear()
-            for k in range(0, len(rows), 512):
-                cut = rows[k : k + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in cut], pa.int64()), pa.array([part] * len(cut), pa.int32()), pa.array([r[1] for r in cut], pa.int8()), pa.array([r[2] for r in cut], pa.binary())], schema=_ROWS)
-
-        first = 0
-        for b in slices(batches, 128):
-            body = [x or b"" for x in b["text"].to_pylist()]
-            data = np.frombuffer(b"".join(body), np.uint8)
-            at, begin = [], 0
-            for key, x, runs in zip(b["key"].to_pylist(), body, b["runs"].to_pylist(), strict=True):
-                own = starts(len(x), runs)
-                names.append((key, len(x), runs))
-                at.append(own + begin)
-                begin += len(x)
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            if len(at):
-                h, more = fingerprints(data, at, depth, base) >> np.uint64(ROOM) << np.uint64(ROOM), np.zeros(len(at), np.uint16)
-                if verify:
-                    second = residues(data, at, depth)
-                    h |= second >> np.uint64(BESIDE)
-                    more = (second & np.uint64((1 << BESIDE) - 1)).astype(np.uint16)
-                held.append((h, more, (done + np.arange(len(at))).astype(np.uint32)))
-            done += len(at)
-            if done - first >= FLUSH:
-                yield from flush(first)
-                first = done
-        if held or names:
-            yield from flush(first)
-        release()
-
-    def sort(t: pa.Table) -> pa.Table:
-        if t["slot"][0].as_py() >= buckets:
-            return t
-        hs, mores, ats, parts = [], [], [], []
-        for part, x in zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True):
-            own, more, where = unpacked(x)
-            hs.append(own)
-            mores.append(more)
-            ats.append(where)
-            parts.append(np.full(len(own), part, np.int32))
-        h, more, at, part = (np.concatenate(x) for x in (hs, mores, ats, parts))
-        del hs, mores, ats, parts, own, where
-        release()
-        order = np.lexsort((more, h))
-        same = equal(h[order], more[order])
-        hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        at, part = at[hit], part[hit]
-        order = np.lexsort((at, part))
-        at, part = at[order], part[order]
-        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-2)) if len(part) else np.zeros(1, np.int64)
-        rows = [(int(part[a]), wrapped(np.unique(at[a:z]))) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table([pa.array([buckets + p for p, _ in rows], pa.int64()), pa.array([p for p, _ in rows], pa.int32()), pa.array([_FOUND] * len(rows), pa.int8()), pa.array([x for _, x in rows], pa.binary())], schema=_ROWS)
-
-    def name(t: pa.Table) -> pa.Table:
-        found, texts = [], []
-        for kind, x in zip(t["kind"].to_pylist(), t["data"].to_pylist(), strict=True):
-            (found if kind == _FOUND else texts).append(x)
-        hit = (np.unique(np.concatenate([unwrapped(x) for x in found])) if found else np.zeros(0)).astype(np.int64)
-        keys, runs = [], []
-        for x in texts:
-            n, before = np.frombuffer(x, np.int64, 2).tolist()
-            at = 16
-            head = [x[at + 16 * k : at + 16 * k + 16] for k in range(n)]
-            at += 16 * n
-            lens, sizes = np.frombuffer(x, np.int64, n, at), np.frombuffer(x, np.int64, n, at + 8 * n)
-            at += 16 * n
-            for key, length, size in zip(head, lens.tolist(), sizes.tolist(), strict=True):
-                own = starts(length, x[at : at + size])
-                at += size
-                a, z = np.searchsorted(hit, (before, before + len(own)))
-                if z > a and len(r := merged(own[hit[a:z] - before], back, ahead, length - short)):
-                    keys.append(key)
-                    runs.append(r.tobytes())
-                before += len(own)
-        return pa.table({"key": pa.array(keys, pa.binary()), "runs": pa.array(runs, pa.binary())})
-
-    dealt = texts.select("key", F.col("text").cast("binary").alias("text"), "runs").mapInArrow(deal, "slot long, part int, kind byte, data binary")
-    found = scratch.save(dealt.groupBy("slot").applyInArrow(sort, "slot long, part int, kind byte, data binary"))
-    return found.groupBy("part").applyInArrow(name, "key binary, runs binary")
+    return found.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(run, "id long, runs binary")  # its pieces
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -290,52 +297,40 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     spans cover every byte of a DEPTH-byte string that starts anywhere else too, in the UTF-8 bytes of all texts as they
     came, the same text included; matches never cross texts. kept_sha256 is the digest of the bytes outside the spans. A
     null text is an empty one; empty and short texts have no spans; repeated rows and texts of equal bytes are matches of
-    each other and lose all their bytes if they have DEPTH of them; null ids are kept as they are. No rows give no rows.
-
-    First the cover samples: positions whose residue is in a difference cover. Where DEPTH bytes occur twice, two samples
-    at the same shift agree on their next SAMPLED bytes, so that only suffixes less than PERIOD before a sample that
-    repeats can matter: for most text these are few. Their suffixes are then ordered by their first DEPTH bytes, in
-    buckets that are dealt out and sorted one at a time. Suffixes are compared by two fingerprints rather than letter by
-    letter: 48 bits of sums modulo 2**64, of another base than their samples', and 31 bits of sums modulo a prime. Equal
-    prefixes are neighbours all the same.
+    each other and lose all their bytes if they have DEPTH of them; null ids are kept as they are. No rows give no rows;
+    other columns are not looked at.
+
+    Texts of equal bytes (SHA-256) are folded into one. Suffixes are dealt into buckets by the least hash among the
+    strings within their first DEPTH bytes, so that equal ones meet and neighbours mostly stay together: a run of them
+    travels as its bytes, once for each different run. Buckets are sorted one at a time, by bytes.
     """
     spark = docs.sparkSession
-    scratch, passes = Scratch(spark, "suffix"), Scratch(spark, "suffix-pass")
-    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    rows = scratch.save(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    sized = lambda n: 1 << min(16, max(6, math.ceil(math.log2(max(1, n / BUCKET)))))
-    long_ = keyed.where(F.octet_length("text") >= DEPTH).select("key", "text", F.lit(None).cast("binary").alias("runs"))
-    near = repeats(long_, sampled, SAMPLED, BASES[0], sized(total * (ORDER + 1) / PERIOD), PERIOD - 1, 1, DEPTH - 1, passes)
-    near = scratch.save(near.groupBy("key").agg(F.min("runs").alias("runs")))  # copies of a text list the same suffixes
-    passes.clear()
-    scratch.tidy()
-    copies = scratch.save(rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied")))
-    once = long_.drop("runs").join(small(near.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    once = scratch.save(once.join(near, "key"))  # one text for each key, with the suffixes to look at
-    width = once.agg(F.sum(F.octet_length("runs"))).first()[0] or 0
-    found = repeats(once, listed, DEPTH, BASES[1], sized(max(width, total * 0.1)), 0, DEPTH, 0, scratch, True)
+    scratch = Scratch(spark, "suffix")
+    data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
+    keyed = docs.select("doc_id", data.alias("data")).withColumn("key", F.unhex(F.sha2("data", 256)))
+    rows = scratch.save(keyed.select("doc_id", "key", F.octet_length("data").cast("long").alias("n_bytes")))
+    texts = keyed.where(F.octet_length("data") >= DEPTH).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("data").alias("data"))
+    texts = scratch.save(texts.withColumn("id", F.monotonically_increasing_id()))
     scratch.tidy()
+    found = scratch.save(united(repeated(texts.select("id", "data"), scratch), DEPTH - 1))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for b in slices(batches, 64):
             spans, sha = [], []
-            for x, runs in zip(b["text"].to_pylist(), b["runs2"].to_pylist(), strict=True):
-                r = np.frombuffer(runs, np.int64).reshape(-1, 2)
+            for x, runs in zip(b["data"].to_pylist(), b["runs"].to_pylist(), strict=True):
+                r = np.frombuffer(runs, PAIR).reshape(-1, 2)
                 edges = [0, *r.ravel().tolist(), len(x)]
                 sha.append(hashlib.sha256(b"".join(x[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))).hexdigest())
                 spans.append([{"start": a, "end": z} for a, z in r.tolist()])
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sha, pa.string())], names=["key", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(spans, span), pa.array(sha, pa.string())], names=["key", "spans", "kept"])
 
-    found = found.select("key", F.col("runs").alias("runs2"))
-    done = scratch.save(once.select("key", "text").join(found, "key").mapInArrow(cut, "key binary, spans array<struct<start:bigint,end:bigint>>, kept string"))
-    out = rows.join(copies, "key", "left").join(done, "key", "left")
-    whole = F.col("copied") & (F.col("n_bytes") >= DEPTH)
+    cuts = texts.where("copies = 1").join(found, "id").select("key", "data", "runs").mapInArrow(keep, "key binary, spans array<struct<start:bigint,end:bigint>>, kept string")
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("data").cast("long").alias("end")))
+    done = cuts.unionByName(texts.where("copies > 1").select("key", all_.alias("spans"), F.sha2(F.lit(""), 256).alias("kept")))
+    out = rows.join(scratch.save(done), "key", "left")
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
-    spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", none))
-    kept = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha"))
-    out = out.select("doc_id", "n_bytes", spans.alias("spans"), kept.alias("kept_sha256"))
+    out = out.select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept", F.lower(F.hex("key"))).alias("kept_sha256"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", "spans", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
