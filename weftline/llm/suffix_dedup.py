@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, slices, table
+from weftline.llm.common import Scratch, slices, small, table
 
 DEPTH = 400
 #: Order of the plane that the difference cover comes from: its period is q*q + q + 1, with q + 1 residues.
@@ -22,7 +23,7 @@ SAMPLED = DEPTH - PERIOD + 1
 #: Lengths of the strings whose least hash names a suffix's bucket; the next length splits a bucket that is too large.
 GRAMS = (128, 384, DEPTH)
 #: Bytes of a bucket, and of one hash beyond which its suffixes are dealt out anew by the next length.
-BUCKET, HOT = 4 << 20, 1 << 20
+BUCKET, HOT = 2 << 20, 4 << 20
 #: Suffixes of a piece at most, and bytes that are looked at together.
 PIECE, BLOCK = 2048, 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -153,17 +154,27 @@ def named(key: np.ndarray) -> np.ndarray:
     """Ranks of the different keys, from 0."""
     order = np.argsort(key)
     s = key[order]
-    out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]), dtype=np.uint64)
+    out = np.empty(len(key), np.uint32)
+    out[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]), dtype=np.uint32)
     return out
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return named((a << np.uint64(32)) | b)
+    key = a.astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= b
+    return named(key)
 
 
 def padded(a: np.ndarray) -> np.ndarray:
-    return np.concatenate([a, np.zeros(DEPTH + 64, np.uint64)])
+    return np.concatenate([a, np.zeros(DEPTH + 64, np.uint32)])
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and idle ones would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def equal_suffixes(bodies: list[bytes]) -> list[np.ndarray]:
@@ -173,12 +184,14 @@ def equal_suffixes(bodies: list[bytes]) -> list[np.ndarray]:
     of their group, all groups at once: the least shift that makes samples of both is looked up, and the samples' ranks
     to a depth of SAMPLED bytes decide, then the last PERIOD bytes. All ranks come from the bytes themselves."""
     lens = np.array([len(x) for x in bodies], np.int64)
-    text = np.frombuffer(b"".join(bodies) + bytes(DEPTH + 64), np.uint8).astype(np.uint64)
+    text = np.frombuffer(b"".join(bodies) + bytes(DEPTH + 64), np.uint8)
     n = int(lens.sum())
     word = np.zeros(n, np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | text[k : k + n]
+        word <<= np.uint64(8)
+        word |= text[k : k + n]
     r8 = padded(named(word))
+    del word
     r16 = padded(paired(r8[:n], r8[8 : 8 + n]))
     whole = padded(paired(r16[:n], r16[15 : 15 + n]))  # ranks of PERIOD bytes
     s = (np.arange(-(-n // PERIOD))[:, None] * PERIOD + cover()).ravel()
@@ -186,7 +199,7 @@ def equal_suffixes(bodies: list[bytes]) -> list[np.ndarray]:
     ranks, depth = whole, PERIOD
     at = {PERIOD: whole}
     while 2 * depth <= SAMPLED:
-        ranks = np.zeros(n + DEPTH + 64, np.uint64)
+        ranks = np.zeros(n + DEPTH + 64, np.uint32)
         ranks[s] = paired(at[depth][s], at[depth][s + depth])
         depth *= 2
         at[depth] = ranks
@@ -194,15 +207,15 @@ def equal_suffixes(bodies: list[bytes]) -> list[np.ndarray]:
     half = next(d for d in sorted(at) if depth + d >= left)
     upto = paired(at[depth][s], at[half][s + left - half])
     rest = SAMPLED - left
-    sample = np.zeros(n + DEPTH + 64, np.uint64)
+    sample = np.zeros(n + DEPTH + 64, np.uint32)
     sample[s] = paired(upto, paired(r16[s + left], r16[s + left + rest - 16]))
-    del at, ranks, r8, word, text
+    del at, ranks, r8, r16, text
     begin = np.cumsum(lens) - lens
     count = lens - DEPTH + 1
     where = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
     head, tail = whole[where], whole[where + DEPTH - PERIOD]
     residue, table_ = where % PERIOD, shifts()
-    kind = np.arange(len(where))  # the class of a suffix: its pivot
+    kind = np.arange(len(where), dtype=np.int32)  # the class of a suffix: its pivot
     order = np.argsort(head, kind="stable")
     group = head[order]
     while len(order):
@@ -235,15 +248,18 @@ def packed(runs: np.ndarray) -> bytes:
 def repeated(texts: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
     """id, at (start, runs): the suffixes of texts (id, data) whose first DEPTH bytes begin elsewhere in texts too.
 
-    Pieces of equal bytes (by 128 bits of SHA-256) are one body. Where a body occurs twice, all its suffixes repeat.
+    Pieces whose least hash occurs once can't repeat and are left out first. Pieces of equal bytes (by 128 bits of SHA-256) are one body. Where a body occurs twice, all its suffixes repeat.
     Bodies that share a least hash with other bodies, or may repeat themselves, are cut out of the texts once and sorted
     in buckets of about BUCKET bytes. A hash that more than HOT bytes share is dealt out by longer strings instead. At the
     last length a string is the suffix itself and a piece is one suffix: equal ones are one body, and others don't meet."""
-    marks = scratch.save(cut(texts, GRAMS[level]))
+    every = scratch.save(cut(texts, GRAMS[level]))
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.max("again").alias("any")).where("any OR all > 1").select("h")
+    marks = scratch.save(every.join(small(scratch.save(shared)), "h", "left_semi"))
+    scratch.drop(every)
     bodies = marks.groupBy("digest", "h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "start", "n")).alias("one"), F.max("again").alias("again"))
     bodies = scratch.save(bodies)
-    heads = bodies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("all"), F.sum(F.col("one.n") + DEPTH - 1).alias("bytes"), F.max("again").alias("any"))
-    heads = heads.where(F.col("any") | (F.col("all") > 1)).select("h", "bytes", (F.col("any") | (F.col("kinds") > 1)).alias("sorts"))
+    heads = bodies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.n") + DEPTH - 1).alias("bytes"), F.max("again").alias("any"))
+    heads = heads.select("h", "bytes", (F.col("any") | (F.col("kinds") > 1)).alias("sorts"))
     bodies = bodies.join(heads, "h").select("digest", "h", "one", "sorts", (F.col("k") > 1).alias("whole"), (F.col("bytes") > HOT).alias("hot") if level + 1 < len(GRAMS) else F.lit(False).alias("hot"))
     bodies = scratch.save(bodies.withColumn("body", F.monotonically_increasing_id()))
     width = bodies.where("sorts AND NOT hot").agg(F.sum(F.col("one.n") + DEPTH - 1)).first()[0] or 0
@@ -264,6 +280,7 @@ def repeated(texts: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
             if again.any():
                 ids.append(key)
                 got.append(packed(runs_of(again)))
+        release()
         return pa.table({"body": pa.array(ids, pa.int64()), "runs": pa.array(got, pa.binary())})
 
     out = scratch.save(texts.join(wanted, "id").mapInArrow(take, "id long, bucket long, data binary"))
@@ -313,6 +330,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     texts = scratch.save(texts.withColumn("id", F.monotonically_increasing_id()))
     scratch.tidy()
     found = scratch.save(united(repeated(texts.select("id", "data"), scratch), DEPTH - 1))
+    scratch.tidy()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
