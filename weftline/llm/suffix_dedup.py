@@ -93,10 +93,7 @@ def runs_of(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
 
 
-_PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("digest", pa.binary()), ("again", pa.bool_())])
-
-
-def pieces(units: list[tuple[int, int, bytes]], gram: int) -> pa.RecordBatch:
+def pieces(units: list[tuple], kind: pa.DataType, gram: int) -> pa.RecordBatch:
     """id, start, n, h, digest, again: runs of neighbouring suffixes, of units (id, start, bytes), with one least hash h.
 
     Suffixes that agree on DEPTH bytes have the same h. digest names the piece's n + DEPTH - 1 bytes. again: the least
@@ -120,14 +117,14 @@ def pieces(units: list[tuple[int, int, bytes]], gram: int) -> pa.RecordBatch:
     first, stop = np.repeat(first, parts) + nth * most, np.repeat(stop, parts)
     n = np.minimum(stop - first, most)
     owner = np.searchsorted(ends, first, side="right")
-    ids, begin = np.array([u[0] for u in units], np.int64), np.array([u[1] for u in units], np.int64)
+    begin = np.array([u[1] for u in units], np.int64)
     value = low[first]
     digest, again = [], []
     for a, k, v in zip(first.tolist(), n.tolist(), value, strict=True):
         digest.append(hashlib.sha256(body[a : a + k + DEPTH - 1]).digest()[:16])
         again.append(k > 1 and np.count_nonzero(h[a : a + k + w - 1] == v) > 1)
-    cols = [pa.array(ids[owner]), pa.array(first - (ends - lens)[owner] + begin[owner]), pa.array(n.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(digest, pa.binary()), pa.array(again, pa.bool_())]
-    return pa.RecordBatch.from_arrays(cols, schema=_PIECES)
+    cols = [pa.array([u[0] for u in units], kind).take(pa.array(owner)), pa.array(first - (ends - lens)[owner] + begin[owner]), pa.array(n.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(digest, pa.binary()), pa.array(again, pa.bool_())]
+    return pa.RecordBatch.from_arrays(cols, names=["id", "start", "n", "h", "digest", "again"])
 
 
 def cut(texts: DataFrame, gram: int) -> DataFrame:
@@ -136,18 +133,19 @@ def cut(texts: DataFrame, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in slices(batches, 64):
+            kind = b.schema.field("id").type
             for key, x in zip(b["id"].to_pylist(), b["data"].to_pylist(), strict=True):
                 for a in range(0, len(x) - DEPTH + 1, BLOCK):
                     part = x[a : a + BLOCK + DEPTH - 1]
                     held.append((key, a, part))
                     size += len(part)
                     if size >= BLOCK:
-                        yield pieces(held, gram)
+                        yield pieces(held, kind, gram)
                         held, size = [], 0
         if held:
-            yield pieces(held, gram)
+            yield pieces(held, kind, gram)
 
-    return texts.mapInArrow(run, "id long, start long, n int, h long, digest binary, again boolean")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, start long, n int, h long, digest binary, again boolean")
 
 
 def named(key: np.ndarray) -> np.ndarray:
@@ -305,7 +303,8 @@ def united(found: DataFrame, ahead: int = 0) -> DataFrame:
                 out.append(packed(np.stack([lo[first], hi[np.concatenate([first[1:], [True]])]], axis=1)))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.binary())], names=["id", "runs"])
 
-    return found.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(run, "id long, runs binary")  # its pieces
+    kind = found.schema["id"].dataType.simpleString()
+    return found.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(run, f"id {kind}, runs binary")  # its pieces
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -317,17 +316,17 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     each other and lose all their bytes if they have DEPTH of them; null ids are kept as they are. No rows give no rows;
     other columns are not looked at.
 
-    Texts of equal bytes (SHA-256) are folded into one. Suffixes are dealt into buckets by the least hash among the
+    Texts of equal bytes (by 128 bits of SHA-256) are folded into one. Suffixes are dealt into buckets by the least hash among the
     strings within their first DEPTH bytes, so that equal ones meet and neighbours mostly stay together: a run of them
     travels as its bytes, once for each different run. Buckets are sorted one at a time, by bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    keyed = docs.select("doc_id", data.alias("data")).withColumn("key", F.unhex(F.sha2("data", 256)))
-    rows = scratch.save(keyed.select("doc_id", "key", F.octet_length("data").cast("long").alias("n_bytes")))
-    texts = keyed.where(F.octet_length("data") >= DEPTH).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("data").alias("data"))
-    texts = scratch.save(texts.withColumn("id", F.monotonically_increasing_id()))
+    keyed = docs.select("doc_id", data.alias("data")).withColumn("sha", F.unhex(F.sha2("data", 256))).withColumn("id", F.substring("sha", 1, 16))
+    rows = scratch.save(keyed.select("doc_id", "id", "sha", F.octet_length("data").cast("long").alias("n_bytes")))
+    texts = keyed.where(F.octet_length("data") >= DEPTH).groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min("data").alias("data"))
+    texts = scratch.bucketed(texts, "id")  # dealt out once; whatever is joined to them comes to them
     scratch.tidy()
     found = scratch.save(united(repeated(texts.select("id", "data"), scratch), DEPTH - 1))
     scratch.tidy()
@@ -341,14 +340,15 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 edges = [0, *r.ravel().tolist(), len(x)]
                 sha.append(hashlib.sha256(b"".join(x[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))).hexdigest())
                 spans.append([{"start": a, "end": z} for a, z in r.tolist()])
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(spans, span), pa.array(sha, pa.string())], names=["key", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(spans, span), pa.array(sha, pa.string())], names=["id", "spans", "kept"])
 
-    cuts = texts.where("copies = 1").join(found, "id").select("key", "data", "runs").mapInArrow(keep, "key binary, spans array<struct<start:bigint,end:bigint>>, kept string")
+    cuts = texts.where("copies = 1").join(found, "id").select("id", "data", "runs").mapInArrow(keep, "id binary, spans array<struct<start:bigint,end:bigint>>, kept string")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("data").cast("long").alias("end")))
-    done = cuts.unionByName(texts.where("copies > 1").select("key", all_.alias("spans"), F.sha2(F.lit(""), 256).alias("kept")))
-    out = rows.join(scratch.save(done), "key", "left")
+    done = scratch.save(cuts.unionByName(texts.where("copies > 1").select("id", all_.alias("spans"), F.sha2(F.lit(""), 256).alias("kept"))))
+    scratch.drop(texts)
+    out = rows.join(done, "id", "left")
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
-    out = out.select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept", F.lower(F.hex("key"))).alias("kept_sha256"))
+    out = out.select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept", F.lower(F.hex("sha"))).alias("kept_sha256"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", "spans", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
