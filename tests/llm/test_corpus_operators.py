@@ -51,6 +51,46 @@ def test_near_against_brute_force(spark):
     assert [r.kept for r in got] == [k == c for k, c in enumerate(comp)]
 
 
+def linked(texts, words):
+    """The component of each text, by comparing all pairs."""
+    sets = [set(zip(*(w[k:] for k in range(words)), strict=False)) or {tuple(w)} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    comp = list(range(len(texts)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                comp[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("words", "length", "long", "levels"), [(2, 60, 32, 4), (2, 60, 3, 4), (2, 60, 3, 1), (5, 150, 8, 4)])
+def test_near_tells_large_groups_apart(spark, monkeypatch, words, length, long, levels):
+    monkeypatch.setattr(near_dedup, "LONG", long)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    r, base = random.Random(long), prose(7, length, 900).split()
+    texts = []
+    for k in range(160):  # about the threshold from each other: words changed, left out, put in, ends cut off, own text added
+        w = list(base)
+        for _ in range(r.randrange(1 + length // 12)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((0, 1, 1, 1, 2))] = [f"w{r.randrange(400)}"] * r.choice((0, 1, 1, 1))
+        if k % 5 == 0:
+            w = w[: r.randrange(length // 2, len(w))]
+        if k % 7 == 0:
+            w += [f"own{k // 14}x{x}" for x in range(r.randrange(20))]
+        texts.append(" ".join(w))
+    got = near_dedup.near_dedup(docs(spark, texts), words=words).orderBy("doc_id").collect()
+    want = linked(texts, words)
+    assert 20 < len(set(want)) < 150
+    assert [g.component_id for g in got] == want
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(50)] + [(k, k + 1) for k in range(100, 130)]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +95,17 @@ def trimmed(names: Iterable[str]) -> list[Column]:
     return [F.col(f"`{x}`") for x in names]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and idle ones would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches cut into pieces of few rows, so that very long texts don't meet in Python memory."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+        del batch
+    release()

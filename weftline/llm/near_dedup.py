@@ -15,6 +15,8 @@ from weftline.llm.graph import components
 #: Values of a sketch; lists that a candidate pair must share, while they are short; length of a long list, in which hubs
 #: are tried first; hub rounds.
 K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
+#: Rounds in which large groups are told apart by differences from a hub.
+LEVELS = 4
 #: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
 TRIED, AGREE = 8, 3
 #: A pair is dropped unseen only if its sketch estimate lies so many standard deviations under the wanted similarity.
@@ -90,20 +92,87 @@ def full_sets(asked: DataFrame, units: DataFrame, docs: DataFrame, words: int, s
     return sets
 
 
-def owned(asked: DataFrame, units: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """uid, own: how many values of its full set no other of the units asked for has."""
-    sets = full_sets(asked, units, docs, words, scratch)
+def differences(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """members (hub, uid, comp, hub_comp, score) with what their full sets and their hub's don't share: linked, near, most, d.
+
+    near units are linked to the hub or have its component already. Let two similar sets differ from the hub's by da and
+    db values, of which they have s in common: their own difference is da + db - 2 * s. If one of them is not similar to
+    the hub, s exceeds half of db - (n - n_hub) * (100 - percent) / (100 + percent), as follows from the definition of
+    similar. most is how many of its values, whichever come first, a unit is to be listed under for that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            linked, most, d, n = [], [], [], []
+            for x, y in zip(b["own"].to_pylist(), b["its"].to_pylist(), strict=True):
+                own, its = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                other = np.setxor1d(own, its, assume_unique=True)
+                linked.append((100 - percent) * (len(own) + len(its)) >= (100 + percent) * len(other))
+                shared = ((100 + percent) * len(other) - (100 - percent) * (len(own) - len(its))) // (2 * (100 + percent)) + 1
+                most.append(len(other) - shared + 1)
+                d.append(other.tobytes())
+                n.append(len(own))
+            cols = [*(b[c] for c in ("hub", "uid", "comp", "hub_comp", "score")), pa.array(linked, pa.bool_()), pa.array(most, pa.int64()), pa.array(d, pa.binary()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["hub", "uid", "comp", "hub_comp", "score", "linked", "most", "d", "n"])
+
+    own, its = (sets.select(F.col("uid").alias(k), F.col("hashes").alias(v)) for k, v in (("uid", "own"), ("hub", "its")))
+    found = members.join(own, "uid").join(its, "hub").mapInArrow(run, "hub long, uid long, comp long, hub_comp long, score double, linked boolean, most long, d binary, n long")
+    found = found.withColumn("near", F.col("linked") | (F.col("comp") == F.col("hub_comp")))
+    return scratch.save(found.withColumn("comp", F.when(F.col("near"), F.col("hub_comp")).otherwise(F.col("comp"))).drop("hub_comp"))
+
+
+def relisted(found: DataFrame) -> DataFrame:
+    """Groups (g, uid, comp, score, role, n, d, at) of units that share a difference from a hub; see differences.
+
+    Under the rarest of its differences, as many as most says, a unit is listed; near ones have role 0, others role 1.
+    The others ask under all of theirs, with role 2. Two near units are connected already. d is how many differences a
+    unit has, at how many of them come before this one."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for uid, x in zip(b["uid"].to_pylist(), b["hashes"].to_pylist(), strict=True):
-                h = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), uid)), pa.array(h)], names=["uid", "h"])
-
-    once = sets.mapInArrow(values, "uid long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("uid").alias("uid")).where("k = 1")
-    out = scratch.save(once.groupBy("uid").agg(F.count(F.lit(1)).alias("own")))
-    scratch.drop(sets)
-    return out
+            for hub, uid, x in zip(b["hub"].to_pylist(), b["uid"].to_pylist(), b["d"].to_pylist(), strict=True):
+                d = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), hub)), pa.array(np.full(len(d), uid)), pa.array(d)], names=["hub", "uid", "v"])
+
+    every = found.select("hub", "uid", "d").mapInArrow(values, "hub long, uid long, v long")
+    often = every.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    hits = every.join(often, ["hub", "v"]).groupBy("hub", "uid").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("hits"))  # of one set
+    hits = found.select("hub", "uid", "comp", "score", "near", "most", "n", (F.octet_length("d") / 8).cast("long").alias("d")).join(hits, ["hub", "uid"])
+    hits = hits.select("*", F.posexplode("hits").alias("nth", "hit")).withColumn("at", F.col("d") - F.size("hits") + F.col("nth"))  # values that only it has come first
+    role = F.when(F.col("near"), 0).when(F.col("at") < F.col("most"), 1).otherwise(2)
+    return hits.where("NOT near OR at < most").select(F.xxhash64("hub", "hit.v").alias("g"), "uid", "comp", "score", role.alias("role"), "n", "d", "at")
+
+
+def told_apart(groups: DataFrame, units: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links (a, b) and pairs (a, b) still to confirm, for groups (g, uid, comp, score, role, n, d, at) of units that may be similar.
+
+    The members of a group are paired where that makes up to LONG pairs for each. In another one they are compared with one hub only, the one of largest score: those that are
+    not connected to it must share differences from it with any partner, which makes new and smaller groups. Differences
+    are from full sets and nothing is left out; after LEVELS rounds what is still large is paired as it is."""
+    links, pairs, sets = [], [], None
+    for level in range(LEVELS + 1):
+        asked = F.expr("count_if(role = 0) * count_if(role > 0) + count_if(role = 1) * (count_if(role = 1) - 1) / 2")
+        sized = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max_by(F.struct("uid", "comp"), F.struct("score", "uid")).alias("h"), asked.alias("asked"))
+        sized = small(scratch.save(sized.where("asked > 0 AND m > 1")))
+        last, fits = level == LEVELS, F.col("asked") <= LONG * F.col("m")
+        few = groups.join(sized.where(F.lit(last) | fits).select("g"), "g").drop("score")
+        other = few.select("g", *(F.col(x).alias(f"{x}2") for x in ("uid", "comp", "role", "n", "d", "at")))
+        # if this is the first difference that two have in common, they have no more in common than what follows it in either
+        share = 2 * (100 + percent) * F.least(F.col("d") - F.col("at"), F.col("d2") - F.col("at2")) >= (100 + percent) * (F.col("d") + F.col("d2")) - (100 - percent) * (F.col("n") + F.col("n2"))
+        size = F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100
+        met = few.join(other, "g").where(F.expr("uid < uid2 AND comp <> comp2 AND role + role2 BETWEEN 1 AND 2") & share & size)
+        pairs.append(scratch.save(met.select(F.col("uid").alias("a"), F.col("uid2").alias("b")).distinct()))
+        large = sized.where(~fits)
+        if last or large.isEmpty():
+            break
+        members = groups.join(large, "g").groupBy(F.col("h.uid").alias("hub"), "uid").agg(F.min("comp").alias("comp"), F.min("h.comp").alias("hub_comp"), F.min("score").alias("score"))
+        members = scratch.save(members)
+        if sets is None:
+            sets = full_sets(members.select("uid").distinct(), units, docs, words, scratch)
+        found = differences(members, sets, percent, scratch)
+        links.append(found.where("linked AND uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")))
+        groups = scratch.save(relisted(found))
+        scratch.tidy()
+    return links, pairs
 
 
 def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -149,9 +218,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     K-value sketches (see bound); each unit is therefore listed under its rarest retained values
     only, as many as make a similar pair meet in one list, in up to COUNT if the further ones are short, and values of a
     single unit under none. A unit with too few values that others have is not listed at all. In long lists,
-    one random hub a round is compared with the members first, which joins large groups of near copies at one pair for
-    each member. Then all pairs of different components that meet in so many lists are confirmed: no list is cut. In
-    long lists, values of full sets that a single unit has are counted first, and pairs that they keep apart are left out.
+    one hub a round, the one of largest score first, is compared with the members, which joins large groups of near copies at one pair for
+    each member. Then the pairs of different components in short lists are confirmed, and long lists are told apart by
+    their members' differences from a hub (see told_apart): no list is cut, and none is paired out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -163,12 +232,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     scratch.tidy()
     size = F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100
     long_ = scratch.save(index.groupBy("v").count().where(F.col("count") > LONG).select("v", "count"))
-    tried = index.join(small(long_), "v").groupBy("uid", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "v"))), 1, TRIED).alias("l"))
-    tried = scratch.save(tried.select("uid", "n", F.explode("l.v").alias("v")))
+    tried = index.join(small(long_), "v").groupBy("uid", "n", "score").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "v"))), 1, TRIED).alias("l"))
+    tried = scratch.save(tried.select("uid", "n", "score", F.explode("l.v").alias("v")))
     comp, links = None, []
     for turn in range(ROUNDS):
         lists = at(tried, comp)
-        hubs = lists.groupBy("v").agg(F.min_by(F.struct("uid", "n", "comp"), F.xxhash64("uid", F.lit(turn))).alias("h"))
+        by = F.struct("score", "uid") if turn == 0 else F.struct(F.xxhash64("uid", F.lit(turn)))
+        hubs = lists.groupBy("v").agg(F.max_by(F.struct("uid", "n", "comp"), by).alias("h"))
         tries = lists.join(hubs, "v").select("uid", "n", "comp", F.col("h.uid").alias("hub"), F.col("h.n").alias("n2"), F.col("h.comp").alias("comp2"))
         tries = tries.where((F.col("comp") != F.col("comp2")) & size).groupBy("uid", "hub").agg(F.count(F.lit(1)).alias("met"), F.min("comp2").alias("comp2"))
         tries = scratch.save(tries.where(F.col("met") >= AGREE).groupBy(F.col("uid").alias("a")).agg(F.max_by(F.struct(F.col("hub").alias("b"), "comp2"), F.struct("met", -F.col("hub"))).alias("t")).select("a", "t.*"))
@@ -184,18 +254,23 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     lists = at(index, comp)
     mixed = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("v")
     lists = scratch.save(lists.join(mixed, "v", "left_semi"))
-    # in long lists, a pair must be able to be similar without the values that only one of all units in such lists has
-    wide = scratch.save(lists.groupBy("v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LONG).select("v", F.lit(True).alias("wide")))
-    asked = lists.join(small(wide), "v").select("uid").distinct()
-    lists = lists.join(small(wide), "v", "left").join(owned(asked, units, docs, words, scratch), "uid", "left")
-    lists = scratch.save(lists.withColumn("rest", F.when(F.col("wide"), F.col("n") - F.coalesce("own", F.lit(0)))).drop("wide", "own"))
+    long_ = scratch.save(lists.groupBy("v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LONG).select("v"))
+    inside = scratch.save(lists.join(small(long_), "v").groupBy("uid").agg(F.count(F.lit(1)).alias("l")))
+    short = lists.join(small(long_), "v", "left_anti").join(small(inside), "uid", "left").withColumn("l", F.coalesce("l", F.lit(0).cast("long")))
+    other = short.select("v", *(F.col(x).alias(f"{x}2") for x in ("uid", "n", "comp", "c", "l")))
+    pairs = short.join(other, "v").where((F.col("uid") < F.col("uid2")) & (F.col("comp") != F.col("comp2")) & size)
+    pairs = pairs.groupBy(F.col("uid").alias("a"), F.col("uid2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("c", "c2") - F.least("l", "l2")).alias("least"))
+    pairs = scratch.save(pairs.where("shared >= least").select("a", "b"))  # of the lists that they must share, so many are short
+    # in long lists, similar sizes are in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    groups = lists.join(small(long_), "v").withColumn("band", F.explode(F.array(band, band - 1)))
+    groups = scratch.save(groups.select(F.xxhash64("v", "band").alias("g"), "uid", "comp", "score", F.lit(1).alias("role"), "n", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("at")))
     scratch.tidy()
-    other = lists.select("v", F.col("uid").alias("uid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"))
-    able = F.col("rest").isNull() | (F.least("rest", "rest2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-    pairs = lists.join(other, "v").where((F.col("uid") < F.col("uid2")) & (F.col("comp") != F.col("comp2")) & size & able)
-    pairs = pairs.groupBy("uid", "uid2").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("c", "c2")).alias("least"))
-    pairs = scratch.save(pairs.where("shared >= least").select(F.col("uid").alias("a"), F.col("uid2").alias("b")))
-    links.append(confirm(pairs, units, docs, words, percent, scratch))
+    more, apart = told_apart(groups, units, docs, words, percent, scratch)
+    links += more
+    for x in apart:
+        pairs = pairs.unionByName(x)
+    links.append(confirm(scratch.save(pairs.distinct()), units, docs, words, percent, scratch))
     comp = joined(links, scratch)
     named = at(units.select("uid", "set_key", "first"), comp)
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -206,17 +281,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def inverted(units: DataFrame, percent: int) -> DataFrame:
-    """v, uid, n, c: the rarest retained values of each unit, and how many lists a similar pair shares at least."""
+    """v, uid, n, c, score: the rarest retained values of each unit, and how many lists a similar pair shares at least.
+
+    score is how common a unit's retained values are: in a group of near copies it is largest in their midst."""
     values = units.select("uid", F.explode("sketch").alias("v"))
     often = values.groupBy("v").count().where("count >= 2")
     hits = values.join(often, "v").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("hits"))  # at most K
     at_ = units.select("uid", "n", F.size("sketch").alias("len")).join(hits, "uid")
+    at_ = at_.withColumn("score", F.aggregate("hits", F.lit(0.0), lambda a, x: a + F.log2(x["count"].cast("double"))) / F.col("len"))
     shared = F.greatest(F.lit(1), F.ceil(bound(F.col("n"), percent) * F.col("len"))).cast("int")
     # one list that a similar pair shares needs all but shared - 1 of the hits; each further one needs the next hit
     at_ = at_.withColumn("shared", shared).withColumn("need", F.size("hits") - F.col("shared") + 1).where("need > 0")
     more = F.filter(F.slice("hits", F.col("need") + 1, F.least(F.lit(COUNT), F.col("shared")) - 1), lambda x: x["count"] <= LONG)
     at_ = at_.withColumn("c", F.size(more) + 1)
-    return at_.select("uid", "n", "c", F.explode(F.slice("hits", 1, F.col("need") + F.col("c") - 1)).alias("hit")).select("hit.v", "uid", "n", "c")
+    return at_.select("uid", "n", "c", "score", F.explode(F.slice("hits", 1, F.col("need") + F.col("c") - 1)).alias("hit")).select("hit.v", "uid", "n", "c", "score")
 
 
 def at(frame: DataFrame, comp: DataFrame | None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, slices, small, table
+from weftline.llm.common import Scratch, release, slices, small, table
 
 DEPTH = 400
 #: Order of the plane that the difference cover comes from: its period is q*q + q + 1, with q + 1 residues.
@@ -168,13 +167,6 @@ def padded(a: np.ndarray) -> np.ndarray:
     return np.concatenate([a, np.zeros(DEPTH + 64, np.uint32)])
 
 
-def release() -> None:
-    """Gives freed memory back to the system: workers outlive their tasks, and idle ones would keep it."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def equal_suffixes(bodies: list[bytes]) -> list[np.ndarray]:
     """For each body the mask of its suffixes (of at least DEPTH bytes) whose first DEPTH bytes begin elsewhere in the bucket.
 
