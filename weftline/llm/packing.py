@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,44 +21,91 @@ LIMIT = 4096
 REMEMBERED = 250_000
 
 
+#: Fixed value: the split of the vocabularies whose words can be encoded apart. No alternative reaches over white space.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters with one mark behind them, which that split takes apart.
+MARKED = r"^\pL+[.,;:!?]$"
+
+
 class WordIds:
-    """Ids of whole texts. White space never joins two tokens of the vocabularies used here, so that each word between
-    spaces, tabs and line ends is encoded once and remembered; the words of a batch that are new go to the tokenizer
-    together. Two generations bound the memory."""
+    """Ids of whole texts. Where the vocabulary's own split never reaches over white space, each word between spaces, tabs
+    and line ends is encoded once and remembered, apart from a mark behind it, and from its case if the vocabulary lower-cases; two
+    generations bound the memory. With any other vocabulary, texts are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        known, bare = {}, {}
-        for w in words:  # letters with one mark after them, in a case that folds letter by letter
-            head = w[:-1]
-            bare[w] = (head.lower(), w[-1]) if w[-1] in ".,;:!?" and head.isalpha() and head.isascii() else (w.lower(), "") if w.isascii() and w.isalpha() else (w, "")
-        todo = list({x for pair in bare.values() for x in pair if x and x not in self.new and x not in self.old})
-        for at in range(0, len(todo), 2048):
-            block = todo[at : at + 2048]
+        made = json.loads(self.tokenizer.to_str())
+        inner = lambda x, name: (x or {}).get(name) or [x or {}]
+        steps, forms = inner(made["pre_tokenizer"], "pretokenizers"), inner(made["normalizer"], "normalizers")
+        self.apart = steps[0].get("pattern") == {"Regex": APART} and steps[0].get("invert") and [x.get("type") for x in steps[1:]] in ([], ["ByteLevel"])
+        self.apart = bool(self.apart and {x.get("type") for x in forms} <= {None, "NFC", "Replace", "Lowercase"} and not made["post_processor"])
+        self.apart = self.apart and all(x.get("type") != "Replace" or x["pattern"] == {"Regex": "\\s+"} for x in forms) and not any(x["normalized"] for x in made["added_tokens"])
+        self.folds = any(x.get("type") == "Lowercase" for x in forms)
+        tail, vocabulary = made["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if tail and w.endswith(tail)]] = True
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words. Those of letters alone go to the tokenizer as one text: each ends where a token does that
+        ends a word, as long as there are as many of these as words."""
+        known, plain = {}, [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        for at in range(0, len(plain), 2048):
+            block = plain[at : at + 2048]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(block):
+                other += block
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known |= {w: raw[cuts[k] : cuts[k + 1]] for k, w in enumerate(block)}
+        for at in range(0, len(other), 2048):
+            block = other[at : at + 2048]
             for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
                 known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = lambda x: known[x] if x in known else self.new[x] if x in self.new else self.old[x]
-        known |= {w: get(a) + (get(b) if b else b"") for w, (a, b) in bare.items()}
         return known
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.new and w not in self.old}
-        missing.discard("")
+    def _pool(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words one after the other, and the length of each."""
+        new, old = self.new, self.old
+        missing = [w for w in words if w and w not in new and w not in old]
         got = self._learn(missing) if missing else {}
-        new, old, out = self.new, self.old, []
-        for ws in split:
-            out.append(b"".join([new[w] if w in new else got[w] if w in got else old[w] for w in ws if w]))
+        each = [new[w] if w in new else got[w] if w in got else old[w] if w else b"" for w in words]
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
         self.new |= got
-        return out
+        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) one after the other, and where each text begins."""
+        if not self.apart:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter((i for x in ids for i in x), "<u4"), np.cumsum([0, *map(len, ids)])
+        for mark in "\n\t\r":
+            texts = pc.replace_substring(texts, mark, " ")
+        split = pc.split_pattern(texts, " ")
+        flat = split.flatten().dictionary_encode()
+        words = flat.dictionary
+        if self.folds:
+            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        marked = pc.match_substring_regex(words, MARKED)
+        heads = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), "")
+        both = pa.concat_arrays([heads, marks]).dictionary_encode()
+        pool, size = self._pool(both.dictionary.to_pylist())
+        pool, ends = gathered(pool, size, both.indices.to_numpy().reshape(2, -1).T.ravel())  # of words with their marks
+        ids, ends = gathered(pool, np.diff(ends[::2]), flat.indices.to_numpy())
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def gathered(pool: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a pool, of the sizes given, in another order, and where each begins."""
+    begin, n = (np.cumsum(size) - size)[which], size[which]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return pool[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -76,24 +125,30 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, pos, part = encoder(tokenizer), np.zeros(limit + 1, dtype=np.int64), 0, TaskContext.get().partitionId()
-        tail = np.asarray([end], dtype="<u4").tobytes()
-        for b in slices(batches):
-            texts = [t or "" for t in b["text"].to_pylist()]
-            rows: list[tuple] = []
-            for k, ids in enumerate(words.encode(texts)):
-                ids += tail
-                for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                    cut = ids[at : at + 4 * limit]
-                    n = len(cut) // 4
-                    rows.append((pos, int(seen[n]), k, piece, at // 4, n, cut))
-                    seen[n] += 1
-                    pos += 1
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            ids_col = b["doc_id"].take(pa.array(cols[2], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(rows), type=pa.int32()), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.int64()), ids_col, pa.array(cols[3], type=pa.int32()), pa.array(cols[4], type=pa.int64()), pa.array(cols[5], type=pa.int64()), pa.array(cols[6], type=pa.binary())],
-                names=["part", "pos", "nth", "doc_id", "piece", "start", "length", "ids"],
-            )
+        for b in slices(batches, 1024):
+            ids, begin = words.encode(b["text"].cast(pa.string()).fill_null(""))
+            k = np.arange(b.num_rows)
+            begin = begin + np.arange(b.num_rows + 1)  # with an end id behind every text
+            full = np.full(begin[-1], end, "<u4")
+            own = np.ones(len(full), bool)
+            own[begin[1:] - 1] = False
+            full[own] = ids
+            size = np.diff(begin)
+            parts = -(-size // limit)
+            text, piece = np.repeat(k, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * limit
+            length = np.minimum(size[text] - start, limit)
+            order = np.argsort(length, kind="stable")
+            first = np.concatenate([[True], np.diff(length[order]) > 0]) if len(order) else np.zeros(0, bool)
+            nth = np.empty(len(order), np.int64)
+            nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            nth += seen[length]
+            seen += np.bincount(length, minlength=limit + 1)
+            edges = pa.array((4 * np.append(begin[text] + start, len(full))).astype(np.int32))
+            cut = pa.Array.from_buffers(pa.binary(), len(text), [None, edges.buffers()[1], pa.py_buffer(full)])
+            cols = [np.full(len(text), part, np.int32), pos + np.arange(len(text)), nth, b["doc_id"].take(pa.array(text)), piece.astype(np.int32), start, length, cut]
+            pos += len(text)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["part", "pos", "nth", "doc_id", "piece", "start", "length", "ids"])
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, f"part int, pos long, nth long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
