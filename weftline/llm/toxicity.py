@@ -59,12 +59,24 @@ class Model:
 
 
 def _gather(features: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the chosen features."""
-    n = np.array([len(f) for f in features], dtype=np.int64)
-    row, flat = np.repeat(np.arange(len(features)), n), np.concatenate([*features, np.zeros(0, np.uint32)])
-    col = np.searchsorted(chosen, flat)
-    hit = (col < len(chosen)) & (chosen[np.minimum(col, len(chosen) - 1)] == flat) if len(chosen) else np.zeros(len(flat), bool)
-    return row[hit], col[hit]
+    """Row and column numbers of the chosen features, looked up few rows at a time."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(features) if len(chosen) else 0, 256):
+        block = features[at : at + 256]
+        flat = np.concatenate(block)
+        col = np.searchsorted(chosen, flat)
+        hit = chosen[np.minimum(col, len(chosen) - 1)] == flat
+        rows.append(np.repeat(np.arange(at, at + len(block)), [len(f) for f in block])[hit])
+        cols.append(col[hit])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _counted(features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different features in order, and in how many rows each is."""
+    flat = np.concatenate([*features, np.zeros(0, np.uint32)])
+    flat.sort()
+    first = np.flatnonzero(np.concatenate([[True] * bool(len(flat)), flat[1:] != flat[:-1]]))
+    return flat[first], np.diff(np.append(first, len(flat)))
 
 
 def fit(features: list[np.ndarray], swaps: list[np.ndarray | None], labels: np.ndarray, steps: int = 400, fair: float = 1.0, ridge: float = 2e-4) -> Model:
@@ -73,14 +85,15 @@ def fit(features: list[np.ndarray], swaps: list[np.ndarray | None], labels: np.n
     y = labels.astype(float)
     if not len(y) or y.min() == y.max():
         return Model(bias=20.0 if len(y) and y[0] else -20.0)
-    flat, n = np.concatenate(features), np.array([len(f) for f in features])
-    ids, inverse = np.unique(flat, return_inverse=True)
-    of = np.repeat(y, n)
-    pos, all_ = np.bincount(inverse, of, len(ids)), np.bincount(inverse, minlength=len(ids))
+    ids, all_ = _counted(features)
+    own, times = _counted([f for f, k in zip(features, y, strict=True) if k])
+    pos = np.zeros(len(ids))
+    pos[np.searchsorted(ids, own)] = times
     neg, p, q = all_ - pos, y.sum(), len(y) - y.sum()
     excess = pos * q - neg * p  # the sign of the association, and with the margins its chi-square
     chi = len(y) * excess**2 / (all_ * np.maximum(1, len(y) - all_) * p * q)
     chosen = ids[(excess > 0) & (chi > 10) & (pos >= 3)]
+    del ids, all_, pos, neg, excess, chi
     row, col = _gather(features, chosen)
     pair = [k for k, s in enumerate(swaps) if s is not None]
     srow, scol = _gather([swaps[k] for k in pair], chosen)
@@ -124,12 +137,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     # at most sum(sample.values()) ids
     got = text.join(F.broadcast(picked), "doc_id").mapInArrow(run, f"doc_id {kind}, toxic int, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     scratch.drop(picked)
-    cut = lambda x: None if x is None else np.frombuffer(x, np.uint32)
-    return fit([cut(x) for x in got["f"].to_pylist()], [cut(x) for x in got["s"].to_pylist()], got["toxic"].to_numpy())
+    f, s = ([np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else None for x in got[c]] for c in ("f", "s"))  # no copies
+    return fit(f, s, got["toxic"].to_numpy())
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """df with the score of each whole text (null: empty) as a last column; one pass, no shuffle, rows as they are."""
+    """df with the score of each whole text (null: empty) as a last column; one pass, no shuffle, rows as they are.
+
+    A column that has the score's name already is replaced; no rows give no rows; repeated rows and nulls elsewhere stay."""
+    df = df.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
