@@ -21,8 +21,6 @@ BOS, EOS, INST, INST_END, SYS, SYS_END, ROLE, ROLE_END, END = range(len(CONTROLS
 #: What opens and closes the turns of a role; the assistant's turn opens with nothing. Other roles are spelled out.
 FRAMES = {"user": (INST, INST_END), "system": (SYS, SYS_END), "assistant": (None, EOS)}
 ESCAPE = "\x1b"
-#: Characters that are encoded at once; longer segments are encoded in parts, so that none costs more than its length.
-PART = 20_000
 
 _CONTROL = re.compile(f"(?=(?:{'|'.join(map(re.escape, CONTROLS))}))(.)", re.S)
 
@@ -46,12 +44,6 @@ def codec(path: str):
     return tiktoken.Encoding("weftline", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks) + 1
 
 
-def encode(enc, text: str) -> list[int]:
-    if len(text) <= PART:
-        return enc.encode_ordinary(text)
-    return [i for k in range(0, len(text), PART) for i in enc.encode_ordinary(text[k : k + PART])]
-
-
 def format_turn(enc, first: int, role: str, text: str, opens: bool) -> tuple[str, np.ndarray, np.ndarray]:
     """Text, ids and loss mask of one turn. opens: the turn begins its conversation."""
     segments: list[tuple[str, list[int], int]] = [("<s>", [first + BOS], 0)] if opens else []
@@ -61,10 +53,10 @@ def format_turn(enc, first: int, role: str, text: str, opens: bool) -> tuple[str
         control(opened)
     if opened == ROLE:
         name = escape(role)
-        segments.append((name, encode(enc, name), 0))
+        segments.append((name, enc.encode_ordinary(name), 0))
         control(ROLE_END)
     safe = escape(text)
-    segments.append((safe, encode(enc, safe), int(role == "assistant")))
+    segments.append((safe, enc.encode_ordinary(safe), int(role == "assistant")))
     control(closed)
     ends = np.cumsum([len(s[1]) for s in segments])
     change = np.zeros(int(ends[-1]) + 1, dtype=np.int8)
