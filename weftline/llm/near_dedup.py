@@ -17,6 +17,8 @@ from weftline.llm.graph import components
 K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
 #: Rounds in which large groups are told apart by differences from a hub.
 LEVELS = 4
+#: Differences that a task lists.
+VALUES = 1 << 16
 #: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
 TRIED, AGREE = 8, 3
 #: A pair is dropped unseen only if its sketch estimate lies so many standard deviations under the wanted similarity.
@@ -133,7 +135,9 @@ def relisted(found: DataFrame) -> DataFrame:
                 d = np.frombuffer(x, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), hub)), pa.array(np.full(len(d), uid)), pa.array(d)], names=["hub", "uid", "v"])
 
-    every = found.select("hub", "uid", "d").mapInArrow(values, "hub long, uid long, v long")
+    total = found.agg(F.sum(F.octet_length("d"))).first()[0] or 0
+    even = found.select("hub", "uid", "d").repartition(-(-total // (8 * VALUES)) or 1)  # a hub's members are not left in one task
+    every = even.mapInArrow(values, "hub long, uid long, v long")
     often = every.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     hits = every.join(often, ["hub", "v"]).groupBy("hub", "uid").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("hits"))  # of one set
     hits = found.select("hub", "uid", "comp", "score", "near", "most", "n", (F.octet_length("d") / 8).cast("long").alias("d")).join(hits, ["hub", "uid"])
@@ -272,9 +276,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         pairs = pairs.unionByName(x)
     links.append(confirm(scratch.save(pairs.distinct()), units, docs, words, percent, scratch))
     comp = joined(links, scratch)
-    named = at(units.select("uid", "set_key", "first"), comp)
-    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = scratch.save(named.join(least, "comp").select("set_key", "component_id"))
+    least = comp.join(units.select(F.col("uid").alias("id"), "first"), "id").groupBy("comp").agg(F.min("first").alias("component_id"))
+    known = comp.join(small(scratch.save(least)), "comp").select(F.col("id").alias("uid"), F.col("component_id"), F.lit(True).alias("linked"))
+    named = units.select("uid", "set_key", "first").join(known, "uid", "left")
+    named = scratch.save(named.select("set_key", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")))
     out = rows.select("doc_id", "n", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
