@@ -17,6 +17,8 @@ from weftline.llm.graph import components
 K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
 #: Rounds in which large groups are told apart by differences from a hub.
 LEVELS = 4
+#: Comparisons by their numbers of differences that each member of a group may take.
+COMPARED = 512
 #: Differences that a task lists.
 VALUES = 1 << 16
 #: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
@@ -95,29 +97,32 @@ def full_sets(asked: DataFrame, units: DataFrame, docs: DataFrame, words: int, s
 
 
 def differences(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """members (hub, uid, comp, hub_comp, score) with what their full sets and their hub's don't share: linked, near, most, d.
+    """members (hub, uid, comp, hub_comp, score) with what their full sets and their hub's don't share: linked, near, most, asks, d, n.
 
     near units are linked to the hub or have its component already. Let two similar sets differ from the hub's by da and
     db values, of which they have s in common: their own difference is da + db - 2 * s. If one of them is not similar to
     the hub, s exceeds half of db - (n - n_hub) * (100 - percent) / (100 + percent), as follows from the definition of
-    similar. most is how many of its values, whichever come first, a unit is to be listed under for that."""
+    similar. most is how many of its values, whichever come first, a unit is to be listed under for that; asks is how many
+    one that is not near looks among for units that are, since it has at least da - n * (100 - percent) / percent in common
+    with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            linked, most, d, n = [], [], [], []
+            linked, most, asks, d, n = [], [], [], [], []
             for x, y in zip(b["own"].to_pylist(), b["its"].to_pylist(), strict=True):
                 own, its = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 other = np.setxor1d(own, its, assume_unique=True)
                 linked.append((100 - percent) * (len(own) + len(its)) >= (100 + percent) * len(other))
                 shared = ((100 + percent) * len(other) - (100 - percent) * (len(own) - len(its))) // (2 * (100 + percent)) + 1
                 most.append(len(other) - shared + 1)
+                asks.append(len(other) - max(1, -((100 - percent) * len(own) - percent * len(other)) // percent) + 1)
                 d.append(other.tobytes())
                 n.append(len(own))
-            cols = [*(b[c] for c in ("hub", "uid", "comp", "hub_comp", "score")), pa.array(linked, pa.bool_()), pa.array(most, pa.int64()), pa.array(d, pa.binary()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["hub", "uid", "comp", "hub_comp", "score", "linked", "most", "d", "n"])
+            cols = [*(b[c] for c in ("hub", "uid", "comp", "hub_comp", "score")), pa.array(linked, pa.bool_()), pa.array(most, pa.int64()), pa.array(asks, pa.int64()), pa.array(d, pa.binary()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["hub", "uid", "comp", "hub_comp", "score", "linked", "most", "asks", "d", "n"])
 
     own, its = (sets.select(F.col("uid").alias(k), F.col("hashes").alias(v)) for k, v in (("uid", "own"), ("hub", "its")))
-    found = members.join(own, "uid").join(its, "hub").mapInArrow(run, "hub long, uid long, comp long, hub_comp long, score double, linked boolean, most long, d binary, n long")
+    found = members.join(own, "uid").join(its, "hub").mapInArrow(run, "hub long, uid long, comp long, hub_comp long, score double, linked boolean, most long, asks long, d binary, n long")
     found = found.withColumn("near", F.col("linked") | (F.col("comp") == F.col("hub_comp")))
     return scratch.save(found.withColumn("comp", F.when(F.col("near"), F.col("hub_comp")).otherwise(F.col("comp"))).drop("hub_comp"))
 
@@ -126,7 +131,7 @@ def relisted(found: DataFrame) -> DataFrame:
     """Groups (g, uid, comp, score, role, n, d, at) of units that share a difference from a hub; see differences.
 
     Under the rarest of its differences, as many as most says, a unit is listed; near ones have role 0, others role 1.
-    The others ask under all of theirs, with role 2. Two near units are connected already. d is how many differences a
+    The others ask under more of theirs, with role 2. Two near units are connected already. d is how many differences a
     unit has, at how many of them come before this one."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +145,19 @@ def relisted(found: DataFrame) -> DataFrame:
     every = even.mapInArrow(values, "hub long, uid long, v long")
     often = every.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     hits = every.join(often, ["hub", "v"]).groupBy("hub", "uid").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("hits"))  # of one set
-    hits = found.select("hub", "uid", "comp", "score", "near", "most", "n", (F.octet_length("d") / 8).cast("long").alias("d")).join(hits, ["hub", "uid"])
-    hits = hits.select("*", F.posexplode("hits").alias("nth", "hit")).withColumn("at", F.col("d") - F.size("hits") + F.col("nth"))  # values that only it has come first
+    hits = found.select("hub", "uid", "comp", "score", "near", "most", "asks", "n", (F.octet_length("d") / 8).cast("long").alias("d")).join(hits, ["hub", "uid"])
+    hits = hits.withColumn("alone", F.col("d") - F.size("hits"))  # values that only it has come first
+    upto = F.greatest(F.lit(0), F.greatest("most", F.when(~F.col("near"), F.col("asks"))) - F.col("alone")).cast("int")
+    hits = hits.select("*", F.posexplode(F.slice("hits", F.lit(1), upto)).alias("nth", "hit")).withColumn("at", F.col("alone") + F.col("nth"))
     role = F.when(F.col("near"), 0).when(F.col("at") < F.col("most"), 1).otherwise(2)
-    return hits.where("NOT near OR at < most").select(F.xxhash64("hub", "hit.v").alias("g"), "uid", "comp", "score", role.alias("role"), "n", "d", "at")
+    return hits.select(F.xxhash64("hub", "hit.v").alias("g"), "uid", "comp", "score", role.alias("role"), "n", "d", "at")
 
 
 def told_apart(groups: DataFrame, units: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links (a, b) and pairs (a, b) still to confirm, for groups (g, uid, comp, score, role, n, d, at) of units that may be similar.
 
-    The members of a group are paired where that makes up to LONG pairs for each. In another one they are compared with one hub only, the one of largest score: those that are
+    The members of a group are paired where that takes up to LONG comparisons for each, or COMPARED where their numbers of
+    differences tell most pairs apart. In another one they are compared with one hub only, the one of largest score: those that are
     not connected to it must share differences from it with any partner, which makes new and smaller groups. Differences
     are from full sets and nothing is left out; after LEVELS rounds what is still large is paired as it is."""
     links, pairs, sets = [], [], None
@@ -157,7 +165,7 @@ def told_apart(groups: DataFrame, units: DataFrame, docs: DataFrame, words: int,
         asked = F.expr("count_if(role = 0) * count_if(role > 0) + count_if(role = 1) * (count_if(role = 1) - 1) / 2")
         sized = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max_by(F.struct("uid", "comp"), F.struct("score", "uid")).alias("h"), asked.alias("asked"))
         sized = small(scratch.save(sized.where("asked > 0 AND m > 1")))
-        last, fits = level == LEVELS, F.col("asked") <= LONG * F.col("m")
+        last, fits = level == LEVELS, F.col("asked") <= (COMPARED if level else LONG) * F.col("m")
         few = groups.join(sized.where(F.lit(last) | fits).select("g"), "g").drop("score")
         other = few.select("g", *(F.col(x).alias(f"{x}2") for x in ("uid", "comp", "role", "n", "d", "at")))
         # if this is the first difference that two have in common, they have no more in common than what follows it in either
