@@ -54,16 +54,58 @@ def test_text_functions(spark):
     r = one(
         spark, text.truncate_middle(F.lit("a" * 401)).alias("cut"), text.truncate_head_tail(F.lit("x" * 11), 10, 1.0).alias("head"),
         text.think_split(F.lit("<think>why</think> so")).alias("t"), text.assistant_split(F.lit("<think>open")).alias("a"), text.display_width(F.lit("Tiếng 漢字")).alias("w"),
-        text.snake_case(F.lit("PetStore-Api")).alias("s"), text.pascal_case(F.lit("pet_store")).alias("p"), text.human_bytes(F.lit(1536)).alias("b"), text.merge_stop(F.lit("x"), ["!"]).alias("m"),
+        text.snake_case(F.lit("PetStoreApi")).alias("s"), text.pascal_case(F.lit("pet_store")).alias("p"), text.human_bytes(F.lit(1536)).alias("b"), text.merge_stop(F.lit("x"), ["!"]).alias("m"),
     )
     assert "truncated 1 chars" in r.cut and r.head == "x" * 10 + "\n...\n"
     assert (r.t.reasoning, r.t.answer) == ("why", "so") and not r.a.think_done and r.a.content == ""
     assert (r.w, r.s, r.p, r.b, r.m) == (10, "pet_store_api", "PetStore", "1.5 KB", "x!")
 
 
-@pytest.mark.parametrize(("total", "off", "lim", "want"), [(100, -9, 0, (0, 1)), (100, 98, 50, (98, 100)), (100, 999, 50, (99, 100)), (0, 12, 50, (0, 0)), (5000, 0, 99999, (0, 1024))])
-def test_window_bounds(spark, total, off, lim, want):
-    assert tuple(one(spark, tokens.window_bounds(F.lit(total), F.lit(off), F.lit(lim)).alias("b")).b) == want
+def test_window_bounds(spark):
+    r = random.Random(8)
+    cases = [(n, r.randrange(-5, 2 * n + 5), r.randrange(-3, n + 40)) for n in (0, 1, 2, 37, 1500) for _ in range(12)]
+    df = spark.createDataFrame(cases, "total int, off int, lim int").select("*", tokens.window_bounds(F.col("total"), F.col("off"), F.col("lim"), 32).alias("b"))
+    for x in df.collect():
+        start, end = x.b
+        assert 0 <= start <= end <= x.total and (end > start or x.total == 0) and end - start <= 32
+        if 0 <= x.off < x.total:
+            assert start == x.off and end - start == min(32, max(1, x.lim), x.total - x.off)
+
+
+def test_map_rows_keeps_integers(spark):
+    df = spark.createDataFrame([(9007199254740993, None), (None, "x")], "k long, v string")
+    got = mapping.map_rows(df, lambda row: row["k"] and row["k"] + 1, "long").collect()
+    assert [(x.k, x.v, x.result) for x in got] == [(9007199254740993, None, 9007199254740994), (None, "x", None)]
+
+
+def test_think_and_case(spark):
+    ask = lambda t: tuple(one(spark, text.think_split(F.lit(t)).alias("t")).t)
+    assert ask("pre <think>a</think> b") == ("a", "b") and ask("x </think> <think>z</think> w") == ("z", "w")
+    assert ask("no mark") == (None, "no mark") and ask("<think> open") == ("open", "")
+    r = one(spark, text.snake_case(F.lit("HTTPServer")).alias("a"), text.snake_case(F.lit("petId")).alias("b"), text.pascal_case(F.lit("pet-store_api")).alias("c"))
+    assert (r.a, r.b, r.c) == ("h_t_t_p_server", "pet_id", "PetStoreApi")
+
+
+def test_normalize_messages(spark):
+    say = '[{"role":"user","content":"hi","x":1},{"from":"gpt","value":"yo"}]'
+    read = lambda t, form="auto": [tuple(m) for m in one(spark, chat.normalize_messages(F.lit(t), form).alias("m")).m]
+    want = [("user", "hi"), ("gpt", "yo")]
+    rows = (say, f'{{"messages":{say}}}', json.dumps({"messages": say}), f'{{"outbound_messages":5,"input_messages":{say}}}', f'{{"messages":{say},"conversations":[]}}')
+    assert all(read(t) == want for t in rows)
+    assert read('{"system":"s","conversations":[{"from":"human","value":"q"}]}') == [("system", "s"), ("human", "q")]
+    assert one(spark, chat.normalize_messages(F.lit(None).cast("string")).alias("m")).m is None
+    for bad in ('{"a":1}', '[{"content":"x"}]'):
+        with pytest.raises(Exception, match="(?i)no messages|without role"):
+            read(bad)
+
+
+def test_sdd(spark):
+    row = {"format": tokens.SDD_FORMAT, "student_ids": [1], "teacher_ids": [1, 2, 3], "response_ids": []}
+    ask = lambda x: one(spark, tokens.is_sdd(F.lit(json.dumps(x))).alias("s")).s
+    assert ask(row) and not ask(row | {"format": "x"}) and not ask(row | {"teacher_ids": 3}) and not ask([])
+    ids = lambda k: F.array(*map(F.lit, k)) if k else F.expr("array()").cast("array<int>")
+    w = one(spark, tokens.sdd_window(ids([1]), ids([1, 2, 3]), ids([]), F.lit(1), F.lit(9)).alias("w")).w
+    assert (w.start, w.end, w.student_ids, w.teacher_ids, w.response_ids) == (1, 3, [], [2, 3], [])
 
 
 def test_regions(spark):

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _WS = r"[\t\n\x0B\f\r ]+"
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{_WS}|{_WS}$", "")
 
@@ -34,13 +39,18 @@ def title(x: Column, most: int = 30) -> Column:
 
 
 def think_split(x: Column) -> Column:
-    """reasoning and answer: what stands in think marks anywhere, and the rest. An open mark has no answer yet."""
-    start, end = F.instr(x, "<think>"), F.instr(x, "</think>")
-    n = F.char_length(x)
-    body = F.when(end > start, F.substring(x, start + 7, end - start - 7)).otherwise(F.substring(x, start + 7, n))
-    rest = F.when(end > start, F.concat(F.substring(x, F.lit(1), start - 1), F.substring(x, end + 8, n))).otherwise(F.lit(""))
-    none = F.lit(None).cast("string")
-    return F.struct(F.when(start > 0, F.nullif(strip(body), F.lit(""))).otherwise(none).alias("reasoning"), F.when(start > 0, strip(rest)).otherwise(x).alias("answer"))
+    """reasoning and answer: what the first think mark encloses, and what follows it; what precedes it is dropped.
+
+    A mark that is still open has no answer yet. Without a mark everything is the answer; null stays null."""
+
+    def parts(t: Column) -> Column:
+        end, start = F.instr(t["body"], "</think>"), t["start"]
+        reasoning = F.when(end > 0, F.substring(t["body"], F.lit(1), end - 1)).otherwise(t["body"])
+        answer = F.when(end > 0, strip(F.substring(t["body"], end + 8, F.char_length(t["body"])))).otherwise(F.lit(""))
+        return F.struct(F.when(start > 0, F.nullif(strip(reasoning), F.lit(""))).alias("reasoning"), F.when(start > 0, answer).otherwise(x).alias("answer"))
+
+    start = F.instr(x, "<think>")
+    return let(F.struct(start.alias("start"), F.substring(x, start + 7, F.char_length(x)).alias("body")), parts)
 
 
 def assistant_split(x: Column) -> Column:
@@ -91,11 +101,14 @@ def content_or_empty(x: Column) -> Column:
 
 
 def snake_case(x: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(x, r"[^0-9A-Za-z]+", "_"), r"(?<=[a-z0-9])([A-Z])", "_$1"))
+    """Every capital but a first one gets an underscore before it, and all are lower-cased; nothing else changes."""
+    return F.lower(F.regexp_replace(x, r"(?<!^)(\p{Lu})", "_$1"))
 
 
 def pascal_case(x: Column) -> Column:
-    return F.replace(F.initcap(F.regexp_replace(x, r"[^0-9A-Za-z]+", " ")), F.lit(" "), F.lit(""))
+    """Parts between underscores and hyphens, each word of letters with a capital first and small letters after it."""
+    title = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), F.initcap), "")
+    return F.array_join(F.transform(F.split(x, "[_-]+"), title), "")
 
 
 def key_title(x: Column) -> Column:

@@ -98,3 +98,32 @@ def tools(x: Column) -> Column:
     """A list given as JSON text, as VARIANT; anything else is null."""
     v = F.try_parse_json(x)
     return F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), v)
+
+
+def message_list(x: Column) -> Column:
+    """Messages of a list given as JSON text, with role and content or with from and value; null where it is no list.
+
+    A message that names nobody is an error; other keys are left out."""
+    got = F.from_json(F.when(F.startswith(F.ltrim(x), F.lit("[")), x), "array<struct<role:string,content:string,from:string,value:string>>")
+    nobody = F.raise_error(F.lit("message without role or from")).cast("string")
+    pair = lambda m: m["from"].isNotNull() & m["value"].isNotNull()
+    role = lambda m: F.when(pair(m), m["from"]).when(m["role"].isNotNull(), m["role"]).otherwise(nobody)
+    content = lambda m: F.when(pair(m), m["value"]).otherwise(F.coalesce(m["content"], F.lit("")))
+    return F.transform(got, lambda m: F.struct(role(m).alias("role"), content(m).alias("content")))
+
+
+def normalize_messages(row: Column, form: str = "auto") -> Column:
+    """Messages of a row given as JSON text, whatever its form.
+
+    A bare list is the messages. In an object, from/value pairs under conversations count where form is sharegpt, or auto
+    and there is no messages field; otherwise the first of messages, outbound_messages, input_messages and conversations
+    that is a list, be it as text. A row without any is an error; null stays null."""
+    has = lambda k: F.coalesce(F.array_contains(F.json_object_keys(row), k), F.lit(False))
+    field = lambda k: message_list(F.get_json_object(row, f"$.{k}"))
+    pairs = F.transform(field("conversations"), lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value")))
+    shared = from_pairs(pairs, F.get_json_object(row, "$.system"))
+    missing = F.raise_error(F.lit("no messages in row")).cast(MESSAGES)
+    other = F.coalesce(field("outbound_messages"), field("input_messages"), field("conversations"), missing)
+    chatml = F.when(has("messages"), F.coalesce(field("messages"), missing)).otherwise(other)
+    by_form = {"chatml": chatml, "sharegpt": F.coalesce(shared, missing), "auto": F.when(has("conversations") & ~has("messages"), F.coalesce(shared, missing)).otherwise(chatml)}[form]
+    return F.when(row.isNull(), F.lit(None).cast(MESSAGES)).when(F.startswith(F.ltrim(row), F.lit("[")), message_list(row)).otherwise(by_form)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 NEVER_RETRIED = (SyntaxError, NameError, ImportError, TypeError)
 
@@ -33,14 +35,18 @@ def map_rows(df: DataFrame, fn: Callable[[dict], object], result: str, on_error:
     """df with result, error_type and error_message of fn for each row (a dict). result: a Spark type.
 
     on_error: raise fails the job at the first error, ignore and log keep the row with a null result and its error: a
-    function that returns None is not a failure. Rows keep their place and never share an error."""
+    function that returns None is not a failure. Rows keep their place and never share an error. fn sees integers as
+    integers and nulls as None; the columns of df pass through as they are."""
     if on_error not in ("raise", "ignore", "log"):
         raise ValueError(f"unknown policy {on_error}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    names = [*df.columns, "result", "error_type", "error_message"]
+    kind = to_arrow_type(T._parse_datatype_string(result))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out, kinds, said = [], [], []
-            for row in pdf.to_dict("records"):
+            for row in b.to_pylist():
                 try:
                     got = fn(row), None, None
                 except Exception as e:
@@ -49,10 +55,10 @@ def map_rows(df: DataFrame, fn: Callable[[dict], object], result: str, on_error:
                     got = None, type(e).__name__, str(e)
                 for a, x in zip((out, kinds, said), got, strict=True):
                     a.append(x)
-            yield pdf.assign(result=pd.Series(out, index=pdf.index, dtype=object), error_type=pd.Series(kinds, index=pdf.index, dtype=object), error_message=pd.Series(said, index=pdf.index, dtype=object))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind), pa.array(kinds, pa.string()), pa.array(said, pa.string())], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, result {result}, error_type string, error_message string")
+    return df.mapInArrow(run, f"{fields}, result {result}, error_type string, error_message string")
 
 
 def good(mapped: DataFrame) -> DataFrame:

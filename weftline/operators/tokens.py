@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import let
+
 MASKED = -100
 #: Keys that a family needs; the first that fits is taken.
 FAMILIES = {"kto": ("prompt_ids", "completion_ids", "encourage_label"), "dpo": ("prompt_ids", "chosen_ids", "rejected_ids"), "sft": ("input_ids", "labels")}
@@ -33,14 +35,17 @@ def kto_regions(prompt: Column, completion: Column, label: Column) -> Column:
 
 
 def counts(regions: Column) -> Column:
-    names = F.array_sort(F.array_distinct(regions))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(regions, lambda r: r == n))))
+    def of(r: Column) -> Column:
+        names = F.array_sort(F.array_distinct(r))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(r, lambda x: x == n))))
+
+    return let(regions, of)
 
 
 def boundaries(regions: Column) -> Column:
     """offset and region wherever a region begins."""
-    at = F.transform(regions, lambda r, k: F.when((k == 0) | (r != F.get(regions, k - 1)), F.struct(k.alias("offset"), r.alias("region"))))
-    return F.array_compact(at)
+    begins = lambda r: F.transform(r, lambda x, k: F.when((k == 0) | (x != F.get(r, k - 1)), F.struct(k.alias("offset"), x.alias("region"))))
+    return F.array_compact(let(regions, begins))
 
 
 def masked(labels: Column) -> Column:
@@ -68,5 +73,26 @@ def islands(df: DataFrame, by: list[str], order: list[str], value: str) -> DataF
     return d.groupBy(*by, "island").agg(F.first(value).alias(value), F.min("pos").alias("begin"), F.count(F.lit(1)).alias("n"))
 
 
+SDD_FORMAT = "sdd_prompt_response_v1"  # fixed value of the row format
+SDD_KEYS = ("student_ids", "teacher_ids", "response_ids")
+
+
+def is_sdd(row: Column) -> Column:
+    """Whether a row, as JSON text, is a student, teacher and response row: its format by name, and three lists."""
+    lists = [F.coalesce(F.startswith(F.get_json_object(row, f"$.{k}"), F.lit("[")), F.lit(False)) for k in SDD_KEYS]
+    out = F.coalesce(F.get_json_object(row, "$.format") == SDD_FORMAT, F.lit(False))
+    for x in lists:
+        out = out & x
+    return out
+
+
+def sdd_window(student: Column, teacher: Column, response: Column, offset: Column, limit: Column, most: int = 1024) -> Column:
+    """start and end of a window over the longest of three lists, and the part of each list that lies in it."""
+    total = F.greatest(*(F.size(x) for x in (student, teacher, response)))
+    part = lambda x, b: F.slice(x, b["start"] + 1, F.greatest(F.least(b["end"], F.size(x)) - b["start"], F.lit(0)))
+    parts = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), *(part(x, b).alias(k) for x, k in zip((student, teacher, response), SDD_KEYS, strict=True)))
+    return let(window_bounds(total, offset, limit, most), parts)
+
+
 def valid_ids(ids: Column) -> Column:
     return (F.size(ids) > 0) & F.forall(ids, lambda x: x >= 0)

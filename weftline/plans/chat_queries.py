@@ -74,9 +74,22 @@ def conv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN left(text, 50) || chr(10) || '... [truncated ' || (length(text) - 100) || ' chars] ...' || chr(10) || right(text, 50) ELSE text END AS content FROM conversations")
 def truncated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.functions.text import truncate_middle
+    one = F.array(F.struct("role", F.col("text").alias("content")))
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", chat.truncated(one, 50).alias("m"))
+    return t.select("conv_id", "turn", F.get("m", F.lit(0))["content"].alias("content"))
 
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", truncate_middle(F.col("text"), 50).alias("content"))
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, role, text AS content FROM conversations")
+def normalized_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written in five forms, and read again."""
+    pairs = F.transform("messages", lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value")))
+    forms = [
+        F.to_json("messages"), F.to_json(F.struct("messages")), F.to_json(F.struct(F.to_json("messages").alias("messages"), F.lit("no").alias("conversations"))),
+        F.to_json(F.struct(pairs.alias("conversations"))), F.to_json(F.struct(F.lit("no list").alias("outbound_messages"), F.col("messages").alias("input_messages"))),
+    ]
+    made = _messages(spark, sf_dir).select("conv_id", F.get(F.array(*forms), F.pmod("conv_id", F.lit(5)).cast("int")).alias("row"))
+    m = made.select("conv_id", F.posexplode(chat.normalize_messages(F.col("row"))).alias("pos", "m"))
+    return m.select("conv_id", "pos", "m.role", "m.content")
 
 
 @query("SELECT user_id, event_type, min(pos) AS \"begin\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, island, event_type")
@@ -102,3 +115,17 @@ def doc_sft_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.array_join(tokens.window(F.split("text", " "), F.lit(5), F.lit(12)), " ").alias("part"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS a FROM documents),
+b AS (SELECT doc_id, a, list_concat(a, a) AS t, a[:3] AS r, least(7, greatest(2 * len(a) - 1, 0))::INTEGER AS s FROM w),
+c AS (SELECT *, least(s + 20, len(t))::INTEGER AS e FROM b)
+SELECT doc_id, s AS "start", e AS "end", array_to_string(a[s + 1:e], ' ') AS student, array_to_string(t[s + 1:e], ' ') AS teacher, array_to_string(r[s + 1:e], ' ') AS response FROM c
+""")
+def doc_sdd_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.transform(F.split("text", " "), lambda w: F.char_length(w)).alias("a"))
+    d = d.select("doc_id", "a", F.concat("a", "a").alias("t"), F.slice("a", 1, 3).alias("r"))
+    w = d.select("doc_id", tokens.sdd_window(F.col("a"), F.col("t"), F.col("r"), F.lit(7), F.lit(20)).alias("w"))
+    text = lambda k: F.array_join(F.transform(f"w.{k}", lambda x: x.cast("string")), " ")
+    return w.select("doc_id", "w.start", "w.end", text("student_ids").alias("student"), text("teacher_ids").alias("teacher"), text("response_ids").alias("response"))
