@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, slices, small, table
@@ -19,6 +19,8 @@ K, COUNT, LONG, ROUNDS = 64, 8, 32, 3
 LEVELS = 4
 #: Comparisons by their numbers of differences that each member of a group may take.
 COMPARED = 512
+#: Partners that each unit is compared with before the others.
+FIRST = 4
 #: Differences that a task lists.
 VALUES = 1 << 16
 #: Long lists of a unit that hubs are looked for in, and how many of them must name the same hub.
@@ -176,18 +178,18 @@ def told_apart(groups: DataFrame, units: DataFrame, docs: DataFrame, words: int,
         large = sized.where(~fits)
         if last or large.isEmpty():
             break
-        members = groups.join(large, "g").groupBy(F.col("h.uid").alias("hub"), "uid").agg(F.min("comp").alias("comp"), F.min("h.comp").alias("hub_comp"), F.min("score").alias("score"))
-        members = scratch.save(members)
+        ours = groups.join(large, "g").groupBy(F.col("h.uid").alias("hub"), "uid").agg(F.min("comp").alias("comp"), F.min("h.comp").alias("hub_comp"), F.min("score").alias("score"))
+        ours = scratch.save(ours)
         if sets is None:
-            sets = full_sets(members.select("uid").distinct(), units, docs, words, scratch)
-        found = differences(members, sets, percent, scratch)
+            sets = full_sets(ours.select("uid").distinct(), units, docs, words, scratch)
+        found = differences(ours, sets, percent, scratch)
         links.append(found.where("linked AND uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")))
         groups = scratch.save(relisted(found))
         scratch.tidy()
     return links, pairs
 
 
-def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of units whose full sets are similar enough.
 
     The union sketch of a pair estimates its similarity and removes what is far below; the full sets of the others are
@@ -198,8 +200,9 @@ def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, per
     both = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
     p = p.where(both >= bound(F.least("na", "nb"), percent) * F.size("union"))
     p = scratch.save(p.select("a", "b"))
-    asked = p.select(F.col("a").alias("uid")).union(p.select(F.col("b").alias("uid"))).distinct()
-    sets = full_sets(asked, units, docs, words, scratch)
+    made = sets is None
+    if made:
+        sets = full_sets(members(p), units, docs, words, scratch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -214,10 +217,14 @@ def confirm(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, per
 
     side = lambda x: sets.select(F.col("uid").alias(x), F.col("hashes").alias(f"h{x}"))
     out = scratch.save(p.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"))
-    scratch.drop(p, sets)
+    scratch.drop(p, *([sets] if made else []))
     return out
 
 
+def members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -282,8 +289,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links += more
     for x in apart:
         pairs = pairs.unionByName(x)
-    links.append(confirm(scratch.save(pairs.distinct()), units, docs, words, percent, scratch))
-    comp = joined(links, scratch)
+    pairs = scratch.save(pairs.distinct())
+    sets = full_sets(members(pairs), units, docs, words, scratch)
+    comp = settled(pairs, links, lambda x: confirm(x, units, docs, words, percent, scratch, sets), scratch)
     least = comp.join(units.select(F.col("uid").alias("id"), "first"), "id").groupBy("comp").agg(F.min("first").alias("component_id"))
     known = comp.join(small(scratch.save(least)), "comp").select(F.col("id").alias("uid"), F.col("component_id"), F.lit(True).alias("linked"))
     named = units.select("uid", "set_key", "first").join(known, "uid", "left")
@@ -317,6 +325,24 @@ def at(frame: DataFrame, comp: DataFrame | None) -> DataFrame:
     return frame.join(comp, frame.uid == comp.id, "left").withColumn("comp", F.coalesce("comp", "uid")).drop("id")
 
 
+def settled(pairs: DataFrame, links: list[DataFrame], check, scratch: Scratch) -> DataFrame:
+    """Components (id, comp) of the links and of those pairs that check finds to be links.
+
+    Each unit is compared with its FIRST partners of smallest uid first. What that connects needs no further comparison;
+    all other pairs are checked, so that no link between components is missed."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("nth") <= FIRST)
+    best = scratch.save(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links.append(check(best))
+    comp = joined(links, scratch)
+    name = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
+    left = pairs.join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    pairs = scratch.save(left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    scratch.tidy()
+    links.append(check(pairs))
+    return joined(links, scratch)
+
+
 def joined(links: list[DataFrame], scratch: Scratch) -> DataFrame:
     every = links[0]
     for x in links[1:]:
