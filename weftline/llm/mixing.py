@@ -74,8 +74,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
 
     size counts words (null text: 0); a null source is a source of its own, last in order; a document without words has
     rate 1. Rates become copies by systematic rounding in order of size, in buckets of bounded size, with offsets from
-    hashes: reruns agree. Then, source by source, single copies are added or withdrawn where that brings the words
-    taken closer to the target. copies is at most cap. No rows give no rows; other columns are not looked at.
+    hashes: reruns agree. Then, source by source, copies are added or withdrawn where that brings the words taken closer
+    to the target, however far rounding of long documents has left them. copies is at most cap. No rows give no rows; other columns are not looked at.
 
     The documents are read once; all later steps read narrow rows, and the Newton steps a histogram of sizes. A source
     that holds a third of all rows is cut into buckets; per-source tables have one row per source.
@@ -100,12 +100,36 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     sum_ = F.sum(part).over(Window.partitionBy("sid", "bucket").orderBy("size", "key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
     shift = F.pmod(F.xxhash64("sid", "bucket"), F.lit(1 << 20)) / float(1 << 20)
     at = at.withColumn("sum", sum_).withColumn("copies", (F.floor("rate") + F.floor(F.col("sum") + shift) - F.floor(F.col("sum") - part + shift)).cast("int"))
-    at = scratch.save(at.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(cap)))).drop("sum", "bucket"))
+    at = scratch.save(at.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(cap)))).drop("sum"))
     return adjust(at, cap, scratch)
 
 
+def filled(at: DataFrame, gaps: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
+    """Moves (sid, row, by, size) of one copy each that bring every source nearer to its target and not beyond it.
+
+    Copies are added, or withdrawn, from the largest sizes that fit the gap down, by a prefix sum over the histogram of
+    sizes that can move; of the size at which the gap ends only as many as fit, those of least bucket and hash. What is
+    left is less than half of the gap, unless no size that fits can move."""
+    tries = at.where("size > 0").join(small(gaps.where("gap <> 0")), "sid").withColumn("by", F.signum("gap").cast("int"))
+    tries = tries.where((F.col("copies") + F.col("by")).between(0, cap) & (F.col("size") <= F.abs("gap")))
+    hist = tries.groupBy("sid", "size").agg(F.count(F.lit(1)).alias("n"), F.first(F.abs("gap")).alias("open"))
+    larger = Window.partitionBy("sid").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.floor((F.col("open") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))) / F.col("size"))
+    hist = scratch.save(hist.withColumn("pick", F.least("n", fits)).where("pick > 0").select("sid", "size", "n", "pick"))
+    rows = tries.join(small(hist), ["sid", "size"]).select("sid", "row", "by", "size", "n", "pick", "bucket", "key", "doc_id")
+    part = rows.where("pick < n")
+    lower = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.groupBy("sid", "bucket").agg(F.count(F.lit(1)).alias("m")).select("sid", "bucket", F.coalesce(F.sum("m").over(lower), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "row"))
+    some = part.withColumn("place", place).join(starts, ["sid", "bucket"]).where(F.col("start") + F.col("place") <= F.col("pick"))
+    whole = rows.where("pick = n")
+    return scratch.save(whole.select("sid", "row", "by", "size").unionByName(some.select("sid", "row", "by", "size")))
+
+
 def adjust(at: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
-    """Adds or withdraws single copies, for each source the one that brings its taken words closest to its target."""
+    """Moves each source to its target: by the one copy that brings the words taken closest, which takes back what the
+    rounding of a long document did, then by many at once, as long as whole documents fit the gap; and so again, until
+    no single copy brings a source closer."""
     gaps = scratch.save(at.groupBy("sid").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("took")).select("sid", (F.col("t") - F.col("took")).alias("gap")))
     moves: list[DataFrame] = []
 
@@ -115,6 +139,11 @@ def adjust(at: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
         done = reduce(DataFrame.unionByName, moves).groupBy(F.col("row").alias("row2")).agg(F.sum("by").alias("by"))
         return at.join(small(done), F.col("row") == F.col("row2"), "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0)).cast("int")).drop("row2", "by")
 
+    def moved(gaps: DataFrame, by: DataFrame) -> DataFrame:
+        moves.append(by.select("row", "by"))
+        sums = by.groupBy("sid").agg(F.sum(F.col("by") * F.col("size")).alias("by"))
+        return scratch.save(gaps.join(sums, "sid", "left").select("sid", (F.col("gap") - F.coalesce("by", F.lit(0))).alias("gap")))
+
     for _ in range(SWAPS):
         tries = now().where("size > 0").join(small(gaps), "sid")
         tries = tries.withColumn("by", F.explode(F.array(F.lit(1), F.lit(-1)))).where((F.col("copies") + F.col("by")).between(0, cap))
@@ -123,8 +152,9 @@ def adjust(at: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
         best = scratch.save(best.select("sid", "b.row", "b.by", "b.size"))
         if best.isEmpty():
             break
-        moves.append(best.select("row", "by"))
-        gaps = scratch.save(gaps.join(best, "sid", "left").select("sid", (F.col("gap") - F.coalesce(F.col("by") * F.col("size"), F.lit(0))).alias("gap")))
+        gaps = moved(gaps, best)
+        while not (best := filled(now(), gaps, cap, scratch)).isEmpty():  # every pass halves what is left
+            gaps = moved(gaps, best)
     return now().select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
