@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: The classifier, the similarity classes and the packing are not SQL; tests cover the operators that the stages call.
+#: The classifier, the similarity classes and the packing are not SQL; a test compares all stages with plain computations.
 ORACLE_SQL = None
 
 
