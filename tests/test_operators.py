@@ -175,3 +175,26 @@ def test_watch_lines(spark, tmp_path):
     q = streams.watch_lines(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("watched").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("watched").count() == 2
+
+
+def test_load_data(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": 3}\n')
+    (tmp_path / "list.json").write_text('[{"k": 5}, {"k": null}]')
+    (tmp_path / "one.json").write_text('{"k": [7]}')
+    (tmp_path / "bad.json").write_text("[1]")
+    (tmp_path / "b.txt").write_text("x")
+    for name, files_ in {"some": {"y": '{"k": 1}', "x": '{"k": 2}'}, "none": {}, "arrow": {"state": "{}"}, "odd": {"z": "[]"}}.items():
+        (tmp_path / name).mkdir()
+        for stem, body in files_.items():
+            (tmp_path / name / f"{stem}.json").write_text(body)
+    read = lambda name: sorted(tuple(r) for r in files.load_data(spark, str(tmp_path / name)).select("source", "row_index", F.to_json("row")).collect())
+    assert read("a.jsonl") == [(None, 0, '{"k":1}'), (None, 2, '{"k":3}')]
+    assert read("list.json") == [(None, 0, '{"k":5}'), (None, 1, '{"k":null}')]
+    assert read("one.json") == [(None, 0, '{"k":[7]}')]
+    assert read("some") == [("x", 0, '{"k":2}'), ("y", 0, '{"k":1}')]
+    for name, error in {"gone.json": FileNotFoundError, "b.txt": ValueError, "none": ValueError, "arrow": ValueError}.items():
+        with pytest.raises(error):
+            read(name)
+    for name in ("bad.json", "odd"):
+        with pytest.raises(Exception, match="not an object"):
+            read(name)

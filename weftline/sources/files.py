@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Compressions that Spark's readers know; others would be read as text of no sense.
@@ -59,9 +59,7 @@ def load_jsonl(spark: SparkSession, paths: str | list[str], on_error: str = "rai
 
 def load_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """JSON lines that must all be objects, with their index; anything else fails."""
-    rows = load_jsonl(spark, paths)
-    ok = F.startswith(F.schema_of_variant("row"), F.lit("OBJECT"))
-    return rows.select("source", F.col("line").alias("row_index"), F.when(ok, F.col("row")).otherwise(F.raise_error(F.lit("row is not an object")).cast("variant")).alias("row"))
+    return load_jsonl(spark, paths).select("source", F.col("line").alias("row_index"), _objects("row").alias("row"))
 
 
 def load_json_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +68,41 @@ def load_json_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("source"), F.parse_json("value").alias("row"))
 
 
+def _objects(row: str) -> Column:
+    """A VARIANT column that must hold objects only; anything else fails."""
+    ok = F.startswith(F.schema_of_variant(row), F.lit("OBJECT"))
+    return F.when(ok, F.col(row)).otherwise(F.raise_error(F.lit("row is not an object")).cast("variant"))
+
+
+def load_data(spark: SparkSession, path: str) -> DataFrame:
+    """source, row_index and row (VARIANT, an object) of a data set, by what its path is.
+
+    A folder has a row for each of its JSON files, under the file's name; JSON lines and a JSON file with an object or an
+    array of objects have no source, and rows numbered from 0. A missing path, a folder without JSON files, another
+    suffix and a folder of Arrow files (which has a description of the data set in it) are errors."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    none = F.lit(None).cast("string").alias("source")
+    if fs.getFileStatus(at).isDirectory():
+        names = {f.getPath().getName() for f in fs.listStatus(at)}
+        if names & {"dataset_dict.json", "dataset_info.json", "state.json"}:
+            raise ValueError(f"folders of Arrow files can't be read here: {path}")
+        if not any(n.endswith(".json") for n in names):
+            raise ValueError(f"no JSON files in {path}")
+        return load_json_folder(spark, path).select("source", F.lit(0).cast("long").alias("row_index"), _objects("row").alias("row"))
+    kind = _suffixes(path)[0]
+    if kind == ".jsonl":
+        return load_objects(spark, path).select(none, "row_index", "row")
+    if kind != ".json":
+        raise ValueError(f"unsupported file type {kind or path}")
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    listed = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    items = F.when(listed, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    return whole.select(F.posexplode(items).alias("at", "item")).select(none, F.col("at").cast("long").alias("row_index"), _objects("item").alias("row"))
+
+
 def line_index(spark: SparkSession, path: str) -> DataFrame:
     """line, offset and length in bytes of each line of a file that isn't blank."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.octet_length("value").alias("length"), (F.trim("value") != "").alias("full"))
