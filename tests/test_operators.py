@@ -198,3 +198,118 @@ def test_load_data(spark, tmp_path):
     for name in ("bad.json", "odd"):
         with pytest.raises(Exception, match="not an object"):
             read(name)
+
+
+def test_children(spark):
+    doc = '{"b": [1, {"c": 2, "a": null}, []], "a": "x\\"y", "n": null, "t": true, "f": 1.5, "o": {}}'
+    got = lambda path, text=doc: one(spark, tree.children(F.col("x"), path).alias("c"), x=text).c
+    assert [tuple(r) for r in got("")] == [
+        ("b", "/b", "array", None, 3), ("a", "/a", "string", '"x\\"y"', 0), ("n", "/n", "null", "null", 0),
+        ("t", "/t", "bool", "true", 0), ("f", "/f", "number", "1.5", 0), ("o", "/o", "object", None, 0),
+    ]
+    assert [tuple(r) for r in got("/b")] == [("[0]", "/b/0", "number", "1", 0), ("[1]", "/b/1", "object", None, 2), ("[2]", "/b/2", "array", None, 0)]
+    assert [r.path for r in got("/b/1")] == ["/b/1/c", "/b/1/a"]
+    assert got("/gone") == got("/a") == got("/o") == got("", "{oops") == got("", "7") == []
+    assert spark.range(1).select(tree.children(F.lit(None).cast("string")).alias("c")).first().c is None
+    inside = [one(spark, tree.under(F.col("x"), "/a/b").alias("u"), x=p).u for p in ("/a/b", "/a/b/0", "/a/bc", "/a")]
+    assert inside == [True, True, False, False]
+
+
+def test_structured(spark):
+    parse = lambda x, how="ignore": one(spark, tree.structured(F.col("x"), "name string, n int", ("name",), how).alias("s"), x=x).s
+    assert tuple(parse('{"name": "a", "n": 3, "more": 1}')) == ("a", 3)
+    assert tuple(parse('{"name": "a"}', "raise")) == ("a", None)
+    for wrong in ('{"n": 3}', '{"name": null}', '{"name": "a", "n": "b"}', "oops", "[1]", ""):
+        assert parse(wrong) is None
+        with pytest.raises(Exception, match="valid JSON"):
+            parse(wrong, "raise")
+    with pytest.raises(Exception, match="empty content"):
+        spark.range(1).select(tree.structured(F.lit(None).cast("string"), "a int")).collect()
+
+
+@pytest.mark.parametrize("value", [{"b": "é", "a": [1, 2.5, None, {}]}, [], "x", {"k": {"l": [[]]}}])
+def test_dumps(spark, value):
+    assert one(spark, tree.dumps(F.col("x")).alias("t"), x=json.dumps(value)).t == json.dumps(value, ensure_ascii=False, indent=2)
+    assert one(spark, tree.dumps(F.col("x")).alias("t"), x="{oops").t is None
+
+
+def test_row_modes_and_chunks(spark):
+    sdd = {"format": "sdd_prompt_response_v1", "student_ids": [1], "teacher_ids": [1, 2, 3], "response_ids": []}
+    dpo = {"prompt_ids": [1, 2], "chosen_ids": [3], "rejected_ids": [4, 5]}
+    kto = {"prompt_ids": [1], "completion_ids": [2, 3], "encourage_label": 1}
+    sft = {"input_ids": [1, 2, 3, 4], "labels": [-100, 2, 3, 4]}
+    mode = lambda row: one(spark, tokens.mode(F.col("x")).alias("m"), x=json.dumps(row)).m
+    assert [mode(r) for r in (sdd, {"messages": [], "teacher_messages": []}, {"messages_with_ref": []})] == ["sdd"] * 3
+    assert [mode(r) for r in (dpo, kto, sft, {"input_ids": 1, "labels": 2})] == ["tokens"] * 4
+    assert [mode(r) for r in ({"messages": []}, {"messages_with_ref": "x"}, [1], {**sdd, "format": "other"})] == ["generic"] * 4
+    has = lambda row: one(spark, tokens.is_tokenized(F.col("x")).alias("m"), x=json.dumps(row)).m
+    assert [has(sft), has({"input_ids": 1}), has(dpo), has([])] == [True, False, False, False]
+    chunk = lambda row, a, n: tuple(one(spark, tokens.row_chunk(F.col("x"), F.lit(a), F.lit(n)).alias("c"), x=json.dumps(row)).c)
+    assert chunk(sdd, 1, 9) == ("sdd", 3, 1, 3) and chunk(dpo, 0, 2) == ("dpo", 5, 0, 2)
+    assert chunk(kto, 2, 1) == ("kto", 3, 2, 3) and chunk(sft, 9, 5) == ("sft", 4, 3, 4)
+    with pytest.raises(Exception, match="not a recognized"):
+        chunk({"messages": []}, 0, 1)
+
+
+def test_assistant_texts(spark):
+    parts = lambda c, r, most=None: tuple(spark.createDataFrame([(c, r)], "c string, r string").select(text.assistant_parts(F.col("c"), F.col("r"), most).alias("p")).first().p)
+    assert parts("a <think> why </think> b", None) == ("<think>\nwhy\n</think>", "b")
+    assert parts("a <think>why</think> b", "said") == ("<think>\nsaid\n</think>", "a <think>why</think> b")
+    assert parts("x <think>y</think>", "") == (None, "x <think>y</think>")
+    assert parts(None, None) == (None, "") and parts("plain ", None) == (None, "plain ")
+    assert parts("", "0123456789", 5) == ("<think>\n0\n...[SKIP 5 chars]...\n6789\n</think>", "")
+    done = spark.createDataFrame([("a", "stop"), ("", "stop"), (None, "stop"), ("a", "length"), ("a", None)], "c string, s string")
+    assert [r.d for r in done.select(text.content_done(F.col("c"), F.col("s")).alias("d")).collect()] == [True, False, False, False, False]
+
+
+def test_continuation_and_stops(spark):
+    state = F.struct(F.lit("P").alias("prefix"), F.lit("G").alias("generated"), F.lit("S").alias("stop"), F.lit("stop").alias("stop_reason"))
+    go = lambda x: tuple(spark.createDataFrame([(x,)], "x string").select(text.continued(state, F.col("x")).alias("s")).first().s)
+    assert go("") == go(None) == ("P", "G", "S", "stop")
+    assert go("<|im_start|>assistant\n hi <|im_end|>") == ("P\n hi ", "G\n hi ", None, None)
+    assert go(" <|im_start|>assistant") == ("P <|im_start|>assistant", "G <|im_start|>assistant", None, None)
+    with_stop = lambda x, why, stops, add=True: tuple(one(spark, text.with_stop(F.col("x"), F.lit(why), F.array(*map(F.lit, stops)), add).alias("s"), x=x).s)
+    assert with_stop("a", "stop", ["."]) == ("a.", ".") and with_stop("a.b", "stop", ["."]) == ("a.b", ".")
+    assert with_stop("a", "stop", ["."], False) == ("a", ".")
+    assert with_stop("a", "length", ["."]) == with_stop("a", "stop", [".", "!"]) == ("a", None)
+    given = lambda stops: spark.createDataFrame([(stops,)], "s array<string>").select(text.stop_list(F.col("s")).alias("s")).first().s
+    assert given(["a", "b"]) == ["a", "b"]
+    for bad in ([], ["a", ""], [None], None):
+        with pytest.raises(Exception, match="non-empty"):
+            given(bad)
+
+
+def test_count_lines(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.txt").write_text("a\n\nb\r\nc")
+    (tmp_path / "b.txt").write_text("")
+    with gzip.open(tmp_path / "c.jsonl.gz", "wt") as f:
+        f.write("{}\n" * 5)
+    assert [files.count_lines(spark, str(tmp_path / n)) for n in ("a.txt", "b.txt", "c.jsonl.gz", "gone")] == [4, 0, 5, 0]
+
+
+def test_process_shards(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def totals(batches):
+        seen = [b.column("row_idx") for b in batches]
+        every = pa.chunked_array(seen).to_pylist()
+        assert every == sorted(every)
+        yield pa.RecordBatch.from_pydict({"least": [every[0]], "n": [len(every)], "total": [pc.sum(pa.array(every)).as_py()]})
+
+    df = rows.with_row_idx(spark.range(103).repartition(5).sortWithinPartitions("id"))
+    for _ in range(2):
+        path = mapping.process_shards(df, totals, "least long, n long, total long", str(tmp_path / "out"), 4)
+        assert path.endswith("/out_size4")
+        assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(0, 26, 325), (26, 26, 1001), (52, 26, 1677), (78, 25, 2250)]
+
+    def fails(batches):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="no"):
+        mapping.process_shards(df, fails, "n long", str(tmp_path / "bad"), 4)
+    empty = mapping.process_shards(df.limit(0), totals, "least long, n long, total long", str(tmp_path / "none"), 4)
+    assert spark.read.parquet(empty).count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none_size0", "out_size4"]

@@ -77,6 +77,63 @@ def unwrap_assistant(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"^<\|im_start\|>assistant\n", ""), r"<\|im_end\|>\s*$", "")
 
 
+def skipped(x: Column, most: int, ratio: float = 0.3) -> Column:
+    """Head and tail of most characters together, and how many lie between; shorter texts stay."""
+    head = int(most * ratio)
+    mark = F.concat(F.lit("\n...[SKIP "), (F.char_length(x) - most).cast("string"), F.lit(" chars]...\n"))
+    return F.when(F.char_length(x) > most, F.concat(F.left(x, F.lit(head)), mark, F.right(x, F.lit(most - head)))).otherwise(x)
+
+
+def reasoning_block(x: Column, most: int | None = None) -> Column:
+    """Reasoning between think marks, first cut to most characters if that is given."""
+    return F.concat(F.lit("<think>\n"), x if most is None else skipped(x, most), F.lit("\n</think>"))
+
+
+def assistant_parts(content: Column, reasoning: Column, most: int | None = None) -> Column:
+    """reasoning, as a block of think marks or null, and answer of an assistant's message.
+
+    Reasoning that is given counts, be it empty, and the content then stays as it is; otherwise what the content encloses in
+    think marks. Null content is empty."""
+    text = F.coalesce(content, F.lit(""))
+
+    def parts(found: Column) -> Column:
+        inside = reasoning.isNull() & found["reasoning"].isNotNull()
+        said = F.nullif(F.when(inside, found["reasoning"]).otherwise(reasoning), F.lit(""))
+        return F.struct(reasoning_block(said, most).alias("reasoning"), F.when(inside, found["answer"]).otherwise(text).alias("answer"))
+
+    return let(think_split(text), parts)
+
+
+def content_done(content: Column, stop_reason: Column) -> Column:
+    """Whether there is content and generation has stopped by itself."""
+    return F.coalesce((content != "") & (stop_reason == "stop"), F.lit(False))
+
+
+def continued(state: Column, x: Column, start: str = "<|im_start|>assistant", end: str = "<|im_end|>") -> Column:
+    """A state (prefix, generated, stop, stop_reason) with text added to the assistant's part: the wrapper's start and end
+    are taken off the text, the rest stays as it is, and what has stopped the state is forgotten. An empty or null text
+    leaves it."""
+    led = F.when(F.startswith(x, F.lit(start)), F.substring(x, F.lit(len(start) + 1), F.char_length(x))).otherwise(x)
+    body = F.when(F.endswith(led, F.lit(end)), F.left(led, F.char_length(led) - len(end))).otherwise(led)
+    none = F.lit(None).cast("string")
+    new = F.struct(F.concat(state["prefix"], body).alias("prefix"), F.concat(state["generated"], body).alias("generated"), none.alias("stop"), none.alias("stop_reason"))
+    return F.when(F.coalesce(x, F.lit("")) == "", state).otherwise(new)
+
+
+def stop_list(stops: Column) -> Column:
+    """An array of stop texts; none at all, or an empty or null one, is an error."""
+    good = (F.size(stops) > 0) & F.forall(stops, lambda s: F.coalesce(s != "", F.lit(False)))
+    return F.when(F.coalesce(good, F.lit(False)), stops).otherwise(F.raise_error(F.lit("stop must contain non-empty strings")))
+
+
+def with_stop(generated: Column, stop_reason: Column, stops: Column, include: bool = True) -> Column:
+    """text and matched: the stop text where generation has stopped at the only one there is, and the text with it added
+    where it is wanted and the text doesn't hold it. Of several it can't be known which one it was."""
+    matched = F.when((stop_reason == "stop") & (F.size(stops) == 1), F.get(stops, F.lit(0)))
+    added = F.when(matched.isNotNull() & ~F.contains(generated, matched), F.concat(generated, matched)).otherwise(generated)
+    return F.struct((added if include else generated).alias("text"), matched.alias("matched"))
+
+
 def merge_stop(x: Column, stops: list[str]) -> Column:
     """Puts back a single stop text that generation has cut off; with several it can't be known which one it was."""
     if len(stops) != 1:

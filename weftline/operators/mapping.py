@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from weftline.operators.rows import chunked
+
 NEVER_RETRIED = (SyntaxError, NameError, ImportError, TypeError)
 
 
@@ -61,6 +64,31 @@ def map_rows(df: DataFrame, fn: Callable[[dict], object], result: str, on_error:
     return df.mapInArrow(run, f"{fields}, result {result}, error_type string, error_message string")
 
 
+def process_shards(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, out: str, shards: int, order: str = "row_idx") -> str:
+    """Deals rows into balanced contiguous shards, hands each one's batches in order to fn, and writes what it yields as one
+    data set, <out>_size<n> for n rows, whose path is returned; one of that name is replaced.
+
+    A shard streams through its task. Until all shards are done rows are written beside out; that folder then becomes the
+    data set, or is deleted after an error, so that a failed run leaves neither."""
+    spark, work = df.sparkSession, f"{out.rstrip('/')}_shards-{uuid.uuid4().hex[:12]}"
+    place = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place(work).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.drop_columns(["chunk"]) for b in batches)
+
+    placed = chunked(df, shards, order=order).repartition(shards, "chunk").sortWithinPartitions("chunk", order)
+    try:
+        placed.groupBy("chunk").applyInArrow(run, schema).write.parquet(work)
+        final = f"{out.rstrip('/')}_size{spark.read.parquet(work).count()}"
+        fs.delete(place(final), True)
+        if not fs.rename(place(work), place(final)):
+            raise OSError(f"{work} could not be renamed to {final}")
+    finally:
+        fs.delete(place(work), True)
+    return final
+
+
 def good(mapped: DataFrame) -> DataFrame:
     return mapped.where("error_type IS NULL").drop("error_type", "error_message")
 

@@ -79,13 +79,54 @@ SDD_KEYS = ("student_ids", "teacher_ids", "response_ids")
 
 def is_sdd(row: Column) -> Column:
     """Whether a row, as JSON text, is a student, teacher and response row: its format by name, and three lists."""
-    lists = [F.coalesce(F.startswith(F.get_json_object(row, f"$.{k}"), F.lit("[")), F.lit(False)) for k in SDD_KEYS]
     out = F.coalesce(F.get_json_object(row, "$.format") == SDD_FORMAT, F.lit(False))
-    for x in lists:
-        out = out & x
+    for k in SDD_KEYS:
+        out = out & _listed(row, k)
     return out
 
 
+def _listed(row: Column, key: str) -> Column:
+    return F.coalesce(F.startswith(F.get_json_object(row, f"$.{key}"), F.lit("[")), F.lit(False))
+
+
+def is_tokenized(row: Column) -> Column:
+    """Whether a row, as JSON text, has a list of input_ids."""
+    return _listed(row, "input_ids")
+
+
+def row_family(row: Column) -> Column:
+    """The training family of a row given as JSON text."""
+    return F.when(F.json_object_keys(row).isNotNull(), family(F.json_object_keys(row)))
+
+
+def mode(row: Column) -> Column:
+    """How a row, as JSON text, is shown: sdd before tokens before generic. Messages of student and teacher, or with a
+    reference, are sdd as well."""
+    pair = _listed(row, "messages") & _listed(row, "teacher_messages")
+    return F.when(is_sdd(row) | pair | _listed(row, "messages_with_ref"), "sdd").when(row_family(row).isNotNull(), "tokens").otherwise("generic")
+
+
+def row_length(row: Column) -> Column:
+    """How many positions a tokenized row, as JSON text, has: the longest list of student, teacher and response, otherwise
+    all ids of its training family. Any other row is an error."""
+    n = lambda k: F.coalesce(F.json_array_length(F.get_json_object(row, f"$.{k}")), F.lit(0))
+    kind, unknown = row_family(row), F.raise_error(F.lit("row is not a recognized tokenized schema")).cast("int")
+    out = F.when(is_sdd(row), F.greatest(*map(n, SDD_KEYS))).when(kind == "sft", n("input_ids"))
+    out = out.when(kind == "dpo", n("prompt_ids") + n("chosen_ids") + n("rejected_ids")).when(kind == "kto", n("prompt_ids") + n("completion_ids"))
+    return out.otherwise(unknown)
+
+
+def row_chunk(row: Column, offset: Column, limit: Column, most: int = 1024) -> Column:
+    """kind (sdd or a training family), total, start and end of the next chunk of a tokenized row given as JSON text."""
+    kind = F.when(is_sdd(row), "sdd").otherwise(row_family(row))
+
+    def of(total: Column) -> Column:
+        b = window_bounds(total, offset, limit, most)
+        return F.struct(kind.alias("kind"), total.alias("total"), b["start"].alias("start"), b["end"].alias("end"))
+
+    return let(row_length(row), of)
+
+
 def sdd_window(student: Column, teacher: Column, response: Column, offset: Column, limit: Column, most: int = 1024) -> Column:
     """start and end of a window over the longest of three lists, and the part of each list that lies in it."""
     total = F.greatest(*(F.size(x) for x in (student, teacher, response)))

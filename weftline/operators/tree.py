@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import let
+
 NODES = "path string, key string, depth int, kind string, value string, size int"
+CHILDREN = "array<struct<key:string,path:string,kind:string,value:string,size:int>>"
 
 
 def _kind(v: object) -> str:
@@ -47,6 +50,88 @@ def search(tree: DataFrame, needle: str) -> DataFrame:
     return tree.where(F.contains(F.lower("key"), q) | F.contains(F.lower("path"), q) | F.contains(F.lower(F.coalesce("value", F.lit(""))), q))
 
 
+def under(path: Column, prefix: str) -> Column:
+    """Whether a path is the prefix itself or lies below it; all paths lie below an empty one."""
+    p = prefix.rstrip("/")
+    return (path == p) | F.startswith(path, F.lit(f"{p}/"))
+
+
+def _at(path: str) -> str:
+    """The JSON path of /a/0/b."""
+    steps = [p for p in path.strip("/").split("/") if p]
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in steps)
+
+
+def _variant_kind(v: Column) -> Column:
+    name = F.schema_of_variant(v)
+    number = F.regexp_like(name, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
+    out = F.when(name == "STRING", "string").when(name == "BOOLEAN", "bool").when(number, "number")
+    return F.when(v.isNull() | (name == "VOID"), "null").otherwise(out.when(F.startswith(name, F.lit("ARRAY")), "array").otherwise("object"))
+
+
+def children(x: Column, path: str = "") -> Column:
+    """What lies directly below a path of a JSON text, without what lies deeper: key, path, kind, value, size.
+
+    In the order of the text; entries of a list are named [0], [1] and so on. value is the JSON text of a scalar and null of
+    a container, size the number of a container's entries. A scalar, an empty container, a path that isn't there and text
+    that is no JSON have none; null stays null."""
+    at = F.get_json_object(x, _at(path)) if path.strip("/") else F.when(F.try_parse_json(x).isNotNull(), F.ltrim(x))
+    parent = path.rstrip("/")
+
+    def entry(key: Column, step: Column, v: Column) -> Column:
+        kind = _variant_kind(v)
+        inner = F.when(kind == "array", F.size(F.try_variant_get(v, "$", "array<variant>"))).when(kind == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")))
+        value = F.when(kind == "null", F.lit("null")).when(~kind.isin("array", "object"), F.to_json(v))
+        return F.struct(key.alias("key"), F.concat(F.lit(f"{parent}/"), step).alias("path"), kind.alias("kind"), value.alias("value"), F.coalesce(inner, F.lit(0)).alias("size"))
+
+    def of(t: Column) -> Column:
+        fields = F.map_entries(F.from_json(t, "map<string,variant>"))
+        items = F.from_json(t, "array<variant>")
+        named = F.transform(fields, lambda e: entry(e["key"], e["key"], e["value"]))
+        numbered = F.transform(items, lambda v, k: entry(F.concat(F.lit("["), k.cast("string"), F.lit("]")), k.cast("string"), v))
+        listed = F.when(F.startswith(t, F.lit("{")), named).when(F.startswith(t, F.lit("[")), numbered)
+        return F.coalesce(listed, F.array().cast(CHILDREN))
+
+    return F.when(x.isNotNull(), let(at, of))
+
+
+def structured(x: Column, schema: str, required: tuple[str, ...] = (), on_error: str = "raise") -> Column:
+    """A model's answer, a JSON object as text, as a struct of a schema.
+
+    No answer, no JSON, a value of another type and a required field that is missing or null are errors: they fail the job
+    with the text (raise) or give null (ignore). Fields that the schema doesn't name are left out."""
+    if on_error not in ("raise", "ignore"):
+        raise ValueError(f"unknown policy {on_error}")
+    bad = "_not_read"
+
+    def checked(got: Column) -> Column:
+        fits = got.isNotNull() & got[bad].isNull() & F.startswith(F.ltrim(x), F.lit("{"))
+        for k in required:
+            fits = fits & got[k].isNotNull()
+        wrong = F.when(x.isNull(), F.lit("Model returned empty content")).otherwise(F.concat(F.lit("Model did not return valid JSON:\n---\n"), x))
+        out = got.dropFields(bad)
+        kept = F.when(F.coalesce(fits, F.lit(False)), out)
+        return kept if on_error == "ignore" else F.when(F.coalesce(fits, F.lit(False)), out).otherwise(F.raise_error(wrong))
+
+    return let(F.from_json(x, f"{schema}, {bad} string", {"columnNameOfCorruptRecord": bad}), checked)
+
+
+def dumps(x: Column, indent: int | None = 2) -> Column:
+    """A JSON text written anew, indented, with keys in their order and letters as they are; null where it is no JSON."""
+
+    def text(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=indent)
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(text)
+
+    return run(x)
+
+
 def top(x: Column) -> Column:
     """Top-level keys of a JSON object, and scalar or JSON texts of their values."""
     return F.from_json(x, "map<string,string>")

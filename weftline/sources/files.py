@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,14 @@ def load_data(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(items).alias("at", "item")).select(none, F.col("at").cast("long").alias("row_index"), _objects("item").alias("row"))
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a text file or folder, blank ones included, be it compressed; 0 where it can't be read."""
+    try:
+        return spark.read.text(path, lineSep="\n").count()
+    except (PySparkException, Py4JJavaError):
+        return 0
+
+
 def line_index(spark: SparkSession, path: str) -> DataFrame:
     """line, offset and length in bytes of each line of a file that isn't blank."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.octet_length("value").alias("length"), (F.trim("value") != "").alias("full"))
