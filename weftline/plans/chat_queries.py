@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.operators import chat, tokens
 from weftline.plans.registry import query
 
@@ -129,3 +130,34 @@ def doc_sdd_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = d.select("doc_id", tokens.sdd_window(F.col("a"), F.col("t"), F.col("r"), F.lit(7), F.lit(20)).alias("w"))
     text = lambda k: F.array_join(F.transform(f"w.{k}", lambda x: x.cast("string")), " ")
     return w.select("doc_id", "w.start", "w.end", text("student_ids").alias("student"), text("teacher_ids").alias("teacher"), text("response_ids").alias("response"))
+
+
+@query("SELECT conv_id, turn, '<think>' || chr(10) || 'turn ' || turn || chr(10) || '</think>' AS reasoning, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS answer FROM conversations WHERE role = 'assistant'")
+def assistant_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/{_TURNS}.parquet").where("role = 'assistant'")
+    made = F.concat(F.lit("<think> turn "), F.col("turn").cast("string"), F.lit(" </think>"), F.col("text"))
+    return t.select("conv_id", "turn", text.assistant_parts(made, F.lit(None).cast("string")).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@query("SELECT conv_id, turn, 'said: ' || text AS prefix, text AS generated, text <> '' AND turn % 2 = 0 AS done FROM conversations")
+def turn_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/{_TURNS}.parquet")
+    none = F.lit(None).cast("string")
+    state = F.struct(F.lit("said: ").alias("prefix"), F.lit("").alias("generated"), none.alias("stop"), none.alias("stop_reason"))
+    done = text.content_done(F.col("text"), F.when(F.col("turn") % 2 == 0, "stop").otherwise("length"))
+    said = text.continued(state, text.wrap_assistant(F.col("text"), "<|im_start|>assistant"))
+    return t.select("conv_id", "turn", said["prefix"].alias("prefix"), said["generated"].alias("generated"), done.alias("done"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, '.') THEN text ELSE text || '.' END AS text, '.' AS matched FROM conversations")
+def turn_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/{_TURNS}.parquet")
+    return t.select("conv_id", "turn", text.with_stop(F.col("text"), F.lit("stop"), F.array(F.lit("."))).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@query("WITH d AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents) SELECT doc_id, 'tokens' AS mode, 'sft' AS kind, n::INTEGER AS total, least(1000, n - 1)::INTEGER AS start, least(least(1000, n - 1) + 256, n)::INTEGER AS \"end\" FROM d")
+def doc_row_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.transform(F.split("text", " ", -1), lambda w: F.char_length(w))
+    row = F.to_json(F.struct(ids.alias("input_ids"), ids.alias("labels")))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", row.alias("row"))
+    return d.select("doc_id", tokens.mode(F.col("row")).alias("mode"), tokens.row_chunk(F.col("row"), F.lit(1000), F.lit(256)).alias("c")).select("doc_id", "mode", "c.*")

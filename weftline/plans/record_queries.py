@@ -36,6 +36,17 @@ def event_props_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("event_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"))
 
 
+@query("WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, '/' || key AS path, CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, json_extract(props, '$.' || key)::VARCHAR AS value FROM k")
+def event_props_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("event_id", F.inline(tree.children(F.col("props"))))
+    return rows.select("event_id", "key", "path", "kind", "value")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def event_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", tree.structured(F.col("props"), "k bigint", on_error="ignore")["k"].alias("k"))
+
+
 @query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer")
 def key_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")

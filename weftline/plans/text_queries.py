@@ -23,6 +23,11 @@ def doc_truncate_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.truncate_head_tail(F.col("text"), 300).alias("short"))
 
 
+@query("SELECT doc_id, '<think>' || chr(10) || CASE WHEN length(text) > 300 THEN left(text, 90) || chr(10) || '...[SKIP ' || (length(text) - 300) || ' chars]...' || chr(10) || right(text, 210) ELSE text END || chr(10) || '</think>' AS block FROM documents")
+def doc_reasoning_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", text.reasoning_block(F.col("text"), 300).alias("block"))
+
+
 @query(r"SELECT doc_id, CASE WHEN length(t) > 30 THEN left(t, 27) || '...' ELSE t END AS title FROM (SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g')) AS t FROM documents)")
 def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.title(F.col("text")).alias("title"))
