@@ -313,3 +313,41 @@ def test_process_shards(spark, tmp_path):
     empty = mapping.process_shards(df.limit(0), totals, "least long, n long, total long", str(tmp_path / "none"), 4)
     assert spark.read.parquet(empty).count() == 0
     assert sorted(p.name for p in tmp_path.iterdir()) == ["none_size0", "out_size4"]
+
+
+def test_paths_of_a_tree(spark):
+    doc = {"a": "x\ny", "b": [{"c": "\\n"}, "z\n"], "n": 1}
+    nodes = tree.nodes(spark.createDataFrame([(1, json.dumps(doc))], "id int, t string"), "id", "t")
+    assert [r.path for r in tree.containers(nodes).collect()] == ["", "/b", "/b/0"]
+    assert [r.path for r in tree.multiline(nodes).collect()] == ["/a", "/b/1"]
+
+
+def test_dotted_paths(spark):
+    doc = '{"a": {"b": {"c": 9007199254740993, "d": 2}}, "x": 1.5, "é": [1]}'
+    keep = lambda *keys, t=doc: one(spark, tree.keep_paths(F.col("x"), list(keys)).alias("j"), x=t).j
+    assert keep("x", "a.b.c") == '{"x":1.5,"a":{"b":{"c":9007199254740993}}}'
+    assert keep("é", "gone", "a.gone.c", "x.y") == '{"é":[1],"gone":null,"a":{},"x":{}}'
+    drop = lambda *keys, t=doc: one(spark, tree.drop_paths(F.col("x"), list(keys)).alias("j"), x=t).j
+    assert drop("a.b.c", "x", "gone.c", "x.y", "é.0") == '{"a":{"b":{"d":2}},"é":[1]}'
+    assert drop("a") == '{"x":1.5,"é":[1]}'
+    for t in ("[1]", "oops", ""):
+        assert keep("a", t=t) is None and drop("a", t=t) is None
+
+
+def test_collapsed_and_pretty(spark):
+    line = lambda x: one(spark, tree.collapsed(F.col("x")).alias("l"), x=x).l
+    assert line('{"a": 1, "b\\"c": 2}') == '{"a", "b\\"c"}  (2 keys)'
+    assert line('{"a": 1, "b": 2, "c": {}, "d": 4}') == '{"a", "b", "c", …}  (4 keys)'
+    assert [line(x) for x in ("{}", "[]", "[1, [2]]", ' "x" ', "7", "{oops")] == ["{}", "[]", "[…]  (2 items)", '"x"', "7", None]
+    assert [one(spark, tree.pretty(F.col("x")).alias("l"), x=x).l for x in ('{"a":[1]}', "{oops", "")] == ['{\n  "a": [\n    1\n  ]\n}', "{oops", ""]
+
+
+def test_fields_of_messages(spark):
+    def of(*m):
+        return spark.createDataFrame([(list(m),)], f"m {chat.MESSAGES}").select(chat.fields(F.col("m")).alias("f")).first().f
+
+    asked, said = ("user", '{"q": 1, "t": "x"}'), ("assistant", '{"t": [2]}')
+    assert of(("system", "s"), asked, said, ("user", "more")) == {"q": "1", "t": "[2]"}
+    for wrong, error in (((asked,), "no assistant"), ((said,), "no user"), ((("user", "hi"), said), "user message holds"), ((asked, ("assistant", None)), "assistant message holds")):
+        with pytest.raises(Exception, match=error):
+            of(*wrong)

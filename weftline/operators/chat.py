@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import strip, truncate_middle
+from weftline.functions.text import let, strip, truncate_middle
+from weftline.operators.tree import merged
 
 MESSAGES = "array<struct<role:string,content:string>>"
 DEFAULT_SYSTEM = "You are a helpful assistant."
@@ -127,3 +128,18 @@ def normalize_messages(row: Column, form: str = "auto") -> Column:
     chatml = F.when(has("messages"), F.coalesce(field("messages"), missing)).otherwise(other)
     by_form = {"chatml": chatml, "sharegpt": F.coalesce(shared, missing), "auto": F.when(has("conversations") & ~has("messages"), F.coalesce(shared, missing)).otherwise(chatml)}[form]
     return F.when(row.isNull(), F.lit(None).cast(MESSAGES)).when(F.startswith(F.ltrim(row), F.lit("[")), message_list(row)).otherwise(by_form)
+
+
+def fields(m: Column) -> Column:
+    """Keys and values, as text, of the JSON objects that the first user and the first assistant message hold; of keys in
+    both, the assistant's. A message that is missing or holds no object is an error."""
+
+    def held(who: str) -> Column:
+        def of(x: Column) -> Column:
+            got = F.from_json(F.when(F.startswith(F.ltrim(x["content"]), F.lit("{")), x["content"]), "map<string,string>")
+            said = F.when(x.isNull(), F.lit(f"no {who} message found")).otherwise(F.lit(f"{who} message holds no JSON object"))
+            return F.coalesce(got, F.raise_error(said).cast("map<string,string>"))
+
+        return let(F.get(F.filter(m, lambda x: x["role"] == who), F.lit(0)), of)
+
+    return let(F.struct(held("user").alias("user"), held("assistant").alias("assistant")), lambda x: merged(x["user"], x["assistant"]))

@@ -50,6 +50,96 @@ def search(tree: DataFrame, needle: str) -> DataFrame:
     return tree.where(F.contains(F.lower("key"), q) | F.contains(F.lower("path"), q) | F.contains(F.lower(F.coalesce("value", F.lit(""))), q))
 
 
+def containers(tree: DataFrame) -> DataFrame:
+    """Nodes that are objects or lists, the root too."""
+    return tree.where(F.col("kind").isin("object", "array"))
+
+
+def multiline(tree: DataFrame) -> DataFrame:
+    """Nodes that are strings of several lines."""
+    said = F.try_variant_get(F.try_parse_json("value"), "$", "string")
+    return tree.where((F.col("kind") == "string") & F.contains(said, F.lit("\n")))
+
+
+def _edited(x: Column, edit) -> Column:
+    """edit of the object that a JSON text holds, as JSON text; null where it holds none."""
+
+    def text(t: str | None) -> str | None:
+        try:
+            found = json.loads(t) if t is not None else None
+        except ValueError:
+            return None
+        return json.dumps(edit(found), ensure_ascii=False, separators=(",", ":")) if isinstance(found, dict) else None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(text)
+
+    return run(x)
+
+
+def keep_paths(x: Column, keys: list[str]) -> Column:
+    """Of a JSON object as text, the named keys only, in the order of naming; dots lead into objects.
+
+    A last key that is missing is null. Where an object on the way is missing, the ones before it stay."""
+    paths = [k.split(".") for k in keys]
+
+    def edit(whole: dict) -> dict:
+        out: dict = {}
+        for *way, name in paths:
+            source, to = whole, out
+            for step in way:
+                if not isinstance(source, dict) or step not in source:
+                    break
+                source, to = source[step], to.setdefault(step, {})
+                if not isinstance(to, dict):
+                    break
+            else:
+                if isinstance(source, dict):
+                    value = source.get(name)
+                    to[name] = dict(value) if isinstance(value, dict) else value
+        return out
+
+    return _edited(x, edit)
+
+
+def drop_paths(x: Column, keys: list[str]) -> Column:
+    """A JSON object as text without the named keys; dots lead into objects, and keys that aren't there are no error."""
+    paths = [k.split(".") for k in keys]
+
+    def edit(whole: dict) -> dict:
+        for *way, name in paths:
+            at = whole
+            for step in way:
+                at = at.get(step) if isinstance(at, dict) else None
+            if isinstance(at, dict):
+                at.pop(name, None)
+        return whole
+
+    return _edited(x, edit)
+
+
+def collapsed(x: Column, shown: int = 3) -> Column:
+    """One line for a JSON text: the first keys of an object and how many there are, the number of a list's items, and a
+    scalar as it is. Null where it is no JSON."""
+
+    def of(t: Column) -> Column:
+        keys = F.json_object_keys(t)
+        names = F.array_join(F.transform(F.slice(keys, 1, shown), lambda k: F.get(F.regexp_extract_all(F.to_json(F.array(k)), F.lit(r"^\[(.*)\]$"), F.lit(1)), F.lit(0))), ", ")
+        more = F.when(F.size(keys) > shown, ", …").otherwise("")
+        held = F.concat(F.lit("{"), names, more, F.lit("}  ("), F.size(keys).cast("string"), F.lit(" keys)"))
+        n = F.json_array_length(t)
+        items = F.when(n == 0, "[]").otherwise(F.concat(F.lit("[…]  ("), n.cast("string"), F.lit(" items)")))
+        return F.when(F.size(keys) == 0, "{}").when(keys.isNotNull(), held).when(n.isNotNull(), items).otherwise(t)
+
+    return let(F.when(F.try_parse_json(x).isNotNull(), F.trim(x)), of)
+
+
+def pretty(x: Column) -> Column:
+    """A JSON text indented, any other text as it is."""
+    return F.coalesce(dumps(x), x)
+
+
 def under(path: Column, prefix: str) -> Column:
     """Whether a path is the prefix itself or lies below it; all paths lie below an empty one."""
     p = prefix.rstrip("/")

@@ -161,3 +161,11 @@ def doc_row_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.to_json(F.struct(ids.alias("input_ids"), ids.alias("labels")))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", row.alias("row"))
     return d.select("doc_id", tokens.mode(F.col("row")).alias("mode"), tokens.row_chunk(F.col("row"), F.lit(1000), F.lit(256)).alias("c")).select("doc_id", "mode", "c.*")
+
+
+@query("SELECT conv_id, turn, conv_id::VARCHAR AS a, role AS b FROM conversations")
+def turn_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/{_TURNS}.parquet")
+    say = lambda who, **data: F.struct(F.lit(who).alias("role"), F.to_json(F.struct(*(v.alias(k) for k, v in data.items()))).alias("content"))
+    m = F.array(say("user", a=F.col("conv_id"), b=F.col("turn")), say("assistant", b=F.col("role")), say("user", a=F.col("turn")))
+    return t.select("conv_id", "turn", chat.fields(m).alias("f")).select("conv_id", "turn", F.col("f")["a"].alias("a"), F.col("f")["b"].alias("b"))

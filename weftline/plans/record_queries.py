@@ -16,7 +16,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion')")
 def doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.contains(F.lower("text"), F.lit("tion"))).select("doc_id")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    leaves = d.select("doc_id", F.lit("").alias("key"), F.lit("").alias("path"), F.col("text").alias("value"))
+    return tree.search(leaves, "tion").select("doc_id")
 
 
 @query("SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
@@ -42,6 +44,19 @@ def event_props_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "key", "path", "kind", "value")
 
 
+@query("SELECT event_id, '{' || '\"' || array_to_string(json_keys(props)[:3], '\", \"') || '\"' || CASE WHEN len(json_keys(props)) > 3 THEN ', …' ELSE '' END || '}  (' || len(json_keys(props)) || ' keys)' AS line, '[…]  (2 items)' AS listed FROM events")
+def event_props_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = F.concat(F.lit("["), F.col("props"), F.lit(","), F.col("props"), F.lit("]"))
+    return _events(spark, sf_dir).select("event_id", tree.collapsed(F.col("props")).alias("line"), tree.collapsed(pair).alias("listed"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract(props, '$.k')::VARCHAR || ',\"in\":{\"k\":' || json_extract(props, '$.k')::VARCHAR || ',\"none\":null}}' AS kept, '{\"in\":{}}' AS rest FROM events")
+def event_props_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    x = F.concat(F.lit('{"k": '), k, F.lit(', "in": {"k": '), k, F.lit("}}"))
+    return _events(spark, sf_dir).select("event_id", tree.keep_paths(x, ["k", "in.k", "in.none"]).alias("kept"), tree.drop_paths(x, ["k", "in.k", "no.k"]).alias("rest"))
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def event_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", tree.structured(F.col("props"), "k bigint", on_error="ignore")["k"].alias("k"))
