@@ -351,3 +351,28 @@ def test_fields_of_messages(spark):
     for wrong, error in (((asked,), "no assistant"), ((said,), "no user"), ((("user", "hi"), said), "user message holds"), ((asked, ("assistant", None)), "assistant message holds")):
         with pytest.raises(Exception, match=error):
             of(*wrong)
+
+
+def test_memoised(spark, tmp_path):
+    folder, calls = str(tmp_path / "kept"), tmp_path / "calls"
+
+    def fn(row):
+        with open(calls, "a") as f:
+            f.write("x\n")
+        return None if row["k"] is None else len(row["k"])
+
+    def run(values):
+        df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, k string")
+        got = mapping.memoised(df, ["k"], fn, "int", folder)
+        return [r.result for r in got.orderBy("n").collect()], len(calls.read_text().split())
+
+    assert run(["a", "bb", None, "a"]) == ([1, 2, None, 1], 3)
+    assert run([None, "bb", "ccc", "ccc"]) == ([None, 2, 3, 3], 4)
+    assert run(["a"]) == ([1], 4)
+
+    def fails(row):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="no"):
+        mapping.memoised(spark.createDataFrame([("new",)], "k string"), ["k"], fails, "int", folder)
+    assert run(["a", "new"]) == ([1, 3], 5)
