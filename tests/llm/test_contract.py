@@ -199,3 +199,32 @@ def test_pipeline(spark, folder):
     copies = {i: lengths[i, 0] for i in ids}
     assert lengths == Counter({(i, k): c for i, c in copies.items() for k in range(-(-len(ids[i]) // 4096)) if c})
     check_mixed({i: copies[i] * len((t or "").split()) for i, t, _ in kept if (t or "").split()} | {i: 0 for i, t, _ in kept if not (t or "").split()}, [(i, len((t or "").split()), s) for i, t, s in kept])
+
+
+def odd_documents(spark):
+    """documents with repeated rows, nulls in every column, and columns of names that stages and operators use themselves."""
+    rows = [(i, t, s) for i, t, s in made_documents()[:60]] + [(None, "no id at all here", None), (3, None, None), (5, "", "web"), *[(9, prose(9, 60), "web")] * 3]
+    names = ["copies", "__weftline", "kept", "rank", "ids", "score", "row", "times", "Row_", "h", "keep_id"]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or ""), *range(len(names))) for i, t, s in rows], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{n}` int' for n in names)}")
+    return df, rows
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_with_clashing_names(spark, folder, stage):
+    docs, rows = odd_documents(spark)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+    assert stage == "packing" or out.columns == docs.columns
+    got = out.collect()
+    if stage == "packing":
+        assert Counter(g.doc_id for g in got if g.piece == 0) == Counter(i for i, _, _ in rows)
+        return
+    assert all(tuple(g[c] for c in docs.columns[5:]) == tuple(range(11)) for g in got)
+    found, given = Counter((g.doc_id, g.text, g.source) for g in got), Counter(rows)
+    assert set(found) <= set(given)
+    if stage == "exact_dedup":
+        key = lambda t: re.sub(r"[ \t-\r]+", " ", t or "")
+        assert Counter(key(g.text) for g in got) == Counter({key(t): 1 for _, t, _ in rows})
+    if stage == "mixing":
+        check_mixed(Counter(), []) if not got else None
+        assert all(n <= 2 * given[x] for x, n in found.items())
+    assert dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), folder).collect() == []

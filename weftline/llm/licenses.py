@@ -78,7 +78,7 @@ libpng       | libpng              | libpng L(?: V2)?
 openssl      | openssl             | openssl L
 php-3.01     | php                 | php L(?: V3(?: 0?1)?)?
 python-2.0   | python software     | python software foundation L(?: V2(?: 0)?)?
-ruby         | ruby                | ruby s? ?L|ruby L
+ruby         | ruby                | ruby L
 postgresql   | postgresql          | postgresql L
 ncsa         | illinois            | university of illinois(?: ncsa)? open source L
 zpl-2.1      | zope public         | zope public L(?: V2 [01])?
@@ -106,7 +106,8 @@ cc-by-nd     | commons             | creative commons attribution no ?deriv(?:s|
 cc-by-sa     | commons             | creative commons attribution share ?alike(?: V?[1-4] [05])?(?: international| unported)? L
 cc-by        | commons             | creative commons attribution(?: V?[1-4] [05])?(?: international| unported)? L
 llama        | llama               | llama(?: [0-9]){0,2} community L(?: agreement)?
-openrail     | rail                | (?:creativeml |bigscience |bigcode )?open ?rail(?: m|\\+\\+ m)? L|responsible ai L
+openrail     | rail                | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)? L
+openrail     | responsible ai      | responsible ai L
 gemma        | gemma               | gemma (?:terms of use )?L
 proprietary  | proprietary         | proprietary (?:software )?L
 """
@@ -146,14 +147,14 @@ artistic-1.0 | artistic    | artistic V1 0(?: perl)?
 afl-3.0      | afl         | afl V[1-3] [0-2]
 osl-3.0      | osl         | osl V[1-3] [01]
 bsl-1.0      | bsl         | bsl V1 0
-busl-1.1     | bsl         | busl V1 1
 busl-1.1     | busl        | busl V1 1
 sspl-1.0     | sspl        | sspl(?: V1(?: 0)?)?
 elastic-2.0  | elastic     | elastic V2 0
 zlib         | zlib        | zlib
 openssl      | openssl     | openssl
-php-3.01     | php         | php V3 0?1?
-python-2.0   | p           | psf(?: 2 0)?|python 2 0
+php-3.01     | php         | php V3(?: 0?1)?
+python-2.0   | psf         | psf(?: 2 0)?
+python-2.0   | python      | python V2 0
 postgresql   | postgresql  | postgresql
 ncsa         | ncsa        | ncsa
 unlicense    | unlicense   | unlicense

@@ -37,7 +37,7 @@ def matrices(batches: Iterator[pa.RecordBatch], dims: int, ids: bool = False) ->
             lists = part["x"]
             lens, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
             if (lens == dims).all():
-                m = flat.reshape(-1, dims)
+                m = flat.reshape(len(lens), dims)
             else:
                 m = np.full((len(lens), dims), SHIFT, np.int64)
                 m[np.arange(dims) < lens[:, None]] = flat
