@@ -33,7 +33,9 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold the term); term null, for each group, however empty.
 
-    Counted within tasks first: what is shuffled is a group's vocabulary of a task, not words."""
+    Counted within tasks first: what is shuffled is a group's vocabulary of a task, not words. It is dealt out by language
+    and term, so that what a language says of a term needs no other shuffle; a term has a row for each task and source at
+    most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         occurs, holds, held, groups = defaultdict(Counter), defaultdict(Counter), 0, set()
@@ -73,14 +75,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
     parts = docs.select(text("lang"), text("source"), raw).mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """p of a count, exactly: 1 + floor(UNIT * (count + 1) / (total + terms)); null without terms."""
+    """p of a count, exactly: 1 + floor(UNIT * (count + 1) / (total + terms)); null without terms. Decimals are for counts
+    whose product a long can't hold."""
     wide = lambda c: c.cast("decimal(19,0)")
     top, bottom = F.lit(UNIT).cast("decimal(10,0)") * wide(count + 1), F.nullif(wide(total + terms), F.lit(0).cast("decimal(19,0)"))
-    return F.lit(1) + F.call_function("div", top, bottom)
+    narrow = F.call_function("div", F.lit(UNIT).cast("long") * (count + 1), F.nullif(total + terms, F.lit(0).cast("long")))
+    return F.lit(1) + F.when(count < 2**63 // UNIT - 1, narrow).otherwise(F.call_function("div", top, bottom))
 
 
 def price(p: Column, q: Column) -> Column:
@@ -104,12 +108,12 @@ def audit(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "audit")
-    counts = scratch.save(term_counts(docs))
-    kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
-    own = counts.where("n > 0").select("lang", "source", "term", "n")
-    rows = scratch.save(own.join(kept, ["lang", "term"]))
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({"all": F.sum("n").over(of_term), "docs": F.sum("docs").over(of_term), "first": F.row_number().over(of_term.orderBy("source")) == 1})
+    counts = scratch.save(counts.where(F.col("term").isNull() | (F.col("docs") >= LEAST_DOCS)).drop("docs"))
+    rows = counts.where("term IS NOT NULL")
     sizes = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
+    terms = rows.where("first").groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
     groups = counts.where("term IS NULL").select("lang", "source").join(terms, "lang", "left").join(sizes, ["lang", "source"], "left")
     none = F.lit(0).cast("long")
     groups = groups.select("lang", "source", *(F.coalesce(c, none).alias(c) for c in ("terms", "total", "lang_total")))
