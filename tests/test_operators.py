@@ -54,7 +54,7 @@ def test_text_functions(spark):
     r = one(
         spark, text.truncate_middle(F.lit("a" * 401)).alias("cut"), text.truncate_head_tail(F.lit("x" * 11), 10, 1.0).alias("head"),
         text.think_split(F.lit("<think>why</think> so")).alias("t"), text.assistant_split(F.lit("<think>open")).alias("a"), text.display_width(F.lit("Tiếng 漢字")).alias("w"),
-        text.snake_case(F.lit("PetStoreApi")).alias("s"), text.pascal_case(F.lit("pet_store")).alias("p"), text.human_bytes(F.lit(1536)).alias("b"), text.merge_stop(F.lit("x"), ["!"]).alias("m"),
+        text.snake_case(F.lit("PetStoreApi")).alias("s"), text.pascal_case(F.lit("pet_store")).alias("p"), text.human_bytes(F.lit(1536)).alias("b"), text.with_stop(F.lit("x"), F.lit("stop"), F.array(F.lit("!")))["text"].alias("m"),
     )
     assert "truncated 1 chars" in r.cut and r.head == "x" * 10 + "\n...\n"
     assert (r.t.reasoning, r.t.answer) == ("why", "so") and not r.a.think_done and r.a.content == ""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions import walk
+from weftline.functions.text import let
+
 
 def canonical_map(m: Column) -> Column:
     """JSON of a map with its keys in order."""
@@ -24,3 +27,20 @@ def content_uuid(x: Column) -> Column:
 def cache_key(transform: str, *columns: Column) -> Column:
     """Identity of a call: the transform's name is part of it, so that two transforms never share a result."""
     return F.sha2(F.concat_ws("\x1f", F.lit(transform), content_id(*columns)), 256)
+
+
+def canonical(v: Column) -> Column:
+    """A nested value, a VARIANT, as text: equal for equal content, whatever the order of keys at any depth, and apart for
+    1, 1.0, "1", true and null, for empty and missing containers, and for lists of another order. A line for each leaf."""
+    return F.array_join(walk.leaves(v), "\n")
+
+
+def json_id(x: Column) -> Column:
+    """SHA-256 of what a JSON text says; null where it is no JSON."""
+    return let(F.try_parse_json(x), lambda v: F.when(v.isNotNull(), F.sha2(canonical(v), 256)))
+
+
+def value_id(*columns: Column) -> Column:
+    """SHA-256 of columns of any nested type: structs and maps by key (maps with text as keys), whatever their order."""
+    whole = F.to_variant_object(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(columns))))
+    return let(whole, lambda v: F.sha2(canonical(v), 256))

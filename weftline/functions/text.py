@@ -53,14 +53,21 @@ def think_split(x: Column) -> Column:
     return let(F.struct(start.alias("start"), F.substring(x, start + 7, F.char_length(x)).alias("body")), parts)
 
 
-def assistant_split(x: Column) -> Column:
-    """reasoning, content, think_done of an answer that may begin with a think block."""
-    t = F.regexp_replace(x, r"^\s+", "")
-    opened = F.startswith(t, F.lit("<think>"))
-    end = F.instr(t, "</think>")
-    reasoning = F.when(opened & (end > 0), strip(F.substring(t, F.lit(8), end - 8))).when(opened, strip(F.substring(t, F.lit(8), F.char_length(t)))).otherwise(F.lit(""))
-    content = F.when(opened & (end > 0), strip(F.substring(t, end + 8, F.char_length(t)))).when(opened, F.lit("")).otherwise(strip(x))
-    return F.struct(reasoning.alias("reasoning"), content.alias("content"), (~opened | (end > 0)).alias("think_done"))
+def assistant_split(x: Column, start: str = "<|im_start|>assistant\n", end: str = "<|im_end|>") -> Column:
+    """reasoning, content, think_done of an assistant's text that may begin with the turn's start mark and a think block.
+
+    The turn's end mark is taken off the content. Without a think block there is no reasoning (empty); one that is still
+    open has no content."""
+
+    def of(t: Column) -> Column:
+        opened, close = F.startswith(t, F.lit("<think>")), F.instr(t, "</think>")
+        told = strip(F.substring(t, F.lit(8), F.when(close > 0, close - 8).otherwise(F.char_length(t))))
+        said = strip(F.when(~opened, t).when(close > 0, F.substring(t, close + 8, F.char_length(t))).otherwise(F.lit("")))
+        content = let(said, lambda c: F.when(F.endswith(c, F.lit(end)), F.regexp_replace(F.left(c, F.char_length(c) - len(end)), rf"{_WS}$", "")).otherwise(c))
+        return F.struct(F.when(opened, told).otherwise(F.lit("")).alias("reasoning"), content.alias("content"), (~opened | (close > 0)).alias("think_done"))
+
+    led = F.when(F.startswith(x, F.lit(start)), F.substring(x, F.lit(len(start) + 1), F.char_length(x))).otherwise(x)
+    return let(F.regexp_replace(led, rf"^{_WS}", ""), of)
 
 
 def assistant_prefix(reasoning: Column, content: Column, done: Column) -> Column:
@@ -126,21 +133,16 @@ def stop_list(stops: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), stops).otherwise(F.raise_error(F.lit("stop must contain non-empty strings")))
 
 
-def with_stop(generated: Column, stop_reason: Column, stops: Column, include: bool = True) -> Column:
+def with_stop(generated: Column, stop_reason: Column, stops: Column, include: bool = True, end: str = "<|im_end|>") -> Column:
     """text and matched: the stop text where generation has stopped at the only one there is, and the text with it added
-    where it is wanted and the text doesn't hold it. Of several it can't be known which one it was."""
+    where it is wanted and the text doesn't hold it; the turn's end mark is never added. Of several it can't be known which
+    one it was."""
     matched = F.when((stop_reason == "stop") & (F.size(stops) == 1), F.get(stops, F.lit(0)))
-    added = F.when(matched.isNotNull() & ~F.contains(generated, matched), F.concat(generated, matched)).otherwise(generated)
+    missing = matched.isNotNull() & (matched != end) & ~F.contains(generated, matched)
+    added = F.when(missing, F.concat(generated, matched)).otherwise(generated)
     return F.struct((added if include else generated).alias("text"), matched.alias("matched"))
 
 
-def merge_stop(x: Column, stops: list[str]) -> Column:
-    """Puts back a single stop text that generation has cut off; with several it can't be known which one it was."""
-    if len(stops) != 1:
-        return x
-    return F.when(F.endswith(x, F.lit(stops[0])), x).otherwise(F.concat(x, F.lit(stops[0])))
-
-
 def escape_display(x: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>"), ("\t", "&nbsp;" * 4), ("  ", "&nbsp;" * 2)):
         x = F.replace(x, F.lit(a), F.lit(b))

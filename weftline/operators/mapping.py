@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.operators.rows import chunked
+from weftline.sources.tables import written
 
 NEVER_RETRIED = (SyntaxError, NameError, ImportError, TypeError)
 
@@ -39,11 +40,14 @@ def map_rows(df: DataFrame, fn: Callable[[dict], object], result: str, on_error:
 
     on_error: raise fails the job at the first error, ignore and log keep the row with a null result and its error: a
     function that returns None is not a failure. Rows keep their place and never share an error. fn sees integers as
-    integers and nulls as None; the columns of df pass through as they are."""
+    integers and nulls as None; the columns of df pass through as they are, but for those that have one of the three names,
+    which only fn sees."""
     if on_error not in ("raise", "ignore", "log"):
         raise ValueError(f"unknown policy {on_error}")
 
-    names = [*df.columns, "result", "error_type", "error_message"]
+    own = ("result", "error_type", "error_message")
+    passed = [f for f in df.schema.fields if f.name.lower() not in own]
+    names = [*(f.name for f in passed), *own]
     kind = to_arrow_type(T._parse_datatype_string(result))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,10 +62,10 @@ def map_rows(df: DataFrame, fn: Callable[[dict], object], result: str, on_error:
                     got = None, type(e).__name__, str(e)
                 for a, x in zip((out, kinds, said), got, strict=True):
                     a.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind), pa.array(kinds, pa.string()), pa.array(said, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(b[f.name] for f in passed), pa.array(out, kind), pa.array(kinds, pa.string()), pa.array(said, pa.string())], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, result {result}, error_type string, error_message string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
+    return df.mapInArrow(run, f"{fields}{', ' if passed else ''}result {result}, error_type string, error_message string")
 
 
 def process_shards(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, out: str, shards: int, order: str = "row_idx") -> str:
@@ -81,9 +85,15 @@ def process_shards(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     try:
         placed.groupBy("chunk").applyInArrow(run, schema).write.parquet(work)
         final = f"{out.rstrip('/')}_size{spark.read.parquet(work).count()}"
-        fs.delete(place(final), True)
+        aside = f"{work}-before"
+        had = fs.exists(place(final))
+        if had and not fs.rename(place(final), place(aside)):
+            raise OSError(f"{final} could not be renamed to {aside}")
         if not fs.rename(place(work), place(final)):
+            if had:
+                fs.rename(place(aside), place(final))
             raise OSError(f"{work} could not be renamed to {final}")
+        fs.delete(place(aside), True)
     finally:
         fs.delete(place(work), True)
     return final
@@ -122,10 +132,15 @@ def memoised(df: DataFrame, keys: list[str], fn: Callable[[dict], object], resul
 
 
 def error_report(mapped: DataFrame, examples: int = 3) -> DataFrame:
-    """For each kind of error: how often, its share of all rows, and the least few messages."""
-    total = mapped.agg(F.count(F.lit(1)).alias("total"))
-    bad = mapped.where("error_type IS NOT NULL").groupBy("error_type", "error_message").agg(F.count(F.lit(1)).alias("n"))
-    kinds = bad.groupBy("error_type").agg(F.sum("n").alias("errors"), F.slice(F.sort_array(F.collect_set("error_message")), 1, examples).alias("examples"))
+    """For each kind of error: how often, its share of all rows, and the least few messages.
+
+    The mapped rows are computed once: a count of each kind and message is written, and all else is taken from that."""
+    by = written(mapped.groupBy("error_type", "error_message").agg(F.count(F.lit(1)).alias("n")))
+    total = by.agg(F.sum("n").alias("total"))
+    bad = by.where("error_type IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("error_type").orderBy(F.col("error_message").asc_nulls_last()))
+    few = bad.withColumn("place", place).where(F.col("place") <= examples).groupBy("error_type").agg(F.sort_array(F.collect_list("error_message")).alias("examples"))
+    kinds = bad.groupBy("error_type").agg(F.sum("n").alias("errors")).join(few, "error_type")
     return kinds.join(F.broadcast(total)).select("error_type", "errors", (F.col("errors") / F.nullif("total", F.lit(0))).alias("share"), "examples")
 
 

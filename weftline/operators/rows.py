@@ -6,20 +6,33 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from weftline.sources.tables import free, written
 
 
 def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Adds the position in the frame's order, from 0. Two narrow passes; no row moves."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Adds the position in the frame's order, from 0, dense.
+
+    The rows are written once with their partition's number and their place in it; then a count of each partition and its
+    prefix sums, a row for each partition, make places positions. Partitions of a frame that is computed twice need not be
+    the same (a sort samples its bounds), which is why it is written. No row moves, none goes through Python."""
+    at, part, before = free(df.columns, "at", "part", "before")
+    held = written(df.withColumn(at, F.monotonically_increasing_id()))
+    where, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(where.alias(part)).agg((F.max(place) + 1).alias("n"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = sizes.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    placed = held.join(F.broadcast(sizes), where == F.col(part))
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col(before) + place).alias(name))
 
 
 def dedup_first(df: DataFrame, keys: list[str] | None = None, order: str = "row_idx") -> DataFrame:
-    """The first row of each key in order. Partial aggregation: a frequent key is one row for each task."""
+    """The first row of each key in order, rows without an order last. Partial aggregation: a frequent key is one row for
+    each task."""
     names = keys or [c for c in df.columns if c != order]
     rest = [c for c in df.columns if c not in names]
-    best = df.groupBy(*names).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__first"))
+    first = F.struct(F.col(order).isNull(), F.col(order))
+    best = df.groupBy(*names).agg(F.min_by(F.struct(*rest), first).alias("__first"))
     return best.select(*[F.col(f"__first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
@@ -104,8 +117,10 @@ def concat(frames: list[DataFrame]) -> DataFrame:
 
 
 def changed(source: DataFrame, mirror: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of source that mirror lacks or has differently."""
-    return source.join(mirror, keys, "left_anti")
+    """Rows of source that mirror lacks or has differently; null equals null."""
+    theirs = free(source.columns, *(f"{k}_there" for k in keys))
+    held = mirror.select(*(F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)))
+    return source.join(held, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs, strict=True)], "left_anti")
 
 
 def preferred(df: DataFrame, group: list[str], rank: Column, position: str, value: str) -> DataFrame:

@@ -3,45 +3,49 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import walk
 from weftline.functions.text import let
 
-NODES = "path string, key string, depth int, kind string, value string, size int"
 CHILDREN = "array<struct<key:string,path:string,kind:string,value:string,size:int>>"
 
 
-def _kind(v: object) -> str:
-    return "null" if v is None else "bool" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
-
-
-def _walk(value: object, path: str, key: str, depth: int) -> Iterator[tuple]:
-    todo = [(value, path, key, depth)]
-    while todo:
-        v, p, k, d = todo.pop()
-        inner = list(v.items()) if isinstance(v, dict) else list(enumerate(v)) if isinstance(v, list) else []
-        yield p, k, d, _kind(v), None if isinstance(v, (dict, list)) else json.dumps(v, ensure_ascii=False), len(inner)
-        todo += [(x, f"{p}/{n}", str(n), d + 1) for n, x in reversed(inner)]
-
-
 def nodes(df: DataFrame, row: str, text: str) -> DataFrame:
     """A row for each node of the JSON in a column, depth first; JSON that doesn't parse has none."""
+    found = df.select(row, F.posexplode(walk.nodes(F.col(text))).alias("node", "n"))
+    return found.select(row, "node", *(F.col(f"n.{c}").alias(c) for c in ("path", "key", "depth", "kind", "value", "size")))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for r, t in zip(pdf[row], pdf[text], strict=True):
-                try:
-                    out += [(r, n, *x) for n, x in enumerate(_walk(json.loads(t), "", "", 0))] if t is not None else []
-                except ValueError:
-                    continue
-            yield pd.DataFrame(out, columns=[row, "node", "path", "key", "depth", "kind", "value", "size"])
 
-    return df.select(row, text).mapInPandas(run, f"{row} {df.schema[row].dataType.simpleString()}, node int, {NODES}")
+def find(df: DataFrame, row: str, text: str, needle: str) -> DataFrame:
+    """What is seen of a nested value once all matches of a text are opened up: a row for each node whose containers are
+    all open, with its place (from 0, depth first), and match, the number of the match in that order (null: none).
+
+    A node matches by its key ([0], [1] ... in lists), its path without the first slash, or the JSON text of a scalar, in
+    any case; the root by its value only. Every container on the way to a match is open. A row without a match shows nothing,
+    and an empty text matches nothing.
+
+    Nodes meet matches by their path as numbers: the ancestors of a match are the beginnings of its path, taken once each,
+    and a node is seen if the path of its container is among them. Both joins are by (row, path)."""
+    q = F.lower(F.lit(needle))
+    tree = df.select(row, F.explode(walk.nodes(F.col(text))).alias("n")).select(row, "n.*")
+    shown = F.when(F.col("item"), F.concat(F.lit("["), F.col("key"), F.lit("]"))).otherwise(F.col("key"))
+    holder = F.slice("ord", 1, F.greatest(F.size("ord") - 1, F.lit(0)))
+    hit = F.contains(F.lower(shown), q) | F.contains(F.lower(F.substring("path", 2, 1 << 30)), q) | F.contains(F.lower(F.coalesce("value", F.lit(""))), q)
+    tree = tree.withColumn("hit", hit & F.lit(needle != ""))
+    ways = F.transform(F.sequence(F.lit(0), F.size("ord") - 1), lambda k: F.slice("ord", 1, k))
+    found = tree.where("hit").select(row, F.when(F.size("ord") > 0, ways).otherwise(F.array().cast("array<array<int>>")).alias("ways"), "ord")
+    opened = found.select(F.col(row).alias("of"), F.explode("ways").alias("way")).distinct()
+    seen = tree.where(F.size("ord") > 0).join(opened, F.col(row).eqNullSafe(F.col("of")) & (holder == F.col("way")), "left_semi")
+    rows = found.select(F.col(row).alias("of")).distinct()
+    roots = tree.where(F.size("ord") == 0).join(rows, F.col(row).eqNullSafe(F.col("of")), "left_semi")
+    order = Window.partitionBy(row).orderBy("ord")
+    out = seen.unionByName(roots).withColumn("place", F.row_number().over(order) - 1)
+    number = F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return out.select(row, "place", "path", "key", "depth", "kind", "value", "size", F.when(F.col("hit"), number.cast("int")).alias("match"))
 
 
 def search(tree: DataFrame, needle: str) -> DataFrame:
@@ -152,13 +156,6 @@ def _at(path: str) -> str:
     return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in steps)
 
 
-def _variant_kind(v: Column) -> Column:
-    name = F.schema_of_variant(v)
-    number = F.regexp_like(name, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
-    out = F.when(name == "STRING", "string").when(name == "BOOLEAN", "bool").when(number, "number")
-    return F.when(v.isNull() | (name == "VOID"), "null").otherwise(out.when(F.startswith(name, F.lit("ARRAY")), "array").otherwise("object"))
-
-
 def children(x: Column, path: str = "") -> Column:
     """What lies directly below a path of a JSON text, without what lies deeper: key, path, kind, value, size.
 
@@ -169,7 +166,7 @@ def children(x: Column, path: str = "") -> Column:
     parent = path.rstrip("/")
 
     def entry(key: Column, step: Column, v: Column) -> Column:
-        kind = _variant_kind(v)
+        kind = walk.variant_kind(v)
         inner = F.when(kind == "array", F.size(F.try_variant_get(v, "$", "array<variant>"))).when(kind == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")))
         value = F.when(kind == "null", F.lit("null")).when(~kind.isin("array", "object"), F.to_json(v))
         return F.struct(key.alias("key"), F.concat(F.lit(f"{parent}/"), step).alias("path"), kind.alias("kind"), value.alias("value"), F.coalesce(inner, F.lit(0)).alias("size"))

@@ -101,15 +101,16 @@ def event_type_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = F.transform(F.split("text", " "), lambda w: F.char_length(w))
-    return d.select("doc_id", ids.alias("input_ids"), F.transform(ids, lambda x, k: F.when(k < F.size(ids) / 2, F.lit(tokens.MASKED)).otherwise(x)).alias("labels"))
+    halved = lambda ids, n: F.transform(ids, lambda x, k: F.when(k < n / 2, F.lit(tokens.MASKED)).otherwise(x))
+    row = lambda ids: F.struct(ids.alias("input_ids"), text.let(F.size(ids), lambda n: halved(ids, n)).alias("labels"))
+    return d.select("doc_id", text.let(F.transform(F.split("text", " "), F.char_length), row).alias("row"))
 
 
 @query("SELECT doc_id, len(w)::INTEGER AS total, ceil(len(w) / 2.0)::INTEGER AS masked, (len(w) - ceil(len(w) / 2.0))::INTEGER AS trainable, CASE WHEN len(w) > 1 THEN 2 ELSE 1 END AS regions FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def doc_sft_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _sft(spark, sf_dir).withColumn("r", tokens.sft_regions(F.col("input_ids"), F.col("labels")))
-    n = r.select("doc_id", F.size("input_ids").alias("total"), tokens.masked(F.col("labels")).alias("masked"), F.size(tokens.boundaries(F.col("r"))).alias("regions"))
-    return n.withColumn("trainable", F.col("total") - F.col("masked"))
+    told = lambda r: F.struct(F.size(r["input_ids"]).alias("total"), tokens.masked(r["labels"]).alias("masked"), F.size(tokens.boundaries(tokens.sft_regions(r["input_ids"], r["labels"]))).alias("regions"))
+    n = _sft(spark, sf_dir).select("doc_id", text.let(F.col("row"), told).alias("n"))
+    return n.select("doc_id", "n.*").withColumn("trainable", F.col("total") - F.col("masked"))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(w, least(5, greatest(len(w) - 1, 0)) + 1, least(least(5, greatest(len(w) - 1, 0)) + 12, len(w))), ' ') AS part FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")

@@ -101,6 +101,12 @@ def task_time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.task_table(_events(spark, sf_dir).withColumn("one", F.lit(1).cast("long")), "event_type", "one").select("task", "total", F.round("percent", 10).alias("percent"), "grade")
 
 
-@query()
+@query("""
+WITH RECURSIVE passed AS (
+    SELECT user_id, min(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY user_id
+    UNION ALL SELECT p.user_id, min(e.ts) FROM passed p JOIN events e ON e.user_id IS NOT DISTINCT FROM p.user_id AND e.ts >= p.ts + INTERVAL 1 HOUR GROUP BY p.user_id, p.ts)
+SELECT min(event_id) AS event_id, e.ts, e.user_id FROM events e JOIN passed p ON e.ts = p.ts AND e.user_id IS NOT DISTINCT FROM p.user_id GROUP BY e.ts, e.user_id
+UNION ALL SELECT event_id, ts, user_id FROM events WHERE ts IS NULL
+""")
 def event_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate_limited(_events(spark, sf_dir).select("event_id", "ts", "user_id"), "user_id", "ts", 3600.0)
+    return rate_limited(_events(spark, sf_dir).select("event_id", "ts", "user_id"), "user_id", "ts", 3600.0, "event_id")

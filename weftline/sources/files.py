@@ -42,12 +42,11 @@ def load_jsonl(spark: SparkSession, paths: str | list[str], on_error: str = "rai
     """source, line (from 0, of the file's physical lines), row (VARIANT) and error of each line that isn't blank.
 
     on_error: raise fails, skip drops bad lines, keep leaves them with a null row and their text as error. max_lines
-    counts physical lines, blank and bad ones too; it and line numbers need one task for each file."""
+    counts physical lines, blank and bad ones too. Lines are numbered only where line or max_lines is asked for."""
     if on_error not in ("raise", "skip", "keep"):
         raise ValueError(f"unknown policy {on_error}")
-    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("at"), "value")
-    w = Window.partitionBy("source").orderBy("at")
-    lines = lines.withColumn("line", (F.row_number().over(w) - 1).cast("long"))
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    lines = _by_block(lines.select(*(F.col(c).alias(n) for n, c in _PLACE.items()), F.monotonically_increasing_id().alias("at"), "value"), line=F.lit(1))
     if max_lines is not None:
         lines = lines.where(F.col("line") < max_lines)
     parsed = lines.where(F.regexp_replace("value", r"\s+", "") != "").withColumn("row", F.try_parse_json("value"))
@@ -113,12 +112,32 @@ def count_lines(spark: SparkSession, path: str) -> int:
         return 0
 
 
+def _by_block(lines: DataFrame, **sums: Column) -> DataFrame:
+    """lines (source, block, at, ...) with running sums over the lines of a file before each: within a block of the file by
+    a window, before the block by the prefix sums of the blocks' totals. A file of any size is as many tasks as blocks."""
+    keys = ["source", "block"]
+    within = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    totals = lines.groupBy(*keys).agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    totals = totals.select(*keys, *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    own = lines.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(totals, keys)
+    return own.withColumns({n: (F.col(n) + F.col(f"_{n}")).cast("long") for n in sums}).drop(*(f"_{n}" for n in sums))
+
+
+_PLACE = {"source": "_metadata.file_path", "block": "_metadata.file_block_start"}
+
+
 def line_index(spark: SparkSession, path: str) -> DataFrame:
-    """line, offset and length in bytes of each line of a file that isn't blank."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.octet_length("value").alias("length"), (F.trim("value") != "").alias("full"))
-    w = Window.orderBy("at")
-    lines = lines.withColumns({"line": F.row_number().over(w) - 1, "offset": F.coalesce(F.sum(F.col("length") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    return lines.where("full").select("line", "offset", "length")
+    """source, line (from 0), offset and length in bytes of each line of files that isn't blank. Lines end with a line
+    feed, which isn't part of them; a carriage return before it is, and a byte order mark counts as bytes before the first
+    line. Of compressed files, offsets are into the plain bytes."""
+    raw = spark.read.text(path, lineSep="\n")
+    size = F.when(F.lower("_metadata.file_path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$"), F.lit(None)).otherwise(F.col("_metadata.file_size"))
+    lines = raw.select(*(F.col(c).alias(n) for n, c in _PLACE.items()), size.alias("bytes"), F.monotonically_increasing_id().alias("at"), F.octet_length("value").cast("long").alias("length"), (F.regexp_replace("value", r"\s+", "") != "").alias("full"))
+    lines = _by_block(lines, line=F.lit(1), offset=F.col("length") + 1)
+    mark = lines.groupBy("source").agg((F.max("bytes") - F.sum(F.col("length") + 1) >= 2).alias("marked"))  # else 0, or -1 without a last line feed
+    out = lines.where("full").join(mark, "source")
+    return out.select("source", "line", (F.col("offset") + F.when(F.col("marked"), 3).otherwise(0)).alias("offset"), "length")
 
 
 def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,30 +17,32 @@ def watch_lines(spark: SparkSession, folder: str, suffix: str = "*.jsonl") -> Da
 
 
 def _emitted(times: list, last, interval: float) -> tuple[list[bool], object]:
+    """Which of the times in order are let through, and the last that was; events without a time pass and change nothing."""
     out = []
     for t in times:
-        ok = last is None or (t - last).total_seconds() >= interval
+        ok = t is None or last is None or (t - last).total_seconds() >= interval
         out.append(ok)
-        last = t if ok else last
+        last = t if ok and t is not None else last
     return out, last
 
 
-def rate_limited(events: DataFrame, key: str, time: str, interval: float) -> DataFrame:
-    """Events of each key that come at least interval seconds after the last one let through; by key and in order."""
+def rate_limited(events: DataFrame, key: str, time: str, interval: float, tie: str | None = None) -> DataFrame:
+    """Events of each key that come at least interval seconds after the last one let through; by key and in order, and
+    by tie among those of one time. Null is a key like any other; events without a time are let through and hold none up."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = object(), None
+        for b in batches:
             keep = []
-            for k, t in zip(pdf[key], pdf[time], strict=True):
-                if k not in last:
-                    last.clear()  # keys come one after the other
-                ok, last[k] = _emitted([t], last.get(k), interval)
+            for k, t in zip(b[key].to_pylist(), b[time].to_pylist(), strict=True):
+                if k != at:  # keys come one after the other
+                    at, last = k, None
+                ok, last = _emitted([t], last, interval)
                 keep += ok
-            yield pdf[keep]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     # streamed in order instead of gathered by group: a key of any size needs one batch of memory
-    return events.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, events.schema)
+    return events.repartition(key).sortWithinPartitions(key, time, *([tie] if tie else [])).mapInArrow(run, events.schema)
 
 
 def rate_limited_stream(events: DataFrame, key: str, time: str, interval: float, watermark: str = "1 minute") -> DataFrame:
