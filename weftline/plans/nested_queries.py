@@ -119,10 +119,10 @@ def assistant_split_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", text.assistant_split(F.concat(F.lit("<|im_start|>assistant\n"), body)).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query("SELECT event_id, depth::INT AS depth FROM (SELECT event_id, 3 + event_id % 40 AS depth FROM events)")
+@query("SELECT event_id, depth::INT AS depth FROM (SELECT event_id, 3 + event_id % 5 AS depth FROM events)")
 def event_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How deep values are nested, and that the deepest leaf is reached."""
-    n = (F.col("event_id") % 40 + 1).cast("int")
+    n = (F.col("event_id") % 5 + 1).cast("int")
     deep = F.concat(F.repeat(F.lit('[{"]":'), n), F.col("props"), F.repeat(F.lit("}]"), n))
     e = _events(spark, sf_dir).select("event_id", deep.alias("x"), n.alias("n"))
     at = F.array_max(F.transform(walk.nodes(F.col("x")), lambda d: d["depth"]))

@@ -9,6 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.sources import arrow
+
 #: Compressions that Spark's readers know; others would be read as text of no sense.
 READABLE = ("", ".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
@@ -79,8 +81,8 @@ def load_data(spark: SparkSession, path: str) -> DataFrame:
     """source, row_index and row (VARIANT, an object) of a data set, by what its path is.
 
     A folder has a row for each of its JSON files, under the file's name; JSON lines and a JSON file with an object or an
-    array of objects have no source, and rows numbered from 0. A missing path, a folder without JSON files, another
-    suffix and a folder of Arrow files (which has a description of the data set in it) are errors."""
+    array of objects have no source, and rows numbered from 0; a folder of Arrow files has its splits as sources, and rows
+    numbered through all of them. A missing path, a folder without JSON files and another suffix are errors."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
@@ -88,8 +90,11 @@ def load_data(spark: SparkSession, path: str) -> DataFrame:
     none = F.lit(None).cast("string").alias("source")
     if fs.getFileStatus(at).isDirectory():
         names = {f.getPath().getName() for f in fs.listStatus(at)}
-        if names & {"dataset_dict.json", "dataset_info.json", "state.json"}:
-            raise ValueError(f"folders of Arrow files can't be read here: {path}")
+        if names & {arrow.SPLITS, arrow.STATE, arrow.INFO}:
+            rows = arrow.read_arrow(spark, path)
+            own = F.to_variant_object(F.struct(*(F.col(f"`{c}`") for c in rows.columns[3:])))
+            index = _by_block(rows.select(F.lit("").alias("source"), F.struct("split", "place").alias("block"), F.col("row_index").alias("at"), "split", own.alias("row")), row_index=F.lit(1))
+            return index.select(F.nullif("split", F.lit("")).alias("source"), "row_index", "row")
         if not any(n.endswith(".json") for n in names):
             raise ValueError(f"no JSON files in {path}")
         return load_json_folder(spark, path).select("source", F.lit(0).cast("long").alias("row_index"), _objects("row").alias("row"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from weftline.streaming.caches import limited_stream as rate_limited_stream  # noqa: F401
 
 
 def watch_lines(spark: SparkSession, folder: str, suffix: str = "*.jsonl") -> DataFrame:
@@ -45,20 +45,5 @@ def rate_limited(events: DataFrame, key: str, time: str, interval: float, tie: s
     return events.repartition(key).sortWithinPartitions(key, time, *([tie] if tie else [])).mapInArrow(run, events.schema)
 
 
-def rate_limited_stream(events: DataFrame, key: str, time: str, interval: float, watermark: str = "1 minute") -> DataFrame:
-    """As rate_limited, over a stream: the time let through last is the state of a key."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    state = T.StructType([T.StructField("last", T.TimestampType())])
-
-    def run(_, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(time)
-        ok, last = _emitted(list(pdf[time]), held.get[0] if held.exists else None, interval)
-        held.update((last,))
-        yield pdf[ok]
-
-    return events.withWatermark(time, watermark).groupBy(key).applyInPandasWithState(run, events.schema, state, "append", GroupStateTimeout.NoTimeout)
-
-
 def once_per_key(events: DataFrame, key: str) -> DataFrame:
     return events.dropDuplicates([key])
