@@ -42,7 +42,7 @@ def variant_kind(v: Column) -> Column:
     return let(F.schema_of_variant(v), of)
 
 
-def _entries(text: Column) -> Column:
+def entries(text: Column) -> Column:
     """key, v, text of the fields of an object or the items of a list, given as JSON text, in the order of the text."""
     paired = lambda keys, vs, ts: F.zip_with(F.zip_with(keys, vs, lambda k, v: F.struct(k.alias("key"), v.alias("v"))), ts, lambda e, t: F.struct(e["key"].alias("key"), e["v"].alias("v"), t.alias("text")))
     fields = lambda m: paired(F.map_keys(m), F.map_values(m), F.map_values(F.from_json(text, "map<string,string>")))
@@ -61,7 +61,7 @@ def nodes(json: Column) -> Column:
 
     def opened(e: Column) -> Column:
         child = lambda kind: lambda c, k: F.struct(F.concat(e["ord"], F.array(k)).alias("ord"), F.concat(e["path"], F.lit("/"), c["key"]).alias("path"), c["key"].alias("key"), (kind == "array").alias("item"), c["text"].alias("text"), c["v"].alias("v"))
-        inner = lambda kind: F.when(kind.isin("array", "object"), F.transform(_entries(e["text"]), child(kind)))
+        inner = lambda kind: F.when(kind.isin("array", "object"), F.transform(entries(e["text"]), child(kind)))
         return F.coalesce(let(variant_kind(e["v"]), inner), F.array().cast(_OPEN))
 
     def told(e: Column) -> Column:

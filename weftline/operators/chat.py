@@ -113,6 +113,46 @@ def message_list(x: Column) -> Column:
     return F.transform(got, lambda m: F.struct(role(m).alias("role"), content(m).alias("content")))
 
 
+WHOLE = "array<struct<role:string,content:variant,extra:map<string,variant>>>"
+#: Keys of a message that are its role and content; all others are extra.
+SAID = ("role", "content", "from", "value")
+
+
+def messages_whole(x: Column) -> Column:
+    """role, content and extra of the messages of a list given as JSON text; null where it is no list.
+
+    content stays what it is, a text, a list of parts or null, and is an empty text where it is missing. extra has all
+    other keys with their values: calls of tools, names, reasoning. A message that names nobody is an error, and so is one
+    that is no object."""
+    wrong = lambda said: F.raise_error(F.lit(said)).cast("string")
+    text = lambda v: let(F.try_variant_get(v, "$", "string"), lambda t: F.coalesce(t, F.when(v.isNull() | (F.schema_of_variant(v) == "VOID"), F.lit("None")).otherwise(F.to_json(v))))
+
+    def one(f: Column) -> Column:
+        has = lambda k: F.map_contains_key(f, k)
+        pair = has("from") & has("value")
+        role = F.when(f.isNull(), wrong("message is not an object")).when(pair, text(F.element_at(f, "from"))).when(has("role"), text(F.element_at(f, "role"))).otherwise(wrong("message without role or from"))
+        content = F.when(pair, F.element_at(f, "value")).when(has("content"), F.element_at(f, "content")).otherwise(F.parse_json(F.lit('""')))
+        return F.struct(role.alias("role"), content.alias("content"), F.map_filter(f, lambda k, _: ~k.isin(*SAID)).alias("extra"))
+
+    listed = F.from_json(F.when(F.startswith(F.ltrim(x), F.lit("[")), x), "array<variant>")
+    return F.transform(listed, lambda m: let(F.when(F.startswith(F.schema_of_variant(m), F.lit("OBJECT")), F.try_variant_get(m, "$", "map<string,variant>")), one))
+
+
+def normalize_whole(row: Column) -> Column:
+    """As normalize_messages with form chatml, with what messages_whole keeps of each message."""
+    field = lambda k: messages_whole(F.get_json_object(row, f"$.{k}"))
+    has = F.coalesce(F.array_contains(F.json_object_keys(row), "messages"), F.lit(False))
+    missing = F.raise_error(F.lit("no messages in row")).cast(WHOLE)
+    other = F.coalesce(field("outbound_messages"), field("input_messages"), field("conversations"), missing)
+    return F.when(row.isNull(), F.lit(None).cast(WHOLE)).when(F.startswith(F.ltrim(row), F.lit("[")), messages_whole(row)).when(has, F.coalesce(field("messages"), missing)).otherwise(other)
+
+
+def said(m: Column) -> Column:
+    """Messages with their content as text: as it is, or as JSON where it isn't a text; a null stays null."""
+    plain = lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).when(F.schema_of_variant(c) != "VOID", F.to_json(c))
+    return F.transform(m, lambda x: F.struct(x["role"], plain(x["content"]).alias("content")))
+
+
 def normalize_messages(row: Column, form: str = "auto") -> Column:
     """Messages of a row given as JSON text, whatever its form.
 

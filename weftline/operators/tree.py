@@ -150,10 +150,14 @@ def under(path: Column, prefix: str) -> Column:
     return (path == p) | F.startswith(path, F.lit(f"{p}/"))
 
 
-def _at(path: str) -> str:
-    """The JSON path of /a/0/b."""
-    steps = [p for p in path.strip("/").split("/") if p]
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in steps)
+def _at(x: Column, path: str) -> Column:
+    """key, v and text of what is at /a/0/b of a JSON text: a step is a key of an object or a place of a list, as what is
+    there asks for. Null where nothing is there."""
+    out = let(F.try_parse_json(x), lambda v: F.when(v.isNotNull(), F.struct(F.lit("").alias("key"), v.alias("v"), F.trim(x).alias("text"))))
+    below = lambda p: lambda e: F.when(walk.variant_kind(e["v"]).isin("array", "object"), F.try_element_at(F.filter(walk.entries(e["text"]), lambda c: c["key"] == p), F.lit(-1)))
+    for step in (p for p in path.strip("/").split("/") if p):
+        out = let(out, below(step))
+    return out
 
 
 def children(x: Column, path: str = "") -> Column:
@@ -162,7 +166,7 @@ def children(x: Column, path: str = "") -> Column:
     In the order of the text; entries of a list are named [0], [1] and so on. value is the JSON text of a scalar and null of
     a container, size the number of a container's entries. A scalar, an empty container, a path that isn't there and text
     that is no JSON have none; null stays null."""
-    at = F.get_json_object(x, _at(path)) if path.strip("/") else F.when(F.try_parse_json(x).isNotNull(), F.ltrim(x))
+    at = _at(x, path)["text"] if path.strip("/") else F.when(F.try_parse_json(x).isNotNull(), F.ltrim(x))
     parent = path.rstrip("/")
 
     def entry(key: Column, step: Column, v: Column) -> Column:
@@ -269,10 +273,7 @@ def flat(x: Column) -> Column:
 
 def resolve(x: Column, path: str, kind: str = "string") -> Column:
     """value at /a/0/b, and whether the path is there: a JSON null is there, a missing key is not."""
-    steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.strip("/").split("/") if p)
-    v = F.try_parse_json(x)
-    at = F.try_variant_get(v, f"${steps}", "variant")
-    return F.struct(F.try_variant_get(v, f"${steps}", kind).alias("value"), at.isNotNull().alias("exists"))
+    return let(_at(x, path), lambda e: F.struct(F.try_variant_get(e["v"], "$", kind).alias("value"), e.isNotNull().alias("exists")))
 
 
 def summary(m: Column, shown: int = 3) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import diff, identity, lenient, text, walk
-from weftline.operators import tree
+from weftline.operators import chat, tree
 from weftline.plans.registry import query
 
 
@@ -127,3 +127,38 @@ def event_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("event_id", deep.alias("x"), n.alias("n"))
     at = F.array_max(F.transform(walk.nodes(F.col("x")), lambda d: d["depth"]))
     return e.where(walk.nesting(F.col("x")) == 2 * F.col("n") + 1).select("event_id", (at - F.col("n") + 1).alias("depth"))
+
+
+@query("""
+SELECT conv_id, turn, role, text AS content, CASE WHEN turn % 2 = 0 THEN '[{"id":' || turn || ',"name":"f"}]' END AS calls, CASE turn % 3 WHEN 0 THEN role || ' speaks' END AS name,
+       (CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END + CASE turn % 3 WHEN 0 THEN 1 ELSE 0 END)::INT AS extras FROM conversations
+""")
+def messages_with_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of tool users: what is beside role and content stays with them."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    calls = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(',"tool_calls":[{"name":"f","id":'), F.col("turn").cast("string"), F.lit("}]"))).otherwise("")
+    name = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(',"name":'), _say(F.concat("role", F.lit(" speaks"))))).otherwise("")
+    pair = F.when(F.col("turn") % 5 == 0, _text('{"from":', _say(F.col("role")), ',"value":', _say(F.col("text")))).otherwise(_text('{"role":', _say(F.col("role")), ',"content":', _say(F.col("text"))))
+    row = F.concat(F.lit('{"messages":['), pair, calls, name, F.lit("}]}"))
+    m = c.select("conv_id", "turn", chat.normalize_whole(row).alias("m")).select("conv_id", "turn", F.get("m", F.lit(0)).alias("m"), F.get(chat.said(F.col("m")), F.lit(0)).alias("s"))
+    extra = lambda k: F.try_element_at(F.col("m.extra"), F.lit(k))
+    return m.select("conv_id", "turn", "s.role", "s.content", F.to_json(extra("tool_calls")).alias("calls"), F.try_variant_get(extra("name"), "$", "string").alias("name"), F.size("m.extra").alias("extras"))
+
+
+@query("""
+WITH e AS (SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events)
+SELECT event_id, k::BIGINT AS digit_key, k::BIGINT AS blank_key, k::BIGINT AS in_list, true AS null_there, false AS missing, 2 AS below FROM e
+""")
+def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths through keys of digits, blanks and quotes, and places of lists."""
+    x = _text('{"a b":{"0":', F.get_json_object("props", "$.k"), ',"it\'s":[', F.col("props"), ',null]},"7":{"n":null,"m":1}}')
+    at = lambda path: tree.resolve(F.col("x"), path, "bigint")
+    e = _events(spark, sf_dir).select("event_id", x.alias("x"))
+    r = e.select("event_id", at("/a b/0").alias("d"), at("/a b/it's/0/k").alias("l"), at("/7/n").alias("n"), at("/7/0").alias("m"), F.size(tree.children(F.col("x"), "/7")).alias("below"))
+    return r.select("event_id", F.col("d.value").alias("digit_key"), F.col("d.value").alias("blank_key"), F.col("l.value").alias("in_list"), F.col("n.exists").alias("null_there"), F.col("m.exists").alias("missing"), "below")
+
+
+@query("SELECT event_id, array_to_string(list_transform(string_split(event_type || '_' || event_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM events")
+def key_titles_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of keys of several words."""
+    return _events(spark, sf_dir).select("event_id", text.key_title(F.concat("event_type", F.lit("_"), "event_type")).alias("title"))

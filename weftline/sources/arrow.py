@@ -52,8 +52,9 @@ class Folder:
             under = f"{split}/" if split else ""
             if not self.has(f"{under}{STATE}"):
                 raise ValueError(f"{self.path}/{under}{STATE} is missing: not a folder of Arrow files")
-            files = [f["filename"] for f in self.read(f"{under}{STATE}")["_data_files"]]
-            out += [Part(split, k, f"{self.path}/{under}{f}") for k, f in enumerate(files)]
+            if (files := self.read(f"{under}{STATE}").get("_data_files")) is None:
+                raise ValueError(f"{self.path}/{under}{STATE} names no files")
+            out += [Part(split, k, f"{self.path}/{under}{f['filename']}") for k, f in enumerate(files)]
         return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -40,6 +41,59 @@ def load_by_ext(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raise ValueError(f"no reader for {kind or paths[0]}")
 
 
+def expanded(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Files of paths and patterns, in the order given and, of a pattern, by name; a pattern without a match, and a path
+    that isn't there, stay as they are. * and ? stay within a folder, ** goes into all of them."""
+    out: list[str] = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        fixed = p[: re.search(r"[*?\[]", p).start()].rpartition("/")[0] if re.search(r"[*?\[]", p) else None
+        if fixed is None:
+            out.append(p)
+            continue
+        top = spark._jvm.org.apache.hadoop.fs.Path(fixed or ("/" if p.startswith("/") else "."))
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        base = fs.makeQualified(top).toUri().getPath().rstrip("/")
+        found, rest = [], p[len(fixed) :].lstrip("/")
+        match = re.compile(_pattern(rest)).fullmatch
+        files = fs.listFiles(top, "**" in rest or "/" in rest) if fs.exists(top) else None
+        while files is not None and files.hasNext():
+            path = files.next().getPath()
+            if match(path.toUri().getPath()[len(base) :].lstrip("/")):
+                found.append(path.toString())
+        out += sorted(found) or [p]
+    return out
+
+
+def _pattern(glob: str) -> str:
+    """A pattern of file names as a regular expression; names that begin with a dot match only a dot."""
+    out, k = "", 0
+    while k < len(glob):
+        c = glob[k]
+        start = k == 0 or glob[k - 1] == "/"
+        if glob[k : k + 3] == "**/" and start:
+            out, k = out + r"(?:(?!\.)[^/]+/)*", k + 3
+        elif glob[k:] == "**" and start:
+            out, k = out + r"(?:(?!\.)[^/]+/)*(?!\.)[^/]*", k + 2
+        elif c in "*?":
+            out, k = out + (r"(?!\.)" if start else "") + ("[^/]*" if c == "*" else "[^/]"), k + 1
+        elif c == "[" and "]" in glob[k + 2 :]:
+            end = glob.index("]", k + 2)
+            out, k = out + "[" + glob[k + 1 : end].replace("\\", "\\\\").replace("!", "^", 1 if glob[k + 1] == "!" else 0) + "]", end + 1
+        else:
+            out, k = out + re.escape(c), k + 1
+    return out
+
+
+def load_jsonl_files(spark: SparkSession, paths: str | list[str], on_error: str = "raise") -> DataFrame:
+    """As load_jsonl, of paths and patterns, with file, the place of a row's file in the order of expanded. A file that
+    is named twice has its rows twice."""
+    files = expanded(spark, paths)
+    plain = lambda p: re.sub(r"^file:/+", "file:/", spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p)).toUri().toString())
+    places = spark.createDataFrame([(plain(p), k) for k, p in enumerate(files)], "path string, file int")  # a row for each file
+    rows = load_jsonl(spark, sorted(set(files)), on_error)
+    return rows.join(places, F.regexp_replace("source", "^file:/+", "file:/") == F.col("path")).drop("path")
+
+
 def load_jsonl(spark: SparkSession, paths: str | list[str], on_error: str = "raise", max_lines: int | None = None) -> DataFrame:
     """source, line (from 0, of the file's physical lines), row (VARIANT) and error of each line that isn't blank.
 
