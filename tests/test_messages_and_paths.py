@@ -68,6 +68,7 @@ def test_patterns_of_files(spark, tmp_path):
     for pattern in ("a/*.jsonl", "a/**/*.jsonl", "**/*.jsonl", "*.jsonl", "z?1*", "a/*/*.jsonl", "z[0-9].json", "z[!2]*", "none*", "a/**"):
         want = sorted(p for p in glob.glob(f"{tmp_path}/{pattern}", recursive=True) if not p.endswith("/") and "." in p.rsplit("/", 1)[-1]) or [f"{tmp_path}/{pattern}"]
         assert short(files.expanded(spark, f"{tmp_path}/{pattern}")) == short(want), pattern
+    assert files.load_jsonl_files(spark, f"{tmp_path}/z?1*").count() == 2
     paths = [f"{tmp_path}/z 1.jsonl", f"{tmp_path}/a/**/*.jsonl", f"{tmp_path}/a/1.jsonl"]
     got = files.load_jsonl_files(spark, paths).select("file", F.variant_get("row", "$.n", "string").alias("n")).orderBy("file").collect()
     assert [(r.file, r.n) for r in got] == [(0, "z 1.jsonl"), (1, "a/1.jsonl"), (2, "a/b/2.jsonl"), (3, "a/b/c/0.jsonl"), (4, "a/1.jsonl")]

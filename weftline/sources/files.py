@@ -88,9 +88,12 @@ def load_jsonl_files(spark: SparkSession, paths: str | list[str], on_error: str
     """As load_jsonl, of paths and patterns, with file, the place of a row's file in the order of expanded. A file that
     is named twice has its rows twice."""
     files = expanded(spark, paths)
-    plain = lambda p: re.sub(r"^file:/+", "file:/", spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p)).toUri().toString())
-    places = spark.createDataFrame([(plain(p), k) for k, p in enumerate(files)], "path string, file int")  # a row for each file
-    rows = load_jsonl(spark, sorted(set(files)), on_error)
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    whole = [path(p).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path(p)) for p in files]
+    places = [(re.sub("^file:/+", "file:/", p.toUri().toString()), k) for k, p in enumerate(whole)]
+    places = spark.createDataFrame(places, "path string, file int")  # a row for each file
+    literal = lambda p: re.sub(r"([\[\]{}*?\\])", r"\\\1", p)
+    rows = load_jsonl(spark, sorted({literal(p.toString()) for p in whole}), on_error)
     return rows.join(places, F.regexp_replace("source", "^file:/+", "file:/") == F.col("path")).drop("path")
 
 
