@@ -131,3 +131,11 @@ def test_assistant_split_and_stops(spark):
     assert got[:6] == [("why", "so", True), ("", "plain", True), ("still", "", False), ("a", "b</think>c", True), ("", "bare", True), ("", "", True)]
     stop = lambda x, s: tuple(spark.range(1).select(text.with_stop(F.lit(x), F.lit("stop"), F.array(F.lit(s))).alias("s")).first().s)
     assert stop("done", "<|im_end|>") == ("done", "<|im_end|>") and stop("done", "###") == ("done###", "###")
+
+
+def test_lists_and_order(spark):
+    df = spark.createDataFrame([([[1, 2], None, [], [2, None]], ["b", "a", "b", None])], "x array<array<int>>, y array<string>")
+    got = df.select(rows.flat_list(F.col("x")).alias("x"), rows.unique(F.col("y")).alias("y")).first()
+    assert got.x == [1, 2, 2, None] and got.y == ["b", "a", None]
+    mixed = rows.with_row_idx(spark.range(500)).repartition(7, F.xxhash64("id"))
+    assert [r.id for r in rows.in_order(mapping.map_rows(mixed, lambda r: r["id"], "long")).collect()] == list(range(500))

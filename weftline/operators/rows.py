@@ -123,6 +123,22 @@ def changed(source: DataFrame, mirror: DataFrame, keys: list[str]) -> DataFrame:
     return source.join(held, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs, strict=True)], "left_anti")
 
 
+def unique(x: Column) -> Column:
+    """The different entries of an array, in the order of their first places."""
+    return F.array_distinct(x)
+
+
+def flat_list(x: Column) -> Column:
+    """Lists in a list as one list, in order; null lists among them are left out, one level is taken off."""
+    return F.flatten(F.array_compact(x))
+
+
+def in_order(mapped: DataFrame, order: str = "row_idx") -> DataFrame:
+    """Results in the order of the rows that they came from, whichever task was done first; rows of errors keep their
+    places. A distributed sort by ranges of the index."""
+    return mapped.orderBy(F.col(order).asc_nulls_last())
+
+
 def preferred(df: DataFrame, group: list[str], rank: Column, position: str, value: str) -> DataFrame:
     """The value of best rank in each group, by position among equals."""
     return df.groupBy(*group).agg(F.min_by(value, F.struct(rank, F.col(position))).alias(value))

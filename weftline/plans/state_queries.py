@@ -1,4 +1,4 @@
-"""Caches over events, and data sets in folders of Arrow files."""
+"""Caches over events, and rows kept in folders of Arrow files, stores of blobs and results, and mirrors."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query
-from weftline.sources import arrow
+from weftline.operators import memo, rows
+from weftline.sources import arrow, blobs, mirror
 from weftline.sources.tables import shared_dir
 from weftline.streaming import caches
 
@@ -59,3 +60,46 @@ def customer_arrow_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     for split in ("NATION_3", "NATION_7"):
         arrow.write_arrow(own.where(F.col("n_name") == split).select("c_custkey", "c_name", "c_acctbal"), path, split)
     return arrow.read_arrow(spark, path).select("c_custkey", "c_name", "c_acctbal", "split")
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, text IS NULL AS none, strlen(text) AS bytes FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def doc_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts kept as blobs, and those that are labelled read again by range."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("data"))
+    store = blobs.Blobs(spark, _new(spark, "blobs"))
+    store.build(d)
+    got = store.fetch(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id")))
+    return got.select(F.col("id").alias("doc_id"), F.sha2(F.coalesce("data", F.lit(b"")), 256).alias("sha256"), F.col("data").isNull().alias("none"), F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query("SELECT event_id, length(event_type) * 100 + (event_id % 7) AS result FROM events")
+def event_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of event type and number, called once for each of their combinations; the second half finds the first's."""
+    m = memo.Memo(spark, _new(spark, "memo"), "sum-1", "long", buckets=8)
+    call = lambda row: len(row["event_type"]) * 100 + row["n"]
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", (F.col("event_id") % 7).alias("n"))
+    half = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").alias("h")).first().h
+    one, two = (m.map(e.where(c), ["event_type", "n"], call) for c in (F.col("event_id") <= half, F.col("event_id") > half))
+    return one.unionByName(two).select("event_id", "result")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def customer_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers read from a mirror of the folder that they were written to."""
+    source, target = _new(spark, "source"), _new(spark, "target")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").write.parquet(source)
+    mirror.mirror(spark, source, target)
+    return spark.read.parquet(target)
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY first), ',') AS roles, (SELECT sum(len(string_split(text, ' '))) FROM conversations c WHERE c.conv_id = r.conv_id)::INT AS words FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) r GROUP BY conv_id")
+def conv_roles_and_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different roles in order, and all words of all turns as one list."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    t = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    words = F.transform("t", lambda x: F.split(x["text"], " ", -1))
+    return t.select("conv_id", F.array_join(rows.unique(F.transform("t", lambda x: x["role"])), ",").alias("roles"), F.size(rows.flat_list(words)).alias("words"))
