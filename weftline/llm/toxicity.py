@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, slices, table
+from weftline.llm.common import Scratch, release, slices, table
 
 #: Labelled rows that the model is fitted on, at most, of either class; the rows of smallest hash are taken.
 SAMPLE = {1: 4000, 0: 8000}
@@ -138,7 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     got = text.join(F.broadcast(picked), "doc_id").mapInArrow(run, f"doc_id {kind}, toxic int, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     scratch.drop(picked)
     f, s = ([np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else None for x in got[c]] for c in ("f", "s"))  # no copies
-    return fit(f, s, got["toxic"].to_numpy())
+    model = fit(f, s, got["toxic"].to_numpy())
+    del got, f, s
+    release()  # the driver goes on; what the fit took shall not stay with it
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
