@@ -117,18 +117,11 @@ def map_distinct(df: DataFrame, keys: list[str], fn: Callable[[dict], object], r
 def memoised(df: DataFrame, keys: list[str], fn: Callable[[dict], object], result: str, folder: str) -> DataFrame:
     """df with result of fn for each row; results are kept by keys in a folder, and fn sees only keys that it doesn't hold.
 
-    A result that is null is kept as well, an error fails the job and keeps nothing of its run; null keys are keys. Runs on
-    one folder at once may both compute a key; the results are then one for each key all the same, as the least is read. A
-    folder is for one function and one choice of keys, both the caller's to name; results are of a type that has an order."""
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    once = df.select(*keys).distinct()
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        held = spark.read.parquet(folder)
-        once = once.join(held, [once[k].eqNullSafe(held[k]) for k in keys], "left_anti")
-    map_rows(once, fn, result).drop("error_type", "error_message").write.mode("append").parquet(folder)
-    held = spark.read.parquet(folder).groupBy(*keys).agg(F.min("result").alias("result"))
-    return df.join(held, [df[k].eqNullSafe(held[k]) for k in keys], "left").select(*(df[c] for c in df.columns), held["result"])
+    A folder is for one function and one choice of keys, both the caller's to name; see memo.Memo, whose store it is."""
+    from weftline.operators.memo import Memo
+
+    at, _, name = folder.rstrip("/").rpartition("/")
+    return Memo(df.sparkSession, at or ".", name, result).map(df, keys, fn)
 
 
 def error_report(mapped: DataFrame, examples: int = 3) -> DataFrame:

@@ -77,54 +77,84 @@ SDD_FORMAT = "sdd_prompt_response_v1"  # fixed value of the row format
 SDD_KEYS = ("student_ids", "teacher_ids", "response_ids")
 
 
-def is_sdd(row: Column) -> Column:
-    """Whether a row, as JSON text, is a student, teacher and response row: its format by name, and three lists."""
-    out = F.coalesce(F.get_json_object(row, "$.format") == SDD_FORMAT, F.lit(False))
+#: What is read of a row, all at once: its format and the JSON texts of its lists.
+LISTS = (*SDD_KEYS, "input_ids", "prompt_ids", "chosen_ids", "rejected_ids", "completion_ids", "messages", "teacher_messages", "messages_with_ref")
+
+
+def _read(row: Column) -> Column:
+    """The fields of a row given as JSON text, as texts, and its keys; a text that is no object has neither."""
+    return F.struct(F.from_json(row, ", ".join(f"{k} string" for k in ("format", *LISTS))).alias("f"), F.json_object_keys(row).alias("keys"))
+
+
+def _listed(r: Column, key: str) -> Column:
+    return F.coalesce(F.startswith(r["f"][key], F.lit("[")), F.lit(False))
+
+
+def _sdd(r: Column) -> Column:
+    out = F.coalesce(r["f"]["format"] == SDD_FORMAT, F.lit(False))
     for k in SDD_KEYS:
-        out = out & _listed(row, k)
+        out = out & _listed(r, k)
     return out
 
 
-def _listed(row: Column, key: str) -> Column:
-    return F.coalesce(F.startswith(F.get_json_object(row, f"$.{key}"), F.lit("[")), F.lit(False))
+def _family(r: Column) -> Column:
+    return F.when(r["keys"].isNotNull(), family(r["keys"]))
+
+
+def _length(r: Column) -> Column:
+    n = lambda k: F.coalesce(F.json_array_length(r["f"][k]), F.lit(0))
+    unknown = F.raise_error(F.lit("row is not a recognized tokenized schema")).cast("int")
+
+    def of(kind: Column) -> Column:
+        out = F.when(_sdd(r), F.greatest(*map(n, SDD_KEYS))).when(kind == "sft", n("input_ids"))
+        out = out.when(kind == "dpo", n("prompt_ids") + n("chosen_ids") + n("rejected_ids")).when(kind == "kto", n("prompt_ids") + n("completion_ids"))
+        return out.otherwise(unknown)
+
+    return let(_family(r), of)
+
+
+def is_sdd(row: Column) -> Column:
+    """Whether a row, as JSON text, is a student, teacher and response row: its format by name, and three lists."""
+    return let(_read(row), _sdd)
 
 
 def is_tokenized(row: Column) -> Column:
     """Whether a row, as JSON text, has a list of input_ids."""
-    return _listed(row, "input_ids")
+    return let(_read(row), lambda r: _listed(r, "input_ids"))
 
 
 def row_family(row: Column) -> Column:
     """The training family of a row given as JSON text."""
-    return F.when(F.json_object_keys(row).isNotNull(), family(F.json_object_keys(row)))
+    return let(_read(row), _family)
 
 
 def mode(row: Column) -> Column:
     """How a row, as JSON text, is shown: sdd before tokens before generic. Messages of student and teacher, or with a
     reference, are sdd as well."""
-    pair = _listed(row, "messages") & _listed(row, "teacher_messages")
-    return F.when(is_sdd(row) | pair | _listed(row, "messages_with_ref"), "sdd").when(row_family(row).isNotNull(), "tokens").otherwise("generic")
+
+    def of(r: Column) -> Column:
+        pair = _listed(r, "messages") & _listed(r, "teacher_messages")
+        return F.when(_sdd(r) | pair | _listed(r, "messages_with_ref"), "sdd").when(_family(r).isNotNull(), "tokens").otherwise("generic")
+
+    return let(_read(row), of)
 
 
 def row_length(row: Column) -> Column:
     """How many positions a tokenized row, as JSON text, has: the longest list of student, teacher and response, otherwise
     all ids of its training family. Any other row is an error."""
-    n = lambda k: F.coalesce(F.json_array_length(F.get_json_object(row, f"$.{k}")), F.lit(0))
-    kind, unknown = row_family(row), F.raise_error(F.lit("row is not a recognized tokenized schema")).cast("int")
-    out = F.when(is_sdd(row), F.greatest(*map(n, SDD_KEYS))).when(kind == "sft", n("input_ids"))
-    out = out.when(kind == "dpo", n("prompt_ids") + n("chosen_ids") + n("rejected_ids")).when(kind == "kto", n("prompt_ids") + n("completion_ids"))
-    return out.otherwise(unknown)
+    return let(_read(row), _length)
 
 
 def row_chunk(row: Column, offset: Column, limit: Column, most: int = 1024) -> Column:
     """kind (sdd or a training family), total, start and end of the next chunk of a tokenized row given as JSON text."""
-    kind = F.when(is_sdd(row), "sdd").otherwise(row_family(row))
 
-    def of(total: Column) -> Column:
-        b = window_bounds(total, offset, limit, most)
-        return F.struct(kind.alias("kind"), total.alias("total"), b["start"].alias("start"), b["end"].alias("end"))
+    def of(r: Column) -> Column:
+        kind = F.when(_sdd(r), "sdd").otherwise(_family(r))
+        told = lambda x: F.struct(x["kind"].alias("kind"), x["total"].alias("total"), window_bounds(x["total"], offset, limit, most).alias("b"))
+        flat = lambda x: F.struct(x["kind"].alias("kind"), x["total"].alias("total"), x["b"]["start"].alias("start"), x["b"]["end"].alias("end"))
+        return let(let(F.struct(kind.alias("kind"), _length(r).alias("total")), told), flat)
 
-    return let(row_length(row), of)
+    return let(_read(row), of)
 
 
 def sdd_window(student: Column, teacher: Column, response: Column, offset: Column, limit: Column, most: int = 1024) -> Column:

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from weftline.plans import chat_queries, nested_queries, record_queries, row_queries, state_queries, text_queries  # noqa: F401
+    from weftline.plans import chat_queries, nested_queries, record_queries, row_queries, source_queries, state_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
