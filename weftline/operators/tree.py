@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import walk
 from weftline.functions.text import let
+from weftline.sources.tables import written
 
 CHILDREN = "array<struct<key:string,path:string,kind:string,value:string,size:int>>"
 
@@ -35,7 +36,7 @@ def find(df: DataFrame, row: str, text: str, needle: str) -> DataFrame:
     shown = F.when(F.col("item"), F.concat(F.lit("["), F.col("key"), F.lit("]"))).otherwise(F.col("key"))
     holder = F.slice("ord", 1, F.greatest(F.size("ord") - 1, F.lit(0)))
     hit = F.contains(F.lower(shown), q) | F.contains(F.lower(F.substring("path", 2, 1 << 30)), q) | F.contains(F.lower(F.coalesce("value", F.lit(""))), q)
-    tree = tree.withColumn("hit", hit & F.lit(needle != ""))
+    tree = written(tree.withColumn("hit", hit & F.lit(needle != "")))  # walked once, met three times
     ways = F.transform(F.sequence(F.lit(0), F.size("ord") - 1), lambda k: F.slice("ord", 1, k))
     found = tree.where("hit").select(row, F.when(F.size("ord") > 0, ways).otherwise(F.array().cast("array<array<int>>")).alias("ways"), "ord")
     opened = found.select(F.col(row).alias("of"), F.explode("ways").alias("way")).distinct()

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from weftline.functions import diff, identity, lenient, text, walk
 from weftline.operators import chat, tree
 from weftline.plans.registry import query
+from weftline.sources.tables import spread
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props"))
 
 
 def _text(*parts: str | Column) -> Column:

@@ -38,6 +38,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than there are cores, dealt out over all of them, for expressions that cost more than a
+    shuffle of the rows; what has partitions enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def free(columns: list[str], *stems: str) -> list[str]:
     """Names made of the stems that none of the columns has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []
