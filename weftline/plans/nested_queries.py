@@ -38,7 +38,7 @@ def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     like = _text('{"p":', F.col("props"), ',"type":', _say(F.col("event_type")), ',"more":["null",{"a":1.5,"no":{}},true,[]]}')
     k = F.get_json_object("props", "$.k").cast("long")
     value = F.struct(F.array(F.lit(None).cast("int")).alias("b"), k.alias("a"))
-    ids = e.select("event_id", *(identity.json_id(x).alias(n) for x, n in ((one, "id"), (other, "other"), (like, "like"))), identity.value_id(value).alias("value"))
+    ids = e.select("event_id", *(identity.json_ids(x).alias(n) for x, n in ((one, "id"), (other, "other"), (like, "like"))), identity.value_ids(value).alias("value"))
     return ids.select("event_id", "id", (F.col("id") == F.col("other")).alias("same"), (F.col("id") != F.col("like")).alias("apart"), "value")
 
 
