@@ -27,3 +27,10 @@ def test_identities_of_values_in_batches_are_the_same(spark):
     for names in (["i", "s"], ["d"], ["t"], ["a", "m"], ["m"], ["i", "t", "a"], ["i", "s", "d"]):
         columns = [F.col(n) for n in names]
         assert all(x.a == x.b for x in row.select(identity.value_id(*columns).alias("a"), identity.value_ids(*columns).alias("b")).collect()), names
+
+
+def test_tables_are_dealt_out_by_rows(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(tables, "DEALT", 100)
+    dealt = tables.spread(spark.read.parquet(f"{tmp_path}/t"))
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000

@@ -38,11 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition that spread deals out, about; a task's time and memory don't grow with the table.
+DEALT = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer partitions than there are cores, dealt out over all of them, for expressions that cost more than a
-    shuffle of the rows; what has partitions enough stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows of a table dealt out over all cores and in parts of some DEALT rows, for expressions that cost more than a
+    shuffle of the rows; what has partitions enough stays as it is. Rows are counted, from the files' own figures."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def free(columns: list[str], *stems: str) -> list[str]:
