@@ -34,3 +34,12 @@ def test_tables_are_dealt_out_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "DEALT", 100)
     dealt = tables.spread(spark.read.parquet(f"{tmp_path}/t"))
     assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000
+
+
+def test_memo_names_combinations_not_rows(spark, tmp_path):
+    df = spark.range(60).select("id", (F.col("id") % 3).alias("n"), F.when(F.col("id") % 2 == 0, "x").alias("s"))
+    got = memo.Memo(spark, str(tmp_path), "f", "string", buckets=2).map(df, ["n", "s"], lambda r: f"{r['n']}{r['s']}")
+    assert "sha2" not in plan(got) and sorted((x.id, x.result) for x in got.collect()) == [(k, f"{k % 3}{'x' if k % 2 == 0 else None}") for k in range(60)]
+    odd = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,)], "d double")
+    said = memo.Memo(spark, str(tmp_path), "g", "string", buckets=2).map(odd, ["d"], lambda r: str(r["d"]))
+    assert sorted(x.result for x in said.collect()) == ["-0.0", "0.0", "None", "nan"]

@@ -8,12 +8,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.identity import value_id
 from weftline.operators.mapping import map_rows
 from weftline.sources.tables import free, written
 
 
+def _exact(kind: T.DataType) -> bool:
+    """Whether rows of equal values of a type, and no others, have one identity: not so with -0.0 and NaN, or in maps."""
+    if isinstance(kind, T.ArrayType):
+        return _exact(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_exact(f.dataType) for f in kind.fields)
+    plain = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+    return isinstance(kind, plain) or kind == T.StringType()
+
+
 class Memo:
     """The results of one function, by the identity of its arguments.
 
@@ -67,8 +78,11 @@ class Memo:
         through as they are, but for one named result, which is replaced."""
         own, bucket = free([*df.columns, "result"], "id", "bucket")
         kept = [c for c in df.columns if c.lower() != "result"]
-        asked = df.withColumn(own, value_id(*(F.col(f"`{k}`") for k in keys)))
-        once = written(asked.select(*keys, own).dropDuplicates([own]).withColumn(bucket, self._bucket(F.col(own))))
+        named = [F.col(f"`{k}`") for k in keys]
+        grouped = all(_exact(df.schema[k].dataType) for k in keys)  # rows meet their answers by their keys
+        asked = df if grouped else df.withColumn(own, value_id(*named))
+        every = written(df.select(*named).distinct().withColumn(own, value_id(*named))) if grouped else asked.select(*named, own)
+        once = written(every.dropDuplicates([own]).withColumn(bucket, self._bucket(F.col(own))))
         buckets = sorted(r[0] for r in once.select(bucket).distinct().collect())  # at most so many numbers
         new = once.join(self.held(buckets).select(F.col("id").alias(own)), own, "left_anti")
         run = uuid.uuid4().hex
@@ -80,7 +94,11 @@ class Memo:
         answers = self.held(buckets).select(F.col("id").alias(own), "result")
         if self.most is not None:  # a bounded store may have let go of some already
             answers = answers.unionByName(once.join(answers, own, "left_anti").select(own).join(made.select(F.col("id").alias(own), "result"), own))
-        return asked.select(*(f"`{c}`" for c in kept), own).join(answers, own).select(*(f"`{c}`" for c in kept), "result")
+        if not grouped:
+            return asked.select(*(f"`{c}`" for c in kept), own).join(answers, own).select(*(f"`{c}`" for c in kept), "result")
+        (got,) = free([*df.columns, own], "got")
+        answers = every.join(answers, own).select(F.struct(*named).alias(own), F.col("result").alias(got))
+        return df.join(answers, F.struct(*named).eqNullSafe(F.col(own))).select(*(f"`{c}`" for c in kept), F.col(got).alias("result"))
 
     def compact(self, buckets: list[int] | None = None) -> int:
         """Writes buckets of too many files anew; how many there were."""
