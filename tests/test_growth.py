@@ -43,3 +43,12 @@ def test_memo_names_combinations_not_rows(spark, tmp_path):
     odd = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,)], "d double")
     said = memo.Memo(spark, str(tmp_path), "g", "string", buckets=2).map(odd, ["d"], lambda r: str(r["d"]))
     assert sorted(x.result for x in said.collect()) == ["-0.0", "0.0", "None", "nan"]
+
+
+def test_paths_go_into_variants(spark):
+    text = '{"a":{"it\'s":[10,{"0":null}],"q\\"":1,"b\'\\"":2,"x?":3,"0":4,"":{"":5}},"l":[[1,2],[3]],"d":1,"d":2}'
+    df = spark.createDataFrame([(text,)], "t string")
+    want = {"/a/it's/0": (10, True), "/a/it's/1/0": (None, True), "/a/it's/1/1": (None, False), '/a/q"': (1, True), "/a/b'\"": (2, True), "/a/x?": (3, True), "/a/0": (4, True), "/l/0/1": (2, True), "/l/00/1": (None, False), "/l/1/0": (3, True), "/l/1/1": (None, False), "/d": (2, True), "/d/0": (None, False), "/l": (None, True)}
+    got = df.select(*(tree.resolve(F.col("t"), p, "bigint").alias(str(k)) for k, p in enumerate(want)))
+    assert [tuple(x) for x in got.first()] == list(want.values())
+    assert "from_json" not in plan(got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -272,9 +273,22 @@ def flat(x: Column) -> Column:
     return run(x)
 
 
+def _below(v: Column, step: str) -> Column:
+    """The entry of a VARIANT that a step names, a key of an object or a place of a list; null where there is none."""
+    mark = next((q for q in "'\"" if step and q not in step and "?" not in step), None)
+    named = lambda v: F.try_variant_get(v, f"$[{mark}{step}{mark}]", "variant") if mark else F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(step))
+    if not re.fullmatch("0|[1-9][0-9]{0,8}", step):
+        return named(v)
+    return let(v, lambda v: F.coalesce(named(v), F.try_variant_get(v, f"$[{step}]", "variant")))
+
+
 def resolve(x: Column, path: str, kind: str = "string") -> Column:
-    """value at /a/0/b, and whether the path is there: a JSON null is there, a missing key is not."""
-    return let(_at(x, path), lambda e: F.struct(F.try_variant_get(e["v"], "$", kind).alias("value"), e.isNotNull().alias("exists")))
+    """value at /a/0/b, and whether the path is there: a JSON null is there, a missing key is not. The text is parsed once,
+    and each step goes into the VARIANT."""
+    v = F.try_parse_json(x)
+    for step in (p for p in path.strip("/").split("/") if p):
+        v = _below(v, step)
+    return F.struct(F.try_variant_get(v, "$", kind).alias("value"), v.isNotNull().alias("exists"))
 
 
 def summary(m: Column, shown: int = 3) -> Column:
