@@ -118,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     """Fits a model on labelled docs (doc_id, text; labels: doc_id, toxic) that are not held out.
 
     Ids are held out where crc32(id as text) mod 3 is 1. Null ids or labels teach nothing; an id labelled twice counts
-    as toxic if either says so. At most sample[class] rows, those whose ids hash smallest, and only their feature ids
-    reach the driver: that bound does not depend on the size of the corpus."""
+    as toxic if either says so. At most sample[class] rows, those whose ids hash smallest, are fitted on, by one task: that
+    bound does not depend on the size of the corpus. Only the model reaches the driver."""
     bound = sample or SAMPLE
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
@@ -134,14 +134,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
 
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # at most sum(sample.values()) ids
-    got = text.join(F.broadcast(picked), "doc_id").mapInArrow(run, f"doc_id {kind}, toxic int, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+
+    def fitted(got: pa.Table) -> pa.Table:
+        got = got.sort_by([("doc_id", "ascending"), ("f", "ascending")])
+        f, s = ([np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else None for x in got[c]] for c in ("f", "s"))  # no copies
+        model = fit(f, s, got["toxic"].to_numpy())
+        del got, f, s
+        release()  # the worker goes on; what the fit took shall not stay with it
+        return pa.table({"ids": pa.array([model.ids.tobytes()], pa.binary()), "weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    got = text.join(F.broadcast(picked), "doc_id").mapInArrow(run, f"doc_id {kind}, toxic int, f binary, s binary")  # at most sum(sample.values()) ids
+    found = got.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "ids binary, weights binary, bias double").collect()
     scratch.drop(picked)
-    f, s = ([np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else None for x in got[c]] for c in ("f", "s"))  # no copies
-    model = fit(f, s, got["toxic"].to_numpy())
-    del got, f, s
-    release()  # the driver goes on; what the fit took shall not stay with it
-    return model
+    return Model(np.frombuffer(found[0].ids, np.uint32), np.frombuffer(found[0].weights), found[0].bias) if found else Model()
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
