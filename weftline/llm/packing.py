@@ -14,11 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, slices, small, table
+from weftline.llm.common import Scratch, release, slices, small, table
 
 LIMIT = 4096
 #: Words of which a Python worker remembers the ids, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 #: Fixed value: the split of the vocabularies whose words can be encoded apart. No alternative reaches over white space.
@@ -48,6 +48,11 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if tail and w.endswith(tail)]] = True
 
+    def forget(self) -> None:
+        """Gives the memory of remembered words back: a worker outlives its task."""
+        self.new, self.old = {}, {}
+        release()
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words. Those of letters alone go to the tokenizer as one text: each ends where a token does that
         ends a word, as long as there are as many of these as words."""
@@ -125,7 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, pos, part = encoder(tokenizer), np.zeros(limit + 1, dtype=np.int64), 0, TaskContext.get().partitionId()
-        for b in slices(batches, 1024):
+        for b in slices(batches, 512):
             ids, begin = words.encode(b["text"].cast(pa.string()).fill_null(""))
             k = np.arange(b.num_rows)
             begin = begin + np.arange(b.num_rows + 1)  # with an end id behind every text
@@ -149,6 +154,7 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = 1)
             cols = [np.full(len(text), part, np.int32), pos + np.arange(len(text)), nth, b["doc_id"].take(pa.array(text)), piece.astype(np.int32), start, length, cut]
             pos += len(text)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["part", "pos", "nth", "doc_id", "piece", "start", "length", "ids"])
+        words.forget()
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, f"part int, pos long, nth long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
