@@ -52,3 +52,19 @@ def test_paths_go_into_variants(spark):
     got = df.select(*(tree.resolve(F.col("t"), p, "bigint").alias(str(k)) for k, p in enumerate(want)))
     assert [tuple(x) for x in got.first()] == list(want.values())
     assert "from_json" not in plan(got)
+
+
+def test_lines_are_numbered_without_sorting_blocks(spark, tmp_path):
+    names = []
+    for k, n in enumerate((1000, 7)):
+        names.append(f"{tmp_path}/{k}.jsonl")
+        open(names[-1], "w").write("".join(f'{{"i":{i}}}\n' if i % 5 else "\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = files.load_objects(spark, names)
+        got = sorted((x.source[-7:], x.row_index, x.i) for x in df.select("source", "row_index", F.variant_get("row", "$.i", "int").alias("i")).collect())
+        assert got == sorted((f"{k}.jsonl", i, i) for k, n in enumerate((1000, 7)) for i in range(n) if i % 5)
+        assert "at#" not in "".join(x for x in plan(df).splitlines() if "Window" in x or "Sort" in x)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

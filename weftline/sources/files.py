@@ -105,7 +105,7 @@ def load_jsonl(spark: SparkSession, paths: str | list[str], on_error: str = "rai
     if on_error not in ("raise", "skip", "keep"):
         raise ValueError(f"unknown policy {on_error}")
     lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    lines = _by_block(lines.select(*(F.col(c).alias(n) for n, c in _PLACE.items()), F.monotonically_increasing_id().alias("at"), "value"), line=F.lit(1))
+    lines = _numbered(lines.select(*(F.col(c).alias(n) for n, c in _PLACE.items()), F.monotonically_increasing_id().alias("at"), "value"))
     if max_lines is not None:
         lines = lines.where(F.col("line") < max_lines)
     parsed = lines.where(F.regexp_replace("value", r"\s+", "") != "").withColumn("row", F.try_parse_json("value"))
@@ -186,6 +186,15 @@ def _by_block(lines: DataFrame, **sums: Column) -> DataFrame:
     return own.withColumns({n: (F.col(n) + F.col(f"_{n}")).cast("long") for n in sums}).drop(*(f"_{n}" for n in sums))
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """lines (source, block, at, ...) with line, the number of each in its file. at grows by one from line to line of a
+    block, so that no task sorts or holds one: a row for each block says where it begins."""
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    first = lines.groupBy("source", "block").agg(F.min("at").alias("_at"), F.count(F.lit(1)).alias("_n"))
+    first = first.select("source", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_at")).alias("_more"))
+    return lines.join(F.broadcast(first), ["source", "block"]).withColumn("line", F.col("at") + F.col("_more")).drop("_more")
+
+
 _PLACE = {"source": "_metadata.file_path", "block": "_metadata.file_block_start"}
 
 
