@@ -2,9 +2,11 @@
 
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions import identity
+from weftline.llm import packing
 from weftline.operators import memo, tree
 from weftline.sources import files, tables
 
@@ -68,3 +70,16 @@ def test_lines_are_numbered_without_sorting_blocks(spark, tmp_path):
         assert "at#" not in "".join(x for x in plan(df).splitlines() if "Window" in x or "Sort" in x)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_words_are_learned_once_whatever_their_case():
+    words, learned = packing.WordIds(packing.word_bpe()), []
+    learn = words._learn
+    words._learn = lambda found: learned.extend(found) or learn(found)
+    texts = ["École ÉCOLE école Straße ñandú, Ñandú.", "µm MM mm ª º × ÷ ß ẞ Ÿ ÿ ΑΣ Σ ﬁ İi e\u0301 É naïve's x_y 12ab", "", "École école"]
+    ids, begin = words.encode(pa.array(texts))
+    assert [list(ids[a:z]) for a, z in zip(begin, begin[1:], strict=False)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in learned if w in ("École", "ÉCOLE", "école", "Ñandú", "ñandú", "É", "é")] == ["école", "ñandú", "é"]
+    before = len(learned)
+    words.encode(pa.array(texts))
+    assert len(learned) == before

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,17 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, release, slices, small, table
+from weftline.llm.common import Scratch, slices, small, table
 
 LIMIT = 4096
 #: Words of which a Python worker remembers the ids, in each of two generations.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 
 #: Fixed value: the split of the vocabularies whose words can be encoded apart. No alternative reaches over white space.
 APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters with one mark behind them, which that split takes apart.
 MARKED = r"^\pL+[.,;:!?]$"
+#: Texts in which small letters are told by a table of a letter each, and words that no normal form and no case changes.
+LATIN, PLAIN = r"^[\x00-\x7F\x{C0}-\x{FF}]*$", re.compile("[a-zß-öø-ÿ]+")
 
 
 class WordIds:
@@ -44,29 +47,27 @@ class WordIds:
         self.apart = bool(self.apart and {x.get("type") for x in forms} <= {None, "NFC", "Replace", "Lowercase"} and not made["post_processor"])
         self.apart = self.apart and all(x.get("type") != "Replace" or x["pattern"] == {"Regex": "\\s+"} for x in forms) and not any(x["normalized"] for x in made["added_tokens"])
         self.folds = any(x.get("type") == "Lowercase" for x in forms)
+        bare = made | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *steps[1:]]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if self.apart else None
         tail, vocabulary = made["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if tail and w.endswith(tail)]] = True
 
-    def forget(self) -> None:
-        """Gives the memory of remembered words back: a worker outlives its task."""
-        self.new, self.old = {}, {}
-        release()
-
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words. Those of letters alone go to the tokenizer as one text: each ends where a token does that
-        ends a word, as long as there are as many of these as words."""
-        known, plain = {}, [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        for at in range(0, len(plain), 2048):
-            block = plain[at : at + 2048]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends a word, as long as there are as many of these as words. Plain ones need no normal form and no split."""
+        known, kinds = {}, ([], [], [])
+        for w in words:
+            kinds[0 if PLAIN.fullmatch(w) else 1 if w.isalpha() else 2].append(w)
+        plain, letters, other = kinds
+        for tokenizer, block in [(t, x[at : at + 512]) for t, x in ((self.bare, plain), (self.tokenizer, letters)) for at in range(0, len(x), 512)]:
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(block):
                 other += block
                 continue
             raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            known |= {w: raw[cuts[k] : cuts[k + 1]] for k, w in enumerate(block)}
+            known |= {w: raw[a:z] for w, a, z in zip(block, cuts, cuts[1:])}  # noqa: B905
         for at in range(0, len(other), 2048):
             block = other[at : at + 2048]
             for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
@@ -95,12 +96,12 @@ class WordIds:
         flat = split.flatten().dictionary_encode()
         words = flat.dictionary
         if self.folds:
-            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+            words = pc.if_else(pc.match_substring_regex(words, LATIN), pc.utf8_lower(words), words)
         marked = pc.match_substring_regex(words, MARKED)
         heads = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
         marks = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), "")
         both = pa.concat_arrays([heads, marks]).dictionary_encode()
-        pool, size = self._pool(both.dictionary.to_pylist())
+        pool, size = self._pool(both.dictionary.to_numpy(zero_copy_only=False).tolist())
         pool, ends = gathered(pool, size, both.indices.to_numpy().reshape(2, -1).T.ravel())  # of words with their marks
         ids, ends = gathered(pool, np.diff(ends[::2]), flat.indices.to_numpy())
         return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
@@ -130,7 +131,7 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, pos, part = encoder(tokenizer), np.zeros(limit + 1, dtype=np.int64), 0, TaskContext.get().partitionId()
-        for b in slices(batches, 512):
+        for b in slices(batches, 1024):
             ids, begin = words.encode(b["text"].cast(pa.string()).fill_null(""))
             k = np.arange(b.num_rows)
             begin = begin + np.arange(b.num_rows + 1)  # with an end id behind every text
@@ -154,7 +155,6 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = 1)
             cols = [np.full(len(text), part, np.int32), pos + np.arange(len(text)), nth, b["doc_id"].take(pa.array(text)), piece.astype(np.int32), start, length, cut]
             pos += len(text)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["part", "pos", "nth", "doc_id", "piece", "start", "length", "ids"])
-        words.forget()
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, f"part int, pos long, nth long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
