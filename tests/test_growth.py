@@ -1,6 +1,7 @@
 """Work, tasks and memory that grow no faster than the tables."""
 
 import datetime
+import json
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -83,3 +84,17 @@ def test_words_are_learned_once_whatever_their_case():
     before = len(learned)
     words.encode(pa.array(texts))
     assert len(learned) == before
+
+
+def test_search_stays_within_rows(spark):
+    wide = json.dumps({"l": [{"k": i % 7} for i in range(3000)], "z": [[7], [0]]})
+    df = spark.createDataFrame([(1, '{"a":[7,{"b":8}]}'), (1, '{"c":{"d":7},"e":[1]}'), (None, "[7]"), (None, "7"), (2, "1"), (3, wide)], "id int, t string")
+    found = tree.find(df, "id", "t", "7")
+    assert "Exchange" not in plan(found) and "Window" not in plan(found)
+    want = [(0, "", 0, -1), (0, "", 0, 0), (0, "/0", 1, 0), *((1, *x) for x in (("", 0, -1), ("/a", 1, -1), ("/a/0", 2, 0), ("/a/1", 3, -1), ("", 0, -1), ("/c", 1, -1), ("/c/d", 2, 0), ("/e", 3, -1)))]
+    got = found.where("id IS NULL OR id < 3").collect()  # rows of one id stay apart
+    assert sorted((x.id or 0, x.path, x.place, -1 if x["match"] is None else x["match"]) for x in got) == sorted(want)
+    rows = found.where("id = 3").collect()
+    at = [i for i in range(3000) if "7" in str(i)]  # by their paths
+    assert sum(x["match"] is not None for x in rows) == 2 * len(at) + 1 and [x.place for x in rows] == list(range(len(rows)))
+    assert len(rows) == 3 + 3000 + len(at) + 2 + 1

@@ -6,12 +6,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import walk
 from weftline.functions.text import let
-from weftline.sources.tables import written
 
 CHILDREN = "array<struct<key:string,path:string,kind:string,value:string,size:int>>"
 
@@ -30,24 +29,38 @@ def find(df: DataFrame, row: str, text: str, needle: str) -> DataFrame:
     any case; the root by its value only. Every container on the way to a match is open. A row without a match shows nothing,
     and an empty text matches nothing.
 
-    Nodes meet matches by their path as numbers: the ancestors of a match are the beginnings of its path, taken once each,
-    and a node is seen if the path of its container is among them. Both joins are by (row, path)."""
+    All of it is told within a row, without a shuffle, so that rows of equal or null ids stay apart. Depth first, what lies
+    below a container stands together: the container of a node is open if the last match before the node or the first one
+    from it on lies below it, so that each node looks at two matches, however many there are."""
     q = F.lower(F.lit(needle))
-    tree = df.select(row, F.explode(walk.nodes(F.col(text))).alias("n")).select(row, "n.*")
-    shown = F.when(F.col("item"), F.concat(F.lit("["), F.col("key"), F.lit("]"))).otherwise(F.col("key"))
-    holder = F.slice("ord", 1, F.greatest(F.size("ord") - 1, F.lit(0)))
-    hit = F.contains(F.lower(shown), q) | F.contains(F.lower(F.substring("path", 2, 1 << 30)), q) | F.contains(F.lower(F.coalesce("value", F.lit(""))), q)
-    tree = written(tree.withColumn("hit", hit & F.lit(needle != "")))  # walked once, met three times
-    ways = F.transform(F.sequence(F.lit(0), F.size("ord") - 1), lambda k: F.slice("ord", 1, k))
-    found = tree.where("hit").select(row, F.when(F.size("ord") > 0, ways).otherwise(F.array().cast("array<array<int>>")).alias("ways"), "ord")
-    opened = found.select(F.col(row).alias("of"), F.explode("ways").alias("way")).distinct()
-    seen = tree.where(F.size("ord") > 0).join(opened, F.col(row).eqNullSafe(F.col("of")) & (holder == F.col("way")), "left_semi")
-    rows = found.select(F.col(row).alias("of")).distinct()
-    roots = tree.where(F.size("ord") == 0).join(rows, F.col(row).eqNullSafe(F.col("of")), "left_semi")
-    order = Window.partitionBy(row).orderBy("ord")
-    out = seen.unionByName(roots).withColumn("place", F.row_number().over(order) - 1)
-    number = F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return out.select(row, "place", "path", "key", "depth", "kind", "value", "size", F.when(F.col("hit"), number.cast("int")).alias("match"))
+
+    def hit(n: Column) -> Column:
+        shown = F.when(n["item"], F.concat(F.lit("["), n["key"], F.lit("]"))).otherwise(n["key"])
+        found = F.contains(F.lower(shown), q) | F.contains(F.lower(F.substring(n["path"], 2, 1 << 30)), q) | F.contains(F.lower(F.coalesce(n["value"], F.lit(""))), q)
+        return found & F.lit(needle != "")
+
+    def before(all_: Column, hits: Column) -> Column:
+        """For each node the number of matches before it."""
+        upto = F.transform(hits, lambda h, k: F.array_repeat(k, h - F.coalesce(F.get(hits, k - 1), F.lit(-1))))
+        behind = F.array_repeat(F.size(hits), F.size(all_) - 1 - F.get(hits, F.size(hits) - 1))
+        return F.flatten(F.concat(upto, F.array(behind)))
+
+    def seen(all_: Column, hits: Column, k: Column, n: Column) -> Column:
+        outer = F.size(n["ord"]) - 1
+        way = lambda ord_: F.slice(ord_, 1, F.greatest(outer, F.lit(0)))
+        below = lambda ord_: F.coalesce((F.size(ord_) > outer) & (way(ord_) == way(n["ord"])), F.lit(False))
+        return (outer < 0) | below(F.get(all_, F.get(hits, k - 1))["ord"]) | below(F.get(all_, F.get(hits, k))["ord"])
+
+    def shown(all_: Column, hits: Column) -> Column:
+        told = lambda ks: F.transform(all_, lambda n, i: F.struct(n.alias("n"), F.get(ks, i).alias("k"), (F.get(hits, F.get(ks, i)) == i).alias("hit")))
+        return let(before(all_, hits), lambda ks: F.filter(told(ks), lambda e: seen(all_, hits, e["k"], e["n"])))
+
+    def of(all_: Column) -> Column:
+        hits = F.filter(F.transform(all_, lambda n, i: F.when(hit(n), i)), lambda i: i.isNotNull())
+        return let(hits, lambda h: F.when(F.size(h) > 0, shown(all_, h)))
+
+    out = df.select(row, F.posexplode(let(walk.nodes(F.col(text)), of)).alias("place", "e"))
+    return out.select(row, "place", *(F.col(f"e.n.{c}").alias(c) for c in ("path", "key", "depth", "kind", "value", "size")), F.when(F.col("e.hit"), F.col("e.k")).alias("match"))
 
 
 def search(tree: DataFrame, needle: str) -> DataFrame:
