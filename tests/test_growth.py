@@ -2,13 +2,15 @@
 
 import datetime
 import json
+import random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.functions import identity
+from weftline.functions import diff, identity
 from weftline.llm import packing
 from weftline.operators import memo, tree
+from weftline.plans import nested_queries
 from weftline.sources import files, tables
 
 TEXTS = ["1", "1.0", "-0", "0.0", "-0.0", "1e400", "1e22", "15e-1", "1.50", str(10**17), str(10**18), str(-(2**63)), str(2**63), str(10**30), str(10**45), "12345678.5", "0.0001", "0.1234567890123", "null", "true", '"a\\nb\\"\\\\/"', '"\\u0001"', '"\u007f é 😀"', '"\\ud83d"', '"\\/"', "[]", "{}", " [1, {}, [], null] ", '{"b":{"é":[1.5,"x"]},"a/":false,"":0}', '{"a":1,"a":2}', "", "{", "nope", "NaN", "01", None, "[" * 300 + "]" * 300, '{"k\\n":1}', '{"k\\u0000":1}']
@@ -98,3 +100,23 @@ def test_search_stays_within_rows(spark):
     at = [i for i in range(3000) if "7" in str(i)]  # by their paths
     assert sum(x["match"] is not None for x in rows) == 2 * len(at) + 1 and [x.place for x in rows] == list(range(len(rows)))
     assert len(rows) == 3 + 3000 + len(at) + 2 + 1
+
+
+def test_steps_of_many_pairs_are_those_of_each(monkeypatch):
+    r = random.Random(4)
+    said = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(0, 50)))
+    pairs = [(said(x), said(x)) for x in ("a", "ab", "abc ", "aé中😀\ud83d", "abcdefgh\n") for _ in range(60)] + [("", ""), ("ab" * 150, "ba" * 150), ("x" * 300, "x" * 200)]
+    monkeypatch.setattr(diff, "TOGETHER", 20000)
+    got = [diff.steps_together(pairs, popular) for popular in (True, False)]
+    monkeypatch.setattr(diff, "AREA", -1)  # automata only
+    assert got == [[diff.steps(a, b, popular) for a, b in pairs] for popular in (True, False)]
+
+
+def test_turns_are_compared_on_all_cores(spark, tmp_path, monkeypatch):
+    turns = [(c, t, f"turn {t} of {c}", "user") for c in range(30) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string, role string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    for rows, n in ((2000, spark.sparkContext.defaultParallelism), (10, 9)):
+        monkeypatch.setattr(nested_queries, "COMPARED", rows)
+        for q in (nested_queries.turn_diff, nested_queries.turn_privileged):
+            got = q(spark, str(tmp_path))
+            assert got.rdd.getNumPartitions() == n and got.count() == 90

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from weftline.functions import diff, identity, lenient, text, walk
 from weftline.operators import chat, tree
 from weftline.plans.registry import query
-from weftline.sources.tables import spread
+from weftline.sources.tables import parts, spread
+
+
+#: Rows of a part whose texts are compared character by character, some milliseconds each.
+COMPARED = 2000
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,8 @@ def turn_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     last = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    d = c.select("conv_id", "turn", "text", last.alias("last")).withColumn("ops", diff.opcodes(F.col("last"), F.col("text")))
+    pairs = c.select("conv_id", "turn", "text", last.alias("last")).repartition(parts(c, COMPARED))  # else as few parts as the window's bytes fill
+    d = pairs.withColumn("ops", diff.opcodes(F.col("last"), F.col("text")))
     same = F.forall("ops", lambda s: s["tag"] == "equal")
     return d.select("conv_id", "turn", diff.rebuilt(F.col("ops"), F.col("last"), F.col("text")).alias("x"), same.alias("same")).select("conv_id", "turn", "x.*", "same")
 
@@ -103,7 +108,7 @@ SELECT conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'
 """)
 def turn_privileged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a teacher's text has beyond a student's, marked."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", F.concat("text", F.lit(" <ref>")).alias("more"))
+    c = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", F.concat("text", F.lit(" <ref>")).alias("more")), COMPARED)
     d = c.withColumn("ops", diff.opcodes(F.col("text"), F.col("more")))
     return d.select("conv_id", "turn", diff.privileged(F.col("ops"), F.col("more")).alias("marked"), diff.highlighted(F.col("ops"), F.col("text"), F.col("more")).alias("shown"))
 

@@ -42,11 +42,16 @@ def written(df: DataFrame) -> DataFrame:
 DEALT = 100_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table dealt out over all cores and in parts of some DEALT rows, for expressions that cost more than a
-    shuffle of the rows; what has partitions enough stays as it is. Rows are counted, from the files' own figures."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT))
-    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+def parts(df: DataFrame, rows: int) -> int:
+    """Parts of about so many rows, no fewer than cores. Rows are counted, those of a file from its own figures."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of a table dealt out over all cores and in parts of some DEALT rows, or so many, for expressions that cost more
+    than a shuffle of the rows; what has partitions enough stays as it is."""
+    n = parts(df, rows or DEALT)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def free(columns: list[str], *stems: str) -> list[str]:
