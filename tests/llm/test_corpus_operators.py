@@ -184,6 +184,17 @@ def test_suffix_against_brute_force(spark, monkeypatch, hot):
         assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == want, k
 
 
+def test_suffix_joins_on_hashes_read_no_aggregate(spark, monkeypatch):
+    plans, save = [], common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df, *a))
+    line = prose(5, 90)  # its hashes are shared by a body of each text
+    texts = [f"{prose(20 + k, 30)} {line} {prose(60 + k, 30)}" for k in range(30)]
+    got = suffix_dedup.suffix_dedup(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == list(removed(texts))
+    joins = [p for p in plans if re.search(r"Join \w+, \(h#", p)]
+    assert len(joins) == 2 and not any("Aggregate" in p for p in joins)  # under one, a hash of many bodies is one task's
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 1 << 30), st.sampled_from(["ab", "abc", "\0a", "abcdefgh"]), st.integers(1, 6))
 def test_equal_suffixes_of_structured_bytes(seed, letters, n):
